@@ -18,12 +18,12 @@ from helixframe.llm.queries import tokenizer_path
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go. The grammar learns from labelled rows of its input."""
     grammar = toxicity.train(docs, read_table(spark, sf_dir, "labels"), usable=~fold(F.col("doc_id"), 5, 0))
-    return toxicity.score_documents(docs, grammar).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_documents(docs, grammar, prefix="_tox_").where("_tox_predicted = 0").select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (but for the case of A-Z) the one with the smallest doc_id stays."""
-    return exact_groups(docs, keep="min").where("kept").select(*docs.columns)
+    return exact_groups(docs, keep="min", prefix="_exact_").where("_exact_kept").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item or more, in any order of its passages, go."""
-    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), prefix="_leak_").where("not _leak_contaminated").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import shared_dir, written
 
@@ -167,15 +169,18 @@ def _near(doc: np.ndarray, item: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(has, doc, 0)[keep]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``docs`` with item_id, coverage, n_tiles, n_seeded (items that share a seed) and contaminated."""
-    spark = docs.sparkSession
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, most_bytes: int = MOST_BYTES, prefix: str = "") -> DataFrame:
+    """``docs`` with item_id, coverage, n_tiles, n_seeded (items that share a seed) and contaminated (prefixed; columns of
+    these names are replaced)."""
+    names = [prefix + x for x in ("item_id", "coverage", "n_tiles", "n_seeded", "contaminated")]
+    docs = docs.drop(*names)
     items = benchmark.where("item_id is not null").select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     if size > most_bytes:
-        return _joined(docs, items, min_match, threshold)
-    shared = spark.sparkContext.broadcast(Benchmark([tuple(r) for r in items.collect()], min_match))
-    schema = docs.schema.add("item_id", "long").add("coverage", "double").add("n_tiles", "int").add("n_seeded", "int").add("contaminated", "boolean")
+        return _joined(docs, items, min_match, threshold, names)
+    shared = docs.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in items.collect()], min_match))
+    kinds = (LongType(), DoubleType(), IntegerType(), IntegerType(), BooleanType())
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds, strict=True))])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +190,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
             kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32()]
             cols = [pa.array([x[k] for x in done], kind) for k, kind in enumerate(kinds)]
             cols.append(pa.array([x[0] is not None and x[1] >= threshold for x in done], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "item_id", "coverage", "n_tiles", "n_seeded", "contaminated"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
-def _joined(docs: DataFrame, items: DataFrame, min_match: int, threshold: float) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, min_match: int, threshold: float, names: list[str]) -> DataFrame:
     """The same for a benchmark of any size: seeds of both sides meet in a join, then texts of the pairs."""
     folder = shared_dir(docs.sparkSession)
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), folder, "rows")
-    shortest = 1
+    items = items.select(F.col("item_id").alias("_item"), F.col("text").alias("_item_text"))
 
     def seeds(sizes_of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,30 +217,23 @@ def _joined(docs: DataFrame, items: DataFrame, min_match: int, threshold: float)
 
         return run
 
-    item_seeds = items.select("item_id", "text").mapInArrow(seeds(lambda m: [min(min_match, m)] if m else []), "k long, n int, h long").select(F.col("k").alias("item_id"), "n", "h")
-    doc_seeds = rows.select("_row", "text").mapInArrow(seeds(lambda m: range(shortest, min(min_match, m) + 1)), "k long, n int, h long").select(F.col("k").alias("_row"), "n", "h")
-    pairs = written(doc_seeds.join(item_seeds, ["n", "h"]).select("_row", "item_id").distinct(), folder, "pairs")
-    texts = pairs.join(rows.select("_row", F.col("text").alias("doc_text")), "_row").join(items.withColumnRenamed("text", "item_text"), "item_id")
+    item_seeds = items.mapInArrow(seeds(lambda m: [min(min_match, m)] if m else []), "k long, n int, h long").select(F.col("k").alias("_item"), "n", "h")
+    doc_seeds = rows.select("_row", "text").mapInArrow(seeds(lambda m: range(1, min(min_match, m) + 1)), "k long, n int, h long").select(F.col("k").alias("_row"), "n", "h")
+    pairs = written(doc_seeds.join(item_seeds, ["n", "h"]).select("_row", "_item").distinct(), folder, "pairs")
+    texts = pairs.join(rows.select("_row", F.col("text").alias("_doc_text")), "_row").join(items, "_item").select("_row", "_item", "_doc_text", "_item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for item_id, text, item in zip(*(batch.column(c).to_pylist() for c in ("item_id", "doc_text", "item_text")), strict=True):
-                done.append(Benchmark([(item_id, item)], min_match).judge(text or ""))
-            kinds = [pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("item_id"), *(pa.array([x[k + 1] for x in done], kind) for k, kind in enumerate(kinds))], ["_row", "item_id", "coverage", "n_tiles"])
-
-    judged = texts.select("_row", "item_id", "doc_text", "item_text").mapInArrow(run, "_row long, item_id long, coverage double, n_tiles int")
-    best = judged.groupBy("_row").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("m"), "n_tiles")).alias("b"), F.count(F.lit(1)).cast("int").alias("n_seeded"))
-    out = rows.join(best, "_row", "left")
-    return out.select(
-        *docs.columns, F.when(F.col("b.coverage") > 0, -F.col("b.m")).alias("item_id"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"),
-        F.coalesce("b.n_tiles", F.lit(0)).alias("n_tiles"), F.coalesce("n_seeded", F.lit(0)).alias("n_seeded"),
-        (F.coalesce("b.coverage", F.lit(0.0)) >= threshold).alias("contaminated"),
-    )
+            texts = zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)
+            done = [Benchmark([(k, item)], min_match).judge(text or "") for k, text, item in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[1] for x in done], pa.float64()), pa.array([x[2] for x in done], pa.int32())], ["_row", "_item", "c", "t"])
 
+    judged = texts.mapInArrow(run, "_row long, _item long, c double, t int")
+    best = judged.groupBy("_row").agg(F.max(F.struct("c", (-F.col("_item")).alias("m"), "t")).alias("_b"), F.count(F.lit(1)).cast("int").alias("_n"))
+    coverage = F.coalesce(F.col("_b.c"), F.lit(0.0))
+    made = (F.when(coverage > 0, -F.col("_b.m")), coverage, F.when(coverage > 0, F.col("_b.t")).otherwise(0), F.coalesce("_n", F.lit(0)), coverage >= threshold)
+    return rows.join(best, "_row", "left").select(*docs.columns, *(c.alias(n) for c, n in zip(made, names, strict=True)))
 
-def hash_of(word: bytes) -> int:
-    import xxhash
 
+def hash_of(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)

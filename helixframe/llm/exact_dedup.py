@@ -11,10 +11,17 @@ unique ids. An empty table gives an empty table. Other columns pass through unto
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, shared_dir, written
+from .filters import bit_of, bit_table, may_hold
+
+#: Bits (a power of two) of the table that picks the texts worth comparing.
+BITS = 26
 
 
 def content_hash(text: Column) -> Column:
@@ -22,39 +29,46 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise=ascii_lower) -> DataFrame:
-    """``docs`` with keep_id, group_size and kept.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise=ascii_lower, prefix: str = "") -> DataFrame:
+    """``docs`` with keep_id, group_size and kept (prefixed; columns of these names are replaced).
 
     keep: "min" or "max" id of a group stays. normalise: the column function under which texts count as equal.
     """
     best = F.min if keep == "min" else F.max
-    base = docs.withColumn("_norm", normalise(F.coalesce(F.col(text_col), F.lit(""))))
-    base = base.withColumn("_h", content_hash(F.col("_norm")))
-    groups = base.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), best(id_col).alias("_keep"))
-    rows = base.drop("_norm").join(groups, "_h", "left")
-    checked = _checked(base, groups, id_col, best)
-    # A verified group takes the hash's row; a text that merely shares the hash takes the row of its own bytes.
-    out = rows.join(checked, "_h", "left")
-    own = F.element_at(F.col("_by_text"), F.sha2(normalise(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 512))
-    out = out.withColumn("_own", F.when(F.col("_by_text").isNotNull(), own))
-    return out.select(
-        *[F.col(c) for c in docs.columns],
-        F.coalesce(F.col("_own.keep"), F.col("_keep")).alias("keep_id"),
-        F.coalesce(F.col("_own.n"), F.col("_n")).cast("long").alias("group_size"),
-        F.coalesce(F.col(id_col).eqNullSafe(F.coalesce(F.col("_own.keep"), F.col("_keep"))), F.lit(False)).alias("kept"),
-    )
-
-
-def _checked(base: DataFrame, groups: DataFrame, id_col: str, best) -> DataFrame:
-    """For hashes under which different bytes meet (none, but for a collision): what each of the texts has.
-
-    The bytes of every member of a group of two or more are compared with those of one member of the group.
+    norm = normalise(F.coalesce(F.col(text_col), F.lit("")))
+    folder = shared_dir(docs.sparkSession)
+    groups = docs.select(F.col(id_col).alias("_id"), content_hash(norm).alias("_h")).groupBy("_h")
+    groups = written(groups.agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep")), folder, "groups")
+    mixed = _mixed(docs.select(F.col(id_col).alias("_id"), content_hash(norm).alias("_h"), norm.alias("_norm")), groups, folder, best)
+    out = docs.withColumn("_h", content_hash(norm))
+    keep_id, size = F.col("_keep"), F.col("_n")
+    if mixed is None:
+        out = out.join(groups, "_h", "left")
+    else:  # a text that merely shares the hash of another takes the row of its own bytes
+        out = out.withColumn("_norm", norm).join(groups, "_h", "left").join(mixed, ["_h", "_norm"], "left")
+        keep_id, size = F.when(F.col("_own_n").isNotNull(), F.col("_own_keep")).otherwise(keep_id), F.coalesce("_own_n", "_n")
+    kept = F.coalesce(F.col(id_col).eqNullSafe(keep_id), F.lit(False))
+    return out.select(*[F.col(c) for c in docs.columns], *(c.alias(n) for c, n in zip((keep_id, size, kept), made, strict=True)))
+
+
+def _mixed(base: DataFrame, groups: DataFrame, folder: str, best) -> DataFrame | None:
+    """The bytes of every member of a group of two or more are compared with those of one member.
+
+    None, but if different bytes meet under a hash: then what each text of such hashes has (_h, _norm, _own_n, _own_keep).
     """
-    shared = groups.where("_n > 1").select("_h", F.col("_keep").alias("_lead"))
-    lead = base.join(shared, (base["_h"] == shared["_h"]) & base[id_col].eqNullSafe(shared["_lead"])).select(base["_h"], "_norm")
-    lead = lead.dropDuplicates(["_h"]).withColumnRenamed("_norm", "_lead_norm")
-    differ = base.join(lead, "_h").where(F.col("_norm") != F.col("_lead_norm")).select("_h").distinct()
-    per_text = base.join(differ, "_h", "left_semi").groupBy("_h", "_norm").agg(F.count(F.lit(1)).alias("n"), best(id_col).alias("keep"))
-    return per_text.groupBy("_h").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.sha2(F.col("_norm").cast("binary"), 512), F.struct("n", "keep")))).alias("_by_text")
-    )
+    shared = groups.where("_n > 1")
+    table = base.sparkSession.sparkContext.broadcast(bit_table(shared, "_h", BITS))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(table.value, batch.column(3).to_numpy()))).select([0, 1, 2])
+
+    kind = dict(base.dtypes)["_id"]
+    some = base.select("_id", "_h", "_norm", bit_of(F.col("_h"), BITS).alias("_bit")).mapInArrow(members, f"_id {kind}, _h binary, _norm string")
+    some = written(some.join(shared.select("_h", "_keep"), "_h"), folder, "members")
+    lead = some.where(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_h").agg(F.min("_norm").alias("_lead"))
+    differ = written(some.join(lead, "_h").where("_norm != _lead").select("_h").distinct(), folder, "differ")
+    if differ.isEmpty():
+        return None
+    per_text = some.join(differ, "_h", "left_semi").groupBy("_h", "_norm")
+    return written(per_text.agg(F.count(F.lit(1)).alias("_own_n"), best("_id").alias("_own_keep")), folder, "mixed")

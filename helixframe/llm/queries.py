@@ -36,7 +36,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_columns(read_table(spark, sf_dir, "documents"))
     sha = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
-    return exact_groups(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", sha.alias("text_sha256"))
+    return exact_groups(docs.withColumn("text_sha256", sha), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP2_SQL = """

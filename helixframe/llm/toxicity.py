@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 SEEDS = {
     "insult": "idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile bastard fool dumb retard idiota estúpido imbécil basura idiote stupide crétin ordure dummkopf trottel abschaum",
@@ -250,11 +251,13 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, max_train: int = 6000
     return fit([r["text"] for r in rows], [r["y"] for r in rows], counts[1] / (counts[0] + counts[1]))
 
 
-def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with score, predicted and n_matches; only the text is read by the model."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(grammar)  # at most 400 entries
-    schema = docs.schema.add("score", "double").add("predicted", "int").add("n_matches", "int")
+def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.5, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with score, predicted and n_matches (prefixed; columns of these names are replaced); only the text is scored."""
+    names = [prefix + x for x in ("score", "predicted", "n_matches")]
+    docs = docs.drop(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # at most 400 entries
+    kinds = (DoubleType(), IntegerType(), IntegerType())
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds, strict=True))])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +266,6 @@ def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.5, t
             done = [g.score(t or "") for t in batch.column(at).to_pylist()]
             score = pa.array([s for s, _ in done], pa.float64())
             extra = [score, pa.array([int(s >= threshold) for s, _ in done], pa.int32()), pa.array([n for _, n in done], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "score", "predicted", "n_matches"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
