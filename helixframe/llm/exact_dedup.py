@@ -34,6 +34,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep: "min" or "max" id of a group stays. normalise: the column function under which texts count as equal.
     """
+    made = [prefix + x for x in ("keep_id", "group_size", "kept")]
+    docs = docs.drop(*made)
     best = F.min if keep == "min" else F.max
     norm = normalise(F.coalesce(F.col(text_col), F.lit("")))
     folder = shared_dir(docs.sparkSession)
