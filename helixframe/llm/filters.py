@@ -15,9 +15,12 @@ def bit_of(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
-def bit_table(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """The table of 2**bits bits (as bytes, 2**(bits - 3) of them) for the keys of a column; at most that much is collected."""
-    at = bit_of(F.col(column), bits)
+def bit_table(keys: DataFrame, column: str, bits: int, hashed: bool = False) -> np.ndarray:
+    """The table of 2**bits bits for the keys of a column; at most that much is collected.
+
+    hashed: the column is an evenly spread long, whose low bits are the bit's number.
+    """
+    at = F.col(column).bitwiseAND((1 << bits) - 1) if hashed else bit_of(F.col(column), bits)
     words = keys.select(F.shiftright(at, 6).alias("w"), at.alias("b"))
     words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
     table = np.zeros(1 << max(0, bits - 6), np.uint64)

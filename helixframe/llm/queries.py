@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, near_dedup, packing, token_counts, toxicity, url_filter
+from . import decontamination, language_model, license_scan, near_dedup, packing, substring_dedup, token_counts, toxicity, url_filter
 from .common import ascii_lower, doc_columns, fold, read_table
 from .exact_dedup import exact_groups
 
@@ -62,6 +62,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "coverage", "n_tiles", "n_seeded", "contaminated")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.train(docs))
+    families = F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["family"])))
+    best = F.coalesce(F.round(F.array_max(F.transform("findings", lambda x: x["probability"])), 6), F.lit(0.0))
+    return found.select("doc_id", families.alias("families"), F.size("findings").alias("n_notices"), best.alias("probability"), (F.size("findings") > 0).alias("licensed"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -75,7 +87,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_exact_dedup, op3_language_model, op4_url_filter, op5_decontamination, op8_near_dedup, op9_token_counts, op10_packing)
+    named = (op1_toxicity, op2_exact_dedup, op3_language_model, op4_url_filter, op5_decontamination, op6_suffix_array_dedup, op7_license_scan, op8_near_dedup, op9_token_counts, op10_packing)
     return {f.__name__: f for f in named}
 
 
