@@ -69,8 +69,9 @@ def _mixed(base: DataFrame, groups: DataFrame, folder: str, best) -> DataFrame |
     some = base.select("_id", "_h", "_norm", bit_of(F.col("_h"), BITS).alias("_bit")).mapInArrow(members, f"_id {kind}, _h binary, _norm string")
     some = written(some.join(shared.select("_h", "_keep"), "_h"), folder, "members")
     lead = some.where(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_h").agg(F.min("_norm").alias("_lead"))
-    differ = written(some.join(lead, "_h").where("_norm != _lead").select("_h").distinct(), folder, "differ")
+    # No aggregate on top of this join: it would keep a hot hash's rows together, as written they can be split.
+    differ = written(some.join(lead, "_h").where("_norm != _lead").select("_h"), folder, "differ")
     if differ.isEmpty():
         return None
-    per_text = some.join(differ, "_h", "left_semi").groupBy("_h", "_norm")
+    per_text = some.join(differ.distinct(), "_h", "left_semi").groupBy("_h", "_norm")
     return written(per_text.agg(F.count(F.lit(1)).alias("_own_n"), best("_id").alias("_own_keep")), folder, "mixed")
