@@ -128,3 +128,84 @@ def call_segments(segments: DataFrame, low: float = 0.9, high: float = 1.1, outl
     far = F.col("s2") * call_z
     call = F.when(neutral | F.isnan(far) | far.isNull(), "0").when(x - F.col("m2") < -far, "-").when(x - F.col("m2") > far, "+").otherwise("0")
     return segments.crossJoin(F.broadcast(second)).withColumn("call", call).drop("m2", "s2")
+
+
+def kernel_changepoints(x: np.ndarray, most: int = 10, window: int = 8, penalty: float = 1.0, width: float = 1.0) -> list[int]:
+    """Change points of a series: the local cost of a Gaussian kernel says where two windows differ most; those that lower the
+    penalised cost of the whole stay."""
+    n = len(x)
+    if n < 2 * window:
+        return []
+
+    def cost(a: int, b: int) -> float:
+        d = x[a:b, None] - x[None, a:b]
+        return (b - a) - np.exp(-(d**2) / (2 * width * width)).sum() / (b - a)
+
+    gain = np.zeros(n)
+    for k in range(window, n - window + 1):
+        gain[k] = cost(k - window, k + window) - cost(k - window, k) - cost(k, k + window)
+    peaks = [k for k in range(window, n - window + 1) if gain[k] > 0 and gain[k] == gain[max(0, k - window) : k + window + 1].max()]
+    kept: list[int] = []
+    for k in sorted(peaks, key=lambda k: -gain[k])[:most]:
+        edges = [0, *sorted(kept), n]
+        a = max(e for e in edges if e < k) if k not in edges else k
+        b = min(e for e in edges if e > k)
+        if a < k and cost(a, b) - cost(a, k) - cost(k, b) > penalty * np.log(n):
+            kept.append(k)
+    return sorted(kept)
+
+
+def kernel_segments(df: DataFrame, value: str = "log2_ratio", penalty: float = 1.0, width: float = 1.0) -> DataFrame:
+    """Segments of each contig's points by kernel change points: (contig, start, end, n_points, mean)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "end"])
+        x = pdf[value].to_numpy(float)
+        edges = [0, *kernel_changepoints(x, penalty=penalty, width=width), len(x)]
+        rows = [(pdf["contig"].iloc[0], int(pdf["start"].iloc[a]), int(pdf["end"].iloc[b - 1]), b - a, float(x[a:b].mean())) for a, b in zip(edges, edges[1:], strict=False)]
+        return pd.DataFrame(rows, columns=["contig", "start", "end", "n_points", "mean"])
+
+    kind = dict(df.dtypes)["contig"]
+    return df.select("contig", "start", "end", value).groupBy("contig").applyInPandas(run, f"contig {kind}, start long, end long, n_points long, mean double")
+
+
+def smooth_segments(segments: list[tuple[int, float, float]], overlap: float = 2.0) -> list[tuple[int, float, float]]:
+    """Neighbours (n, mean, sd) whose means lie within ``overlap`` standard errors are merged, the closest first, until none are."""
+    held = list(segments)
+    while len(held) > 1:
+        gaps = [(abs(a[1] - b[1]) / max(1e-12, np.hypot(a[2] / np.sqrt(a[0]), b[2] / np.sqrt(b[0]))), k) for k, (a, b) in enumerate(zip(held, held[1:], strict=False))]
+        gap, k = min(gaps)
+        if gap > overlap:
+            break
+        a, b = held[k], held[k + 1]
+        n = a[0] + b[0]
+        mean = (a[0] * a[1] + b[0] * b[1]) / n
+        var = (a[0] * (a[2] ** 2 + a[1] ** 2) + b[0] * (b[2] ** 2 + b[1] ** 2)) / n - mean**2
+        held[k : k + 2] = [(n, mean, float(np.sqrt(max(0.0, var))))]
+    return held
+
+
+def sample_posterior(x: np.ndarray, samples: int = 200, burn: int = 50, seed: int = 47, low: float = -10.0, high: float = 10.0) -> np.ndarray:
+    """Posterior deciles of a segment's mean (bounded, flat prior; variance by its conditional): a Gibbs chain."""
+    rng = np.random.default_rng(seed)
+    n = len(x)
+    if not n:
+        return np.full(9, np.nan)
+    mean, out = float(x.mean()), []
+    for k in range(samples + burn):
+        var = max(1e-12, ((x - mean) ** 2).sum() / 2) / rng.gamma(max(0.5, n / 2))
+        mean = float(np.clip(rng.normal(x.mean(), np.sqrt(var / n)), low, high))
+        if k >= burn:
+            out.append(mean)
+    return np.quantile(out, np.arange(1, 10) / 10)
+
+
+def segment_posteriors(df: DataFrame, keys: list[str], value: str = "log2_ratio") -> DataFrame:
+    """Deciles of the posterior of each segment's mean."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = sample_posterior(np.sort(pdf[value].to_numpy(float)))
+        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], len(pdf), float(q[0]), float(q[4]), float(q[8]))], columns=[*keys, "n_points", "p10", "p50", "p90"])
+
+    kinds = dict(df.dtypes)
+    return df.select(*keys, value).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_points long, p10 double, p50 double, p90 double")

@@ -132,3 +132,14 @@ OUTPUT_MODES = {
     "ends_in": lambda: (F.col("end") > F.col("start_r")) & (F.col("end") <= F.col("end_r")),
     "contained": lambda: (F.col("start") >= F.col("start_r")) & (F.col("end") <= F.col("end_r")),
 }
+
+
+def merge_index_bins(counts: list[int], width: int, most_average: float = 100.0, least_width: int = 1_024_000) -> tuple[list[int], int]:
+    """Feature counts of neighbouring bins added up in pairs while bins are narrower than ``least_width``, or while the fullest
+    merged bin stays at most ``most_average`` features; one bin is left at least."""
+    while len(counts) > 1:
+        merged = [sum(counts[k : k + 2]) for k in range(0, len(counts), 2)]
+        if width >= least_width or max(merged) > most_average:
+            break
+        counts, width = merged, width * 2
+    return counts, width
