@@ -125,3 +125,14 @@ def _site_frequency(pls) -> float:
 def allele_frequency_em(pls: Column | str) -> Column:
     """Per site: array of samples' PL triples -> alternate frequency by EM."""
     return _rowwise(_site_frequency, pls)
+
+
+def reference_confidence(ref_quals: Column, alt_quals: Column) -> Column:
+    """PLs of hom-ref, het and hom-var from the base qualities of reference and other bases (arrays), least 0."""
+    def part(quals: Column, state: int, alt: bool) -> Column:
+        e = lambda q: F.pow(F.lit(10.0), -q.cast("double") / 10.0)
+        p = {0: lambda q: 1 - e(q), 1: lambda q: F.lit(0.5) * (1 - e(q)) + F.lit(0.5) * e(q) / 3, 2: lambda q: e(q) / 3}[2 - state if alt else state]
+        return F.aggregate(quals, F.lit(0.0), lambda s, q: s + F.log10(F.greatest(p(q), F.lit(1e-30))))
+
+    raw = F.array(*[-10.0 * (part(ref_quals, k, False) + part(alt_quals, k, True)) for k in range(3)])
+    return F.transform(raw, lambda x: F.floor(x - F.array_min(raw) + 0.5).cast("int"))

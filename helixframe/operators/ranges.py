@@ -143,3 +143,14 @@ def merge_index_bins(counts: list[int], width: int, most_average: float = 100.0,
             break
         counts, width = merged, width * 2
     return counts, width
+
+
+def drop_unknown_bins(bins: DataFrame, reference: DataFrame) -> DataFrame:
+    """Bins that hold a base other than N of the reference (contig, start, seq chunks)."""
+    chunks = reference.select("contig", "start", (F.col("start") + F.length("seq")).alias("end"), "seq")
+    width = 10_000
+    hit = overlap_join(bins.select("contig", "start", "end"), chunks, width)
+    low, high = F.greatest("start", "start_r"), F.least("end", "end_r")
+    piece = F.substr(F.col("seq_r"), (low - F.col("start_r") + 1).cast("int"), (high - low).cast("int"))
+    good = hit.where(piece.rlike("[ACGTacgt]")).select("contig", "start", "end").distinct()
+    return bins.join(good, ["contig", "start", "end"], "left_semi")

@@ -170,3 +170,63 @@ def apply_to_reference(reference: DataFrame, variants: DataFrame) -> DataFrame:
     per = snps.withColumn("start", F.floor(F.col("pos") / width) * width).groupBy("contig", "start").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("start")).cast("int").alias("k"), "alt"))).alias("_m"))
     put = F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.coalesce(F.try_element_at(F.col("_m"), i), c)), "")
     return reference.join(per, ["contig", "start"], "left").withColumn("seq", F.when(F.col("_m").isNull(), F.col("seq")).otherwise(put)).drop("_m")
+
+
+def info_wildcard(info: Column, prefix: str) -> Column:
+    """All INFO fields whose key starts with a prefix, as ``key=value,value`` joined with ``;`` in key order; NA without any."""
+    keys = F.array_sort(F.filter(F.map_keys(info), lambda k: k.startswith(prefix)))
+    text = F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("="), F.array_join(info[k], ","))), ";")
+    return F.when(F.size(keys) > 0, text).otherwise("NA")
+
+
+def genotype_fields(df: DataFrame, fields: list[str], samples: list[str]) -> DataFrame:
+    """One column ``sample.field`` per sample and field, NA where missing."""
+    out = df
+    for s in samples:
+        g = F.get(F.filter("genotypes", lambda x: x["sample"] == s), F.lit(0))
+        for f in fields:
+            value = F.array_join(F.transform(g[f], lambda a: F.when(a < 0, ".").otherwise(a.cast("string"))), "/") if f == "gt" else F.array_join(g[f], ",") if f in ("ad", "pl") else g[f].cast("string")
+            out = out.withColumn(f"{s}.{f}", F.coalesce(value, F.lit("NA")))
+    return out
+
+
+def genotype_labels(genotypes: Column, rules: dict[str, object], no_call: bool = False) -> Column:
+    """Genotypes with FT set to the labels of the rules (functions of a genotype) they fail, PASS without any; failing ones
+    lose their alleles if asked."""
+    def mark(g: Column) -> Column:
+        bad = F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(rule(g), F.lit(False)), F.lit(n)) for n, rule in rules.items()])))
+        out = g.withField("ft", F.when(F.size(bad) > 0, F.array_join(bad, ";")).otherwise("PASS"))
+        return out.withField("gt", F.when(F.size(bad) > 0, F.transform(g["gt"], lambda a: F.lit(-1))).otherwise(g["gt"])) if no_call else out
+
+    return F.transform(genotypes, mark)
+
+
+def drop_unused_alternates(df: DataFrame) -> DataFrame:
+    """Rows (alts, gts: arrays of alleles) without the alternates nobody calls; allele numbers are renumbered."""
+    used = F.filter(F.sequence(F.lit(1), F.greatest(F.size("alts"), F.lit(1))), lambda k: F.exists(F.flatten("gts"), lambda a: a == k))
+    kept = df.withColumn("_u", used)
+    gts = F.transform("gts", lambda g: F.transform(g, lambda a: F.when(a > 0, F.array_position(F.col("_u"), a).cast("int")).otherwise(a)))
+    return kept.withColumn("gts", gts).withColumn("alts", F.transform("_u", lambda k: F.get(F.col("alts"), k - 1))).drop("_u")
+
+
+def top_alternates(alleles: DataFrame, most: int, site: list[str], score: str = "score", index: str = "alt_index") -> DataFrame:
+    """At most ``most`` alternates of a site by score (the first of equals), in their old order, renumbered from 1 as new_index."""
+    w = Window.partitionBy(*site).orderBy(F.col(score).desc(), index)
+    best = alleles.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+    return best.withColumn("new_index", F.row_number().over(Window.partitionBy(*site).orderBy(index)))
+
+
+def annotate_from(variants: DataFrame, resource: DataFrame, fields: list[str], flag: str = "in_resource") -> DataFrame:
+    """Variants (contig, pos, ref, alts) with a resource's fields where it has a row at that start with an alternate in common
+    (the first by id), and a flag whether it has."""
+    r = resource.select("contig", "pos", F.col("ref").alias("_ref"), F.col("alts").alias("_alts"), F.struct("id", *fields).alias("_f"))
+    hit = variants.select("id", "contig", "pos", "ref", "alts").join(r, ["contig", "pos"]).where((F.col("ref") == F.col("_ref")) & F.arrays_overlap("alts", "_alts"))
+    first = hit.groupBy("id").agg(F.min("_f").alias("_f"))
+    return variants.join(first, "id", "left").select(*variants.columns, *[F.col("_f")[f].alias(f"resource_{f}") for f in fields], F.col("_f").isNotNull().alias(flag))
+
+
+def cardinality_errors(values: Column, number: str, alts: Column, ploidy: int = 2) -> Column:
+    """Whether a field's values break its Number: 1, A (per alternate), R (per allele), G (per genotype) or a count."""
+    n = F.size(alts)
+    want = {"A": n, "R": n + 1, "G": ((n + 1) * (n + 2) / 2).cast("int") if ploidy == 2 else n + 1}.get(number, F.lit(int(number)) if number.isdigit() else F.size(values))
+    return F.coalesce(F.size(values) != want, F.lit(False))

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
-    from . import calls, intervals, models, reads, somatic, tables
+    from . import calls, fields, intervals, models, reads, somatic, tables
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (reads, intervals, calls, tables, models, somatic):
+    for module in (reads, intervals, calls, fields, tables, models, somatic):
         out |= module.QUERIES
     return out

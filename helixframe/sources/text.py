@@ -111,3 +111,16 @@ def write_vcf(df: DataFrame, path: str, header: list[str] | None = None) -> None
 
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def write_fasta(reference: DataFrame, path: str, width: int = 60) -> None:
+    """(contig, seq) as FASTA, one record a row, lines of ``width`` bases."""
+    lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    reference.select(F.concat(F.lit(">"), F.col("contig").cast("string"), F.lit("\n"), lines).alias("value")).write.mode("overwrite").text(path)
+
+
+def rotated(seq: Column, start: Column) -> Column:
+    """A circular sequence that starts ``start`` bases further on."""
+    n = F.greatest(F.length(seq), F.lit(1))
+    k = F.pmod(start, n).cast("int")
+    return F.concat(F.substr(seq, k + 1, F.length(seq)), F.substr(seq, F.lit(1), k))
