@@ -57,6 +57,13 @@ def dropped(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in slices of a few rows, so that a worker never holds more than these as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def batches_of(rows: Iterator, most_bytes: int, size) -> Iterator[list]:
     """Rows in lists of at most ``most_bytes`` (one row may be larger)."""
     held: list = []
