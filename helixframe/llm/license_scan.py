@@ -165,10 +165,11 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps:
 def train(docs: DataFrame, sample_docs: int = 400) -> Model:
     """``sample_docs`` texts (by the order of a hash of the id) lend the examples of unknown: at most 40 lines of each, and
     no line that holds most of a notice."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.slice(F.split(F.substring("text", 1, 20000), "\n"), 1, 40).alias("lines"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
+    some = docs.where("doc_id is not null and text is not null")
+    picked = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)  # ids alone travel
+    rows = some.join(F.broadcast(picked), "doc_id", "left_semi").select(F.slice(F.split("text", "\n"), 1, 40).alias("lines")).collect()
     notices = [_pairs(words_of(n)) for x in NOTICES.values() for n in x]
-    lines = [line for r in rows for line in r["lines"]]
+    lines = sorted(line for r in rows for line in r["lines"])
     return fit([line for line in lines if line and not any(_share(n, line) >= 0.5 for n in notices)])
 
 
