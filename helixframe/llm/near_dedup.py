@@ -8,8 +8,10 @@ rotation of the values, and classes that share a prefix of a tree's order form a
    pairs that are far apart, the rest is confirmed on the full shingle sets. Links give components.
 2. Only classes of one region but different components can still be linked. Regions with at most ``SMALL`` classes yield
    those pairs; the others are split by longer common prefixes of more trees (4, 6, then 8 values: adaptive depth
-   per region), until the regions are small or the prefix is at its longest, where all pairs between components are taken.
-   They are confirmed alike and the components joined.
+   per region), until the regions are small. Their pairs are confirmed alike.
+3. Regions that are still large at eight values hold versions of one text. Their classes outside the region's largest
+   component are compared with all others, block against block (at most ``BLOCK`` classes each), on the full sets; a task
+   gives back the links that join components, not pairs.
 
 No region is gathered in one task: regions are counted by pre-aggregated sums first and only small ones are listed; the
 rest are joins that adaptive execution can split. At a similarity of 0.75 exactly, a pair is missed by all 24
@@ -30,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, small, written
 from .components import min_label_components
 from .filters import bit_of, bit_table, may_hold
 
-WIDTH, VALUES, TREES, SMALL, BITS = 5, 48, 24, 16, 26
+WIDTH, VALUES, SMALL, BLOCK, BITS = 5, 48, 16, 256, 26
 #: Of 48 values, pairs at a similarity of 0.75 share 36 on average; fewer than 18 has a probability of 1e-8.
 LEAST_EQUAL = 18
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -78,7 +80,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kind = dict(src.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, h, sig = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_hashes(t, width)
@@ -97,39 +99,38 @@ def _entries(classes: DataFrame, depth: int) -> DataFrame:
     return classes.select("h", F.explode(F.array(*keys)).alias("key"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, folder: str, round_: int, percent: int, width: int) -> DataFrame:
-    """Of pairs (a, b) of class keys: those whose full sets are similar enough, as a table."""
-    sig = classes.select(F.col("h"), F.col("sig"))
-    near = pairs.join(sig.select(F.col("h").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("h").alias("b"), F.col("sig").alias("sb")), "b")
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = written(near.where(equal >= LEAST_EQUAL).select("a", "b"), folder, f"near{round_}")
-    ends = near.select(F.col("a").alias("h")).union(near.select(F.col("b").alias("h"))).distinct()
-    wanted = written(classes.join(ends, "h").select("h", "rep"), folder, f"wanted{round_}")
+def _full_sets(wanted: DataFrame, docs: DataFrame, folder: str, name: str, width: int) -> DataFrame:
+    """(h, s) for the classes of ``wanted`` (h, rep), as a table: made again from the texts, which a bit table picks."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "rep", BITS))
     src = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), bit_of(F.col("doc_id"), BITS).alias("bit"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(table.value, batch.column(2).to_numpy())))
-            for k in range(0, batch.num_rows, 500):
-                some = [shingle_hashes(t, width) for t in batch.column(1)[k : k + 500].to_pylist()]
+            for k in range(0, batch.num_rows, 100):
+                some = [shingle_hashes(t, width) for t in batch.column(1)[k : k + 100].to_pylist()]
                 some = [s for s in some if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in some], pa.binary()), pa.array([s.tobytes() for s in some], pa.binary())], ["h", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in some], pa.binary()), pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64()))], ["h", "s"])
 
-    found = src.mapInArrow(sets, "h binary, s binary").dropDuplicates(["h"])
-    found = written(found.join(wanted.select("h"), "h", "left_semi"), folder, f"sets{round_}")
-    both = near.join(found.select(F.col("h").alias("b"), F.col("s").alias("t")), "b").join(found.select(F.col("h").alias("a"), "s"), "a").select("a", "b", "s", "t")
+    found = src.mapInArrow(sets, "h binary, s array<long>").dropDuplicates(["h"])
+    return written(found.join(wanted.select("h"), "h", "left_semi"), folder, name)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for s, t in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.mapInArrow(compare, "a binary, b binary"), folder, f"links{round_}")
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, folder: str, round_: int, percent: int, width: int) -> DataFrame:
+    """Of pairs (a, b) of class keys: those whose full sets are similar enough, as a table."""
+    # Written first: a distinct right below the join would keep all pairs of one class in one task.
+    pairs = written(pairs, folder, f"candidates{round_}")
+    sig = classes.select(F.col("h"), F.col("sig"))
+    near = pairs.join(sig.select(F.col("h").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("h").alias("b"), F.col("sig").alias("sb")), "b")
+    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    near = written(near.where(equal >= LEAST_EQUAL).select("a", "b"), folder, f"near{round_}")
+    ends = near.select(F.col("a").alias("h")).union(near.select(F.col("b").alias("h"))).distinct()
+    found = _full_sets(written(classes.join(ends, "h").select("h", "rep"), folder, f"wanted{round_}"), docs, folder, f"sets{round_}", width)
+    both = near.join(found.select(F.col("h").alias("b"), F.col("s").alias("t")), "b").join(found.select(F.col("h").alias("a"), "s"), "a")
+    # Row by row in the JVM: batches of pairs of long texts' sets would be large.
+    common = F.size(F.array_intersect("s", "t"))
+    both = both.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("a", "b")
+    return written(both, folder, f"links{round_}")
 
 
 def _star_pairs(entries: DataFrame) -> DataFrame:
@@ -137,50 +138,96 @@ def _star_pairs(entries: DataFrame) -> DataFrame:
     return entries.join(regions, "key").where("h != a").select("a", F.col("h").alias("b")).distinct()
 
 
-def _cross_pairs(classes: DataFrame, labels: DataFrame, folder: str, depth: int = 2) -> DataFrame:
-    """Pairs of one region and different components (classes: h, sig; labels: h -> label, for linked classes only)."""
+def _cross_pairs(classes: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of one small region and different components, and (key, h, label) of regions that stay large, if any.
+
+    classes: h, sig; labels: h -> label, for linked classes only.
+    """
     marked = classes.join(labels, "h", "left").select("h", "sig", F.coalesce("label", "h").alias("label"))
     out = None
     for depth in (2, 4, 6, 8):
         entries = _entries(marked, depth).join(marked.select("h", "label"), "h")
         regions = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low != high")
         regions = written(regions.select("key", "n"), folder, f"regions{depth}")
-        small = regions.where(F.col("n") <= SMALL) if depth < 8 else regions
-        if depth < 8:
-            listed = entries.join(small.select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("label", "h")).alias("x"))
-            one = listed.select("x", F.explode("x").alias("p"))
-            pairs = one.select("p", F.explode("x").alias("q")).where("p.h < q.h and p.label != q.label").select(F.col("p.h").alias("a"), F.col("q.h").alias("b"))
-        else:
-            left = entries.join(small.select("key"), "key")
-            right = left.select("key", F.col("h").alias("b"), F.col("label").alias("other"))
-            pairs = left.select("key", F.col("h").alias("a"), "label").join(right, "key").where("a < b and label != other").select("a", "b")
+        listed = entries.join(regions.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("label", "h")).alias("x"))
+        one = listed.select("x", F.explode("x").alias("p"))
+        pairs = one.select("p", F.explode("x").alias("q")).where("p.h < q.h and p.label != q.label").select(F.col("p.h").alias("a"), F.col("q.h").alias("b"))
         pairs = written(pairs.distinct(), folder, f"pairs{depth}")
         out = pairs if out is None else out.union(pairs)
-        large = regions.where(F.col("n") > SMALL)
-        if depth == 8 or large.isEmpty():
-            return out.distinct()
-        marked = written(marked.join(entries.join(large.select("key"), "key").select("h").distinct(), "h", "left_semi"), folder, f"marked{depth}")
-    return out
+        large = regions.where(F.col("n") > SMALL).select("key")
+        if large.isEmpty():
+            return out.distinct(), None
+        large = written(entries.join(large, "key"), folder, f"large{depth}")
+        if depth < 8:
+            marked = written(marked.join(large.select("h").distinct(), "h", "left_semi"), folder, f"marked{depth}")
+    return out.distinct(), large.select("key", "h", "label")
+
+
+def _block_links(large: DataFrame, classes: DataFrame, docs: DataFrame, folder: str, percent: int, width: int) -> DataFrame:
+    """Links that join components of the same large region, as a table (a, b)."""
+    wanted = written(classes.join(large.select("h").distinct(), "h").select("h", "rep"), folder, "wanted_large")
+    sets = _full_sets(wanted, docs, folder, "sets_large", width)
+    sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    regions = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    # Blocks of the main component (negative numbers) and of the others; pairs of two main blocks aren't compared.
+    m, o = F.ceil(F.col("n_main") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")
+    spread = large.join(regions, "key").withColumn("is_main", F.col("label") == F.col("main"))
+    own = F.when(F.col("is_main"), -1 - F.pmod(F.xxhash64("h"), m)).otherwise(F.pmod(F.xxhash64("h"), o)).cast("int")
+    spread = spread.withColumn("own", own)
+    others = F.sequence(F.lit(0), o - 1)
+    pairs = F.when(F.col("is_main"), F.transform(others, lambda k: F.struct(k.alias("i"), F.col("own").alias("j")))).otherwise(
+        F.concat(F.transform(others, lambda k: F.struct(F.greatest(k, F.col("own")).alias("i"), F.least(k, F.col("own")).alias("j"))), F.transform(F.sequence(F.lit(1), m), lambda k: F.struct(F.col("own").alias("i"), (-k).alias("j")))))
+    dealt = spread.select("key", "h", "label", F.explode(pairs).alias("p")).join(sets, "h").select("key", "p.i", "p.j", "h", "label", "s")
+
+    def compare(table: pa.Table) -> pa.Table:
+        h, label = table.column("h").to_pylist(), table.column("label").to_pylist()
+        lists = table.column("s").combine_chunks()
+        joined, size = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy().astype(np.int64)
+        begin = np.r_[0, np.cumsum(size)[:-1]]
+        sets = np.split(joined, begin[1:])
+        top = {x: x for x in label}
+
+        def find(x: bytes) -> bytes:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        a, b = [], []
+        for k in range(len(h) - 1):
+            rest = joined[begin[k + 1] :]
+            hit = sets[k][np.minimum(np.searchsorted(sets[k], rest), size[k] - 1)] == rest
+            common = np.add.reduceat(hit.astype(np.int64), begin[k + 1 :] - begin[k + 1])
+            for q in np.flatnonzero(100 * common >= percent * (size[k] + size[k + 1 :] - common)) + k + 1:
+                x, y = find(label[k]), find(label[q])
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+                    a.append(h[k])
+                    b.append(h[q])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return written(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary"), folder, "links_large")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (it names its component), class_size, class_links."""
+    """One row per document: doc_id, n_shingles, component_id, kept (it names its component), class_size (equal sets)."""
     folder = shared_dir(docs.sparkSession)
     rows = written(sketches(docs, width), folder, "sketches")
     grouped = rows.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.min("sig").alias("sig"))
     classes = written(grouped, folder, "classes")
     links = _confirmed(_star_pairs(_entries(classes, 2)), classes, docs, folder, 1, percent, width)
     labels = written(min_label_components(links, f"{folder}/cc1").select(F.col("id").alias("h"), "label"), folder, "labels1")
-    more = _confirmed(_cross_pairs(classes.select("h", "sig"), labels, folder), classes, docs, folder, 2, percent, width)
+    pairs, large = _cross_pairs(classes.select("h", "sig"), labels, folder)
+    more = _confirmed(pairs, classes, docs, folder, 2, percent, width)
+    if large is not None:
+        more = more.union(_block_links(large, classes, docs, folder, percent, width))
     if not more.isEmpty():
         # Components of the first round are single edges to their label by now.
         edges = more.unionByName(labels.select(F.col("h").alias("a"), F.col("label").alias("b")).where("a != b"))
         labels = written(min_label_components(edges, f"{folder}/cc2").select(F.col("id").alias("h"), "label"), folder, "labels2")
-    degree = links.union(more).select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("class_links"))
-    named = classes.select("h", "rep", "class_size").join(labels, "h", "left").withColumn("label", F.coalesce("label", "h")).join(degree, "h", "left")
+    named = classes.select("h", "rep", "class_size").join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "label").select("h", "component_id", "class_size", F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    named = named.join(least, "label").select("h", "component_id", "class_size")
     out = rows.select("doc_id", "n", "h").join(named, "h", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"),
-                      F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
