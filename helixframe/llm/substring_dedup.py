@@ -14,8 +14,10 @@ loss:
   (``suffix_order``): triples at sampled positions are sorted and named, the names are sorted recursively, the remaining
   suffixes are merged in by their first byte and the rank of the next suffix. Neighbours in that order with ``length``
   equal bytes are one class of windows; all but the first of a class are repeated.
-* Anchors with more than ``HOT`` distinct runs would make a task large. Their windows are dealt out one by one, by
-  128-bit content hash, and the first of each is a pre-aggregated minimum: same result, any skew.
+* Anchors with more than ``HOT`` distinct runs would make a task large. Their windows are dealt out by 128-bit content hash
+  instead, in blocks of eight at fixed distances from the anchor: equal blocks are repeated as a whole, and single
+  windows are compared only in blocks whose common bytes other blocks share. Firsts are pre-aggregated minima: same result,
+  any skew.
 
 Defined results: null text counts as empty; texts shorter than ``length`` keep all bytes; rows whose id is null are left
 whole (they have no place in the order); of rows with equal ids the text's hash orders them; an empty table gives an empty
@@ -32,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, small, written
 from .filters import bit_table, may_hold
 
 LENGTH, GRAM, HOT, BITS = 100, 32, 256, 27
 #: Window starts of a text that are worked on at a time.
 PIECE = 4 << 20
+#: Bytes of texts that are worked on together.
+TOGETHER = 64 << 10
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64(0xFFFFFF)
 
@@ -48,16 +52,37 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def runs_of(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (anchor hash, content hash, first window, number of windows)."""
-    parts = [_runs(text[k : k + PIECE + length - 1], length, k) for k in range(0, max(0, len(text) - length + 1), PIECE)]
+def runs_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor, of texts in order: (number of the text, anchor hash, content hash, first window,
+    number of windows, the anchor's distance from the first)."""
+    parts: list[tuple] = []
+    held: list[tuple[int, int, bytes]] = []
+    total = 0
+
+    def work() -> None:
+        nonlocal held, total
+        if held:
+            parts.append(_runs(held, length))
+        held, total = [], 0
+
+    for number, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, PIECE):
+            piece = text[at : at + PIECE + length - 1]
+            if total + len(piece) > TOGETHER:
+                work()
+            held.append((number, at, piece))
+            total += len(piece)
+    work()
     if not parts:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _runs(text: bytes, length: int, at: int):
-    h = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * _M1
+def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    size = np.array([len(t) for _, _, t in pieces])
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    h = (np.frombuffer(b"".join(t for _, _, t in pieces), np.uint8).astype(np.uint64) + np.uint64(1)) * _M1
     for s in (1, 2, 4, 8, 16):
         h = _mix(h[:-s], h[s:])
     # The smallest of length - GRAM + 1 hashes, leftmost of equals: 40 bits of hash, then the place.
@@ -68,16 +93,21 @@ def _runs(text: bytes, length: int, at: int):
         width *= 2
     if span > width:
         key = np.minimum(key[: -(span - width)], key[span - width :])
-    place = (key & _LOW).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    count = np.diff(np.r_[first, len(place)])
+    # Windows that lie in one piece, and where their anchors change.
+    count = size - length + 1
+    window = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+    place = (key[window] & _LOW).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)])
+    first, count = window[new], np.diff(np.r_[new, len(window)])
     # The run's bytes, first .. first + count - 1 + length, are covered by three 64-byte hashes (two spans overlap or meet).
     h64 = _mix(h[:-GRAM], h[GRAM:])
     stop = first + count - 1 + length
     whole = _mix(_mix(h64[first], h64[(first + stop - 64) // 2]), h64[stop - 64] + (stop - first).astype(np.uint64) * _M3)
-    anchor = place[first]
+    anchor = place[new]
+    piece = np.searchsorted(begin, first, "right") - 1
+    number, offset = np.array([x[0] for x in pieces]), np.array([x[1] for x in pieces])
     # The place of the anchor in the run belongs to what must be equal.
-    return h[anchor], whole ^ ((anchor - first).astype(np.uint64) * _M2), first + at, count
+    return number[piece], h[anchor], whole ^ ((anchor - first).astype(np.uint64) * _M2), first - begin[piece] + offset[piece], count, anchor - first
 
 
 def suffix_order(s: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -122,15 +152,18 @@ def _triple_order(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarr
 
 
 def _merged(z: np.ndarray, rank: np.ndarray, sampled: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Merge of the two sorted parts: where each of ``rest`` goes is found by bisection over ``sampled`` for all at once."""
-    low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(sampled), np.int64)
-    for _ in range(max(1, len(sampled)).bit_length()):
-        busy = low < high
-        mid = np.minimum((low + high) // 2, max(0, len(sampled) - 1))
-        q = sampled[mid] if len(sampled) else mid
-        after = _less(z, rank, q, rest)
-        low = np.where(busy & after, mid + 1, low)
-        high = np.where(busy & ~after, mid, high)
+    """Merge of the two sorted parts: how many sampled suffixes stand before each of ``rest``.
+
+    A suffix at 0 mod 3 is compared with one at 1 mod 3 by a symbol and the next suffix's rank, with one at 2 mod 3 by
+    two symbols and a rank; both comparisons are look-ups of packed keys in sorted ones.
+    """
+    one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    low = np.zeros(len(rest), np.int64)
+    for part, symbols in ((one, 1), (two, 2)):
+        if len(part) and len(rest):
+            keys = [[z[at + k] for k in range(symbols)] + [rank[at + symbols]] for at in (part, rest)]
+            ours, theirs = _packed(keys)
+            low += np.searchsorted(np.sort(ours), theirs)
     low = np.maximum.accumulate(low)  # suffixes that are equal as far as names reach stand in any order
     out = np.empty(len(sampled) + len(rest), np.int64)
     at = low + np.arange(len(rest))
@@ -141,12 +174,24 @@ def _merged(z: np.ndarray, rank: np.ndarray, sampled: np.ndarray, rest: np.ndarr
     return out
 
 
-def _less(z: np.ndarray, rank: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Whether suffix q (1 or 2 mod 3) comes before suffix r (0 mod 3)."""
-    one = q % 3 == 1
-    a1, b1 = np.where(one, rank[q + 1], z[q + 1]), np.where(one, rank[r + 1], z[r + 1])
-    a2, b2 = np.where(one, 0, rank[np.minimum(q + 2, len(rank) - 1)]), np.where(one, 0, rank[r + 2])
-    return (z[q] < z[r]) | (z[q] == z[r]) & ((a1 < b1) | (a1 == b1) & (a2 < b2))
+def _packed(keys: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """One number per tuple, in the tuples' order, for several lists of columns alike."""
+    bits = [max(int(k[c].max()) for k in keys).bit_length() for c in range(len(keys[0]))]
+    if sum(bits) > 63:  # names the tuples instead
+        rows = [np.concatenate([k[c] for k in keys]) for c in range(len(bits))]
+        order = np.lexsort(rows[::-1])
+        new = np.r_[False, np.logical_or.reduce([r[order][1:] != r[order][:-1] for r in rows])]
+        name = np.empty(len(order), np.int64)
+        name[order] = np.cumsum(new)
+        cut = np.cumsum([len(k[0]) for k in keys])[:-1]
+        return np.split(name, cut)
+    out = []
+    for k in keys:
+        x = k[0].astype(np.int64)
+        for c in range(1, len(bits)):
+            x = (x << bits[c]) | k[c]
+        out.append(x)
+    return out
 
 
 def repeated_windows(runs: list[bytes], first: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -200,25 +245,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
-            a, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            # As Spark's signed numbers, so that least and greatest mean the same here and there.
+            a, w = (np.concatenate(x).view(np.int64) for x in zip(*held, strict=True))
             by = np.lexsort((w, a))
             a, w = a[by], w[by]
             first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
             n, last = np.diff(np.r_[first, len(a)]), np.r_[first[1:], len(a)] - 1
             for k in range(0, len(first), 50_000):
                 f, g = first[k : k + 50_000], last[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([_signed(a[f]), pa.array(n[k : k + 50_000]), _signed(w[f]), _signed(w[g])], ["a", "n", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[f]), pa.array(n[k : k + 50_000]), pa.array(w[f]), pa.array(w[g])], ["a", "n", "low", "high"])
 
         held, total = [], 0
-        for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1), strict=True):
-                if d.is_valid:
-                    a, w, _, _ = runs_of(t.as_py(), length)
-                    held.append((a, w))
-                    total += len(a)
-                if total > 1_000_000:
-                    yield from out(held)
-                    held, total = [], 0
+        for batch in small(batches):
+            batch = batch.filter(batch.column(0).is_valid())
+            _, a, w, *_ = runs_of(batch.column(1).to_pylist(), length)
+            held.append((a, w))
+            total += len(a)
+            if total > 1_000_000:
+                yield from out(held)
+                held, total = [], 0
         if total:
             yield from out(held)
 
@@ -229,26 +274,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     # Second pass: runs with a repeated anchor; their bytes only where runs differ.
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "w", "doc", "sub", "at", "n", "bytes"]
+        names = ["a", "w", "doc", "sub", "at", "n", "lead", "bytes"]
         repeated, mixed = tables.value
-        for batch in batches:
-            for d, s, t in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                if not d.is_valid:
-                    continue
-                text = t.as_py()
-                a, w, at, n = runs_of(text, length)
-                bit = a.view(np.int64) & ((1 << BITS) - 1)
-                some = np.flatnonzero(may_hold(repeated, bit))
-                if not len(some):
-                    continue
-                a, w, at, n = a[some], w[some], at[some], n[some]
-                show = may_hold(mixed, bit[some]).tolist()
-                cut = [text[p : p + c - 1 + length] if x else None for p, c, x in zip(at.tolist(), n.tolist(), show, strict=True)]
-                m = len(some)
-                cols = [_signed(a), _signed(w), pa.array([d.as_py()] * m, pa.int64()), pa.array([s.as_py()] * m, pa.int64()), pa.array(at), pa.array(n), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    runs = written(src.select("doc", "sub", "text").mapInArrow(_gathered(found), "a long, w long, doc long, sub long, at long, n long, bytes binary"), folder, "runs")
+        for batch in small(batches):
+            batch = batch.filter(batch.column(0).is_valid())
+            texts = batch.column(2).to_pylist()
+            row, a, w, at, n, lead = runs_of(texts, length)
+            bit = a.view(np.int64) & ((1 << BITS) - 1)
+            some = np.flatnonzero(may_hold(repeated, bit))
+            row, a, w, at, n, lead = (x[some] for x in (row, a, w, at, n, lead))
+            show = may_hold(mixed, bit[some]).tolist()
+            cut = [texts[r][p : p + c - 1 + length] if x else None for r, p, c, x in zip(row.tolist(), at.tolist(), n.tolist(), show, strict=True)]
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([_signed(a), _signed(w), batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(n), pa.array(lead), pa.array(cut, pa.binary())], names)
+
+    runs = written(src.select("doc", "sub", "text").mapInArrow(_gathered(found), "a long, w long, doc long, sub long, at long, n long, lead long, bytes binary"), folder, "runs")
     place = F.struct("doc", "sub", "at")
     classes = runs.groupBy("a", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     classes = written(classes, folder, "classes")
@@ -258,8 +298,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     # One copy of each run whose anchor has several.
     several = classes.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     lone = classes.join(several, "a").select("a", "w", "first.doc", "first.sub", "first.at", "kinds")
-    texts = runs.where("bytes is not null").select("a", "w", "doc", "sub", "at", "bytes")
-    lone = written(lone.join(texts, ["a", "w", "doc", "sub", "at"]).select("a", "doc", "sub", "at", "bytes", "kinds"), folder, "lone")
+    texts = runs.where("bytes is not null").select("a", "w", "doc", "sub", "at", "lead", "bytes")
+    lone = written(lone.join(texts, ["a", "w", "doc", "sub", "at"]).select("a", "doc", "sub", "at", "lead", "bytes", "kinds"), folder, "lone")
     parts = equal.unionByName(_sorted_repeats(lone.where(F.col("kinds") <= HOT), length)).unionByName(_hot_repeats(lone.where(F.col("kinds") > HOT), length, folder))
     spans = written(parts.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("x")), folder, "spans")
     kept = src.join(spans, ["doc", "sub"], "left").select("doc", "text", F.col("x.at").alias("at"), F.col("x.n").alias("n"))
@@ -313,6 +353,9 @@ def _sorted_repeats(lone: DataFrame, length: int) -> DataFrame:
             return
         # Blocks of whole anchors of about 1.5 MB bound the memory of a sort.
         table = table.sort_by([("a", "ascending"), ("doc", "ascending"), ("sub", "ascending"), ("at", "ascending")])
+        table = table.filter(pa.array(_may_share(table, length)))
+        if not table.num_rows:
+            return
         a = table.column("a").to_numpy()
         size = np.cumsum([len(x) for x in table.column("bytes").to_pylist()])
         edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]).tolist() + [len(a)]
@@ -322,10 +365,39 @@ def _sorted_repeats(lone: DataFrame, length: int) -> DataFrame:
                 yield from _block(table.slice(begin, edges[k] - begin), length)
                 begin = edges[k]
 
-    dealt = lone.select("a", "doc", "sub", "at", "bytes").repartition("a")
+    dealt = lone.select("a", "doc", "sub", "at", "lead", "bytes").repartition("a")
     return dealt.mapInArrow(run, "doc long, sub long, at long, n long")
 
 
+def _may_share(table: pa.Table, length: int) -> np.ndarray:
+    """Whether a run (rows in order of their anchor) can have a window that another run of the anchor has too.
+
+    A shared window lies in what both have in common around the anchor, so the longest common stretches to the right of
+    the anchor's start and to its left, each over all other runs, must add up to a window. They show between neighbours
+    of the sorted contexts.
+    """
+    a, lead = table.column("a").to_numpy(), table.column("lead").to_numpy()
+    texts = table.column("bytes").to_pylist()
+    total = np.zeros(len(a), np.int64)
+    for side in (1, -1):
+        parts = [t[k : k + length] if side > 0 else t[:k][::-1] for t, k in zip(texts, lead.tolist(), strict=True)]
+        size = np.array([len(p) for p in parts])
+        width = max(1, int(size.max()))
+        rows = np.zeros((len(a), width), np.uint8)
+        for k, p in enumerate(parts):
+            rows[k, : len(p)] = np.frombuffer(p, np.uint8) + np.uint8(1)  # UTF-8 has no byte 255, and 0 is the end now
+        order = np.lexsort((rows.view(f"S{width}").ravel(), a))
+        i, j = order[:-1], order[1:]
+        equal = rows[i] == rows[j]
+        common = np.where(equal.all(1), width, equal.argmin(1))
+        common = np.where(a[i] == a[j], np.minimum(common, np.minimum(size[i], size[j])), 0)
+        best = np.zeros(len(a), np.int64)
+        best[j] = common
+        best[i] = np.maximum(best[i], common)
+        total += best
+    return total >= length
+
+
 def _block(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     # Places order equal windows, so runs are put in order of their place, whatever their anchor.
     table = table.sort_by([("doc", "ascending"), ("sub", "ascending"), ("at", "ascending")])
@@ -343,18 +415,46 @@ def _block(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_repeats(lone: DataFrame, length: int, folder: str) -> DataFrame:
-    """The same for anchors with very many runs: windows one by one."""
+    """The same for anchors with very many runs: by blocks of windows, then windows one by one."""
+    place, kinds = F.struct("doc", "sub", "at"), "h binary, core binary, doc long, sub long, at long, n long, bytes binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(3)[k].as_py()
-                m = len(text) - length + 1
-                h = [hashlib.md5(text[x : x + length]).digest() for x in range(m)]
-                d, s, p = (batch.column(c)[k].as_py() for c in (0, 1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([d] * m, pa.int64()), pa.array([s] * m, pa.int64()), pa.array(range(p, p + m), pa.int64())], ["h", "doc", "sub", "at"])
-
-    windows = written(lone.select("doc", "sub", "at", "bytes").mapInArrow(_gathered(run), "h binary, doc long, sub long, at long"), folder, "hot")
-    place = F.struct("doc", "sub", "at")
-    firsts = windows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "first")
-    return windows.join(firsts, "h").where(place != F.col("first")).select("doc", "sub", "at", F.lit(1).cast("long").alias("n"))
+            rows = []
+            for a, d, s, p, lead, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m, k = len(text) - length + 1, 0
+                while k < m:
+                    # The block of window k holds distances low .. low + 7 of windows from the anchor (at text[lead]).
+                    low = (k - lead) // 8 * 8
+                    stop = min(m, lead + low + 8)
+                    shared = hashlib.md5(b"%d %d " % (a, low) + text[lead + low + 7 : lead + low + length]).digest()
+                    piece = text[k : stop - 1 + length]
+                    rows.append((hashlib.md5(b"%d " % (k - lead - low) + shared + piece).digest(), shared, d, s, p + k, stop - k, piece))
+                    k = stop
+            if rows:
+                types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in kinds.split(", ")])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, at, row = [], [], []
+            for k, (p, n, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                h += [hashlib.md5(text[x : x + length]).digest() for x in range(n)]
+                at += range(p, p + n)
+                row += [k] * n
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int64())], ["h", "doc", "sub", "at"])
+
+    def later(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """First place of each hash that occurs again, and the other rows of such hashes."""
+        firsts = rows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+        return firsts, rows.join(firsts.where("times > 1").select("h", "first"), "h").where(place != F.col("first"))
+
+    cut = written(lone.select("a", "doc", "sub", "at", "lead", "bytes").mapInArrow(_gathered(blocks), kinds), folder, "hot")
+    firsts, equal = later(cut.select("h", "doc", "sub", "at", "n"))
+    single = cut.join(firsts.select("h", "first"), "h").where(place == F.col("first"))
+    shared = single.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
+    left = single.join(shared, "core").select("doc", "sub", "at", "n", "bytes")
+    each = written(left.mapInArrow(_gathered(windows), "h binary, doc long, sub long, at long"), folder, "hot_windows")
+    _, repeated = later(each)
+    return equal.select("doc", "sub", "at", "n").unionByName(repeated.select("doc", "sub", "at", F.lit(1).cast("long").alias("n")))
