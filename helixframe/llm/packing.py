@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, small
 
 WINDOW, TIERS, END, STEP = 2048, (256, 512, 1024, 2048), 1, 64
 #: Bytes of text packed together (documents are cut between such blocks), chunks and bytes of a chunk remembered.
-BLOCK_BYTES, REMEMBERED, LONGEST = 6 << 20, 1_200_000, 64
+BLOCK_BYTES, REMEMBERED, LONGEST = 6 << 20, 300_000, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, sequence = encoder(tokenizer_file), TaskContext.get().partitionId() << 36
-        rows = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = ((i, t) for b in small(batches) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for block in batches_of(rows, BLOCK_BYTES, lambda r: len(r[1]) + 64):
             ids = [x + end for part in batches_of((t for _, t in block), 1 << 20, len) for x in ids_of.encode(part)]
             out: list[tuple] = []

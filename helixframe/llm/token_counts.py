@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, small
 
 #: Bytes of text that a worker encodes at a time, chunks that it remembers, and bytes of the longest it remembers.
 BATCH_BYTES, REMEMBERED, LONGEST = 1 << 20, 400_000, 64
@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(model_file)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             size = [len(t.encode()) for t in texts]
             n: list[int] = []

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .common import small
+
 SEEDS = {
     "insult": "idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile bastard fool dumb retard idiota estúpido imbécil basura idiote stupide crétin ordure dummkopf trottel abschaum",
     "threat": "kill murder strangle stab shoot burn destroy matar tuer töten umbringen erschlagen",
@@ -262,7 +264,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.5, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
-        for batch in batches:
+        for batch in small(batches):
             done = [g.score(t or "") for t in batch.column(at).to_pylist()]
             score = pa.array([s for s, _ in done], pa.float64())
             extra = [score, pa.array([int(s >= threshold) for s, _ in done], pa.int32()), pa.array([n for _, n in done], pa.int32())]
