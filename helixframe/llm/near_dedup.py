@@ -6,16 +6,16 @@ rotation of the values, and classes that share a prefix of a tree's order form a
 
 1. Every class of a two-value region is compared with the region's first class; the estimate from all MinHash values drops
    pairs that are far apart, the rest is confirmed on the full shingle sets. Links give components.
-2. Only classes of one region but different components can still be linked. Regions with at most ``SMALL`` classes yield
-   those pairs; the others are split by longer common prefixes of more trees (4, 6, then 8 values: adaptive depth
-   per region), until the regions are small. Their pairs are confirmed alike.
-3. Regions that are still large at eight values hold versions of one text. Their classes outside the region's largest
-   component are compared with all others, block against block (at most ``BLOCK`` classes each), on the full sets; a task
-   gives back the links that join components, not pairs.
+2. Only classes of one two-value region but different components can still be linked. Regions with at most ``SMALL``
+   classes yield those pairs, which are confirmed alike.
+3. In larger regions the classes outside the region's largest component are compared with all others, block against block
+   (at most ``BLOCK`` classes each): first by MinHash values, where a pair counts only in the first tree that has it, then the
+   classes of such pairs on their full sets; a task gives back the links that join components, not pairs.
 
 No region is gathered in one task: regions are counted by pre-aggregated sums first and only small ones are listed; the
-rest are joins that adaptive execution can split. At a similarity of 0.75 exactly, a pair is missed by all 24
-two-value trees with a probability of 2e-9, and by all 48 four-value trees with 1e-8.
+rest are joins that adaptive execution can split. No region is left out: every pair of different components that shares a
+two-value region is compared. The 24 trees use disjoint values, so they are independent: a pair of a similarity of exactly
+0.75 shares none of them with a probability of 2e-9, and fails the estimate with 1e-8.
 
 Defined results: null text counts as empty; a document without words has an empty set and links with nothing; fewer
 words than ``width`` are one shingle. component_id is the smallest doc_id reachable; a row whose id is null is linked but
@@ -92,11 +92,10 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {kind}, n long, h binary, sig array<int>")
 
 
-def _entries(classes: DataFrame, depth: int) -> DataFrame:
-    """(key, h) for each tree and class: key stands for the tree and the first ``depth`` values of its order."""
-    step = 2 if depth == 2 else 1
-    keys = [F.xxhash64(F.lit(t), F.lit(depth), *[F.col("sig")[(t + k) % VALUES] for k in range(depth)]) for t in range(0, VALUES, step)]
-    return classes.select("h", F.explode(F.array(*keys)).alias("key"))
+def _entries(classes: DataFrame) -> DataFrame:
+    """(h, tree, key) for each tree and class: key stands for the tree and its two values."""
+    keys = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("sig")[2 * t], F.col("sig")[2 * t + 1]).alias("key")) for t in range(VALUES // 2)]
+    return classes.select("h", F.explode(F.array(*keys)).alias("x")).select("h", "x.tree", "x.key")
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, folder: str, name: str, width: int) -> DataFrame:
@@ -139,34 +138,25 @@ def _star_pairs(entries: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(classes: DataFrame, labels: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of one small region and different components, and (key, h, label) of regions that stay large, if any.
+    """Pairs of one small region and different components, and (key, tree, h, label) of the large regions, if any.
 
     classes: h, sig; labels: h -> label, for linked classes only.
     """
-    marked = classes.join(labels, "h", "left").select("h", "sig", F.coalesce("label", "h").alias("label"))
-    out = None
-    for depth in (2, 4, 6, 8):
-        entries = _entries(marked, depth).join(marked.select("h", "label"), "h")
-        regions = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low != high")
-        regions = written(regions.select("key", "n"), folder, f"regions{depth}")
-        listed = entries.join(regions.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("label", "h")).alias("x"))
-        one = listed.select("x", F.explode("x").alias("p"))
-        pairs = one.select("p", F.explode("x").alias("q")).where("p.h < q.h and p.label != q.label").select(F.col("p.h").alias("a"), F.col("q.h").alias("b"))
-        pairs = written(pairs.distinct(), folder, f"pairs{depth}")
-        out = pairs if out is None else out.union(pairs)
-        large = regions.where(F.col("n") > SMALL).select("key")
-        if large.isEmpty():
-            return out.distinct(), None
-        large = written(entries.join(large, "key"), folder, f"large{depth}")
-        if depth < 8:
-            marked = written(marked.join(large.select("h").distinct(), "h", "left_semi"), folder, f"marked{depth}")
-    return out.distinct(), large.select("key", "h", "label")
-
-
-def _block_links(large: DataFrame, classes: DataFrame, docs: DataFrame, folder: str, percent: int, width: int) -> DataFrame:
-    """Links that join components of the same large region, as a table (a, b)."""
-    wanted = written(classes.join(large.select("h").distinct(), "h").select("h", "rep"), folder, "wanted_large")
-    sets = _full_sets(wanted, docs, folder, "sets_large", width)
+    marked = written(classes.join(labels, "h", "left").select("h", "sig", F.coalesce("label", "h").alias("label")), folder, "marked")
+    entries = _entries(marked).join(marked.select("h", "label"), "h")
+    regions = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low != high")
+    regions = written(regions.select("key", "n"), folder, "regions")
+    listed = entries.join(regions.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("label", "h")).alias("x"))
+    one = listed.select("x", F.explode("x").alias("p"))
+    pairs = one.select("p", F.explode("x").alias("q")).where("p.h < q.h and p.label != q.label").select(F.col("p.h").alias("a"), F.col("q.h").alias("b"))
+    large = regions.where(F.col("n") > SMALL).select("key")
+    if large.isEmpty():
+        return pairs.distinct(), None
+    return pairs.distinct(), written(entries.join(large, "key").select("key", "tree", "h", "label"), folder, "large")
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """(key, tree, h, label, own, i, j): each class of a large region in all pairs of blocks (i, j) that its block, own, is in."""
     sizes = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     regions = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
     # Blocks of the main component (negative numbers) and of the others; pairs of two main blocks aren't compared.
@@ -177,7 +167,40 @@ def _block_links(large: DataFrame, classes: DataFrame, docs: DataFrame, folder:
     others = F.sequence(F.lit(0), o - 1)
     pairs = F.when(F.col("is_main"), F.transform(others, lambda k: F.struct(k.alias("i"), F.col("own").alias("j")))).otherwise(
         F.concat(F.transform(others, lambda k: F.struct(F.greatest(k, F.col("own")).alias("i"), F.least(k, F.col("own")).alias("j"))), F.transform(F.sequence(F.lit(1), m), lambda k: F.struct(F.col("own").alias("i"), (-k).alias("j")))))
-    dealt = spread.select("key", "h", "label", F.explode(pairs).alias("p")).join(sets, "h").select("key", "p.i", "p.j", "h", "label", "s")
+    return spread.select("key", "tree", "h", "label", "own", F.explode(pairs).alias("p")).select("key", "tree", "h", "label", "own", "p.i", "p.j")
+
+
+def _close_classes(large: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """(key, i, j, h, label) of the classes that have, in another component and in this pair of blocks, one with enough equal
+    values, as a table. A pair counts in the first tree whose two values it shares."""
+    kind = dict(large.dtypes)["label"]
+    dealt = _dealt(large).join(classes.select("h", "sig"), "h").select("key", "i", "j", "tree", "own", "h", "label", "sig")
+
+    def screen(table: pa.Table) -> pa.Table:
+        i, j, tree = (table.column(c)[0].as_py() for c in ("i", "j", "tree"))
+        own, sig = table.column("own").to_numpy(), table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, VALUES)
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        close = np.zeros(len(own), bool)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for n, k in enumerate(left.tolist()):
+            others = right[n + 1 :] if i == j else right
+            others = others[label[others] != label[k]]
+            equal = sig[others] == sig[k]
+            trees = equal[:, ::2] & equal[:, 1::2]
+            hit = others[(equal.sum(1) >= LEAST_EQUAL) & trees[:, tree] & ~trees[:, :tree].any(1)]
+            if len(hit):
+                close[k] = close[hit] = True
+        return table.select(["key", "i", "j", "h", "label"]).filter(pa.array(close))
+
+    return written(dealt.groupBy("key", "i", "j").applyInArrow(screen, f"key long, i int, j int, h binary, label {kind}"), folder, "close")
+
+
+def _block_links(large: DataFrame, classes: DataFrame, docs: DataFrame, folder: str, percent: int, width: int) -> DataFrame:
+    """Links that join components of the same large region, as a table (a, b)."""
+    close = _close_classes(large, classes, folder)
+    wanted = written(classes.join(close.select("h").distinct(), "h").select("h", "rep"), folder, "wanted_large")
+    sets = _full_sets(wanted, docs, folder, "sets_large", width)
+    dealt = close.join(sets, "h").select("key", "i", "j", "h", "label", "s")
 
     def compare(table: pa.Table) -> pa.Table:
         h, label = table.column("h").to_pylist(), table.column("label").to_pylist()
@@ -215,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     rows = written(sketches(docs, width), folder, "sketches")
     grouped = rows.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.min("sig").alias("sig"))
     classes = written(grouped, folder, "classes")
-    links = _confirmed(_star_pairs(_entries(classes, 2)), classes, docs, folder, 1, percent, width)
+    links = _confirmed(_star_pairs(_entries(classes)), classes, docs, folder, 1, percent, width)
     labels = written(min_label_components(links, f"{folder}/cc1").select(F.col("id").alias("h"), "label"), folder, "labels1")
     pairs, large = _cross_pairs(classes.select("h", "sig"), labels, folder)
     more = _confirmed(pairs, classes, docs, folder, 2, percent, width)

@@ -51,6 +51,30 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dedup.near_duplicates(empty_documents(spark)).count() == 0
 
 
+def versions(n=300, seed=11):
+    """A text and versions edited apart: similar to the text at 0.75 to 0.80, to each other at about 0.6."""
+    r = random.Random(seed)
+    hub = [f"h{k}" for k in range(404)]
+    out = [" ".join(hub)]
+    while len(out) <= n:
+        t, apart = list(hub), r.randrange(9, 12)
+        for k in r.sample(range(8, 396), apart):
+            t[k] = f"x{r.randrange(10**9)}"
+        one, two = (set(near_dedup.shingle_hashes(" ".join(x)).tolist()) for x in (hub, t))
+        if 0.75 <= len(one & two) / len(one | two) <= 0.80:
+            out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_versions_of_one_text_are_all_linked(spark, seed):
+    rows = list(enumerate(versions(seed=seed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == brute_components(rows)
+    assert {c for *_, c in got} == {0}
+
+
 def brute_removed(rows, n=100):
     seen, out = set(), []
     for d, t in rows:
