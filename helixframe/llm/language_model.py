@@ -9,7 +9,8 @@ look-ups.
 Corpus statistics cover every training text: token counts are aggregated by Spark and written as a table. The
 ``hot`` most frequent tokens (a bound, not a share) travel to the executors; counts of all other words reach the documents
 by a join on the word, so no step needs the vocabulary on one machine. The class model's parameters (about
-``classes`` * ``dim`` numbers) are fitted on a bounded sample of ``sample_docs`` training texts, taken by hash.
+``classes`` * ``dim`` numbers) are fitted on the counts of class trigrams, which Spark sums over every training text: at most
+``classes`` ** 3 numbers, whatever the size of the corpus. NCE needs no more than these counts.
 
 Tokens: A-Z lower-cased, words are runs of other than ASCII blanks, then one end. Defined results: null text counts as
 empty and is its end alone; without training texts the counts are 0 and all scores 0; repeated rows are scored each;
@@ -137,6 +138,79 @@ def train_nce(sequences: list[np.ndarray], n_classes: int, counts: np.ndarray, s
     return r, q, c1, c2, bias
 
 
+def train_counts(trigrams: np.ndarray, counts: np.ndarray, dim: int = 24, noise: int = 12, steps: int = 900, batch: int = 2048, rate: float = 0.1, seed: int = 1):
+    """The parameters of ``train_nce`` from the counts [class before, class two before, class] of a whole corpus.
+
+    A step draws context pairs by their share of the corpus; for each, the true classes and the noise enter with their exact
+    expectations instead of single draws.
+    """
+    n = len(counts)
+    rng = np.random.default_rng(seed)
+    p = (counts + 1.0) / (counts + 1.0).sum()
+    params = [rng.normal(0, 0.1, (n, dim)), rng.normal(0, 0.1, (n, dim)), np.ones(dim), np.full(dim, 0.5), np.log(p)]
+    each = trigrams.sum(2, dtype=np.float64).ravel()
+    if each.sum() > 0:
+        r, q, c1, c2, bias = params
+        sums = [np.full_like(x, 1e-6) for x in params]
+        kp = noise * p
+        log_kp, cdf = np.log(kp), np.cumsum(each / each.sum())
+        flat = trigrams.reshape(n * n, n)
+        for _ in range(steps):
+            drawn, times = np.unique(np.minimum(np.searchsorted(cdf, rng.random(batch), "right"), int(np.flatnonzero(each)[-1])), return_counts=True)
+            one, two = np.divmod(drawn, n)
+            true = flat[drawn] / each[drawn][:, None]
+            h = r[one] * c1 + r[two] * c2
+            z = 1 / (1 + np.exp(-np.clip(h @ q.T + bias - log_kp, -30, 30)))
+            d = (true * (1 - z) - kp * z) * times[:, None]
+            g_h = d @ q
+            grads = [np.zeros_like(r), d.T @ h, (g_h * r[one]).sum(0), (g_h * r[two]).sum(0), d.sum(0)]
+            np.add.at(grads[0], one, g_h * c1)
+            np.add.at(grads[0], two, g_h * c2)
+            for x, g, total in zip(params, grads, sums, strict=True):
+                g = g / batch
+                total += g * g
+                x += rate * g / np.sqrt(total)
+    return params
+
+
+def class_trigrams(training: DataFrame, model: Model, size: int) -> np.ndarray:
+    """How often each class follows each pair of classes, [class before, class two before, class], over all rows of ``training``."""
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        start = m.word_class.get(END, 0)
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            codes, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(c.astype(np.int64))], ["code", "c"])
+
+        tokens = 0
+        for batch in small(batches):
+            for t in batch.column(0).to_pylist():
+                words = [*tokens_of(t), END]
+                at = np.fromiter(map(m.hot.get, words, repeat(-1)), np.int64, len(words))
+                w = m.hot_class[at].astype(np.int64)
+                for k in np.flatnonzero(at < 0).tolist():
+                    w[k] = m.class_of(words[k])
+                before = np.r_[start, start, w]
+                held.append((before[1:-1] * size + before[:-2]) * size + w)
+                tokens += len(w)
+                if tokens > 4_000_000:
+                    yield out()
+                    held.clear()
+                    tokens = 0
+        if held:
+            yield out()
+
+    found = training.select("text").mapInArrow(run, "code int, c long").groupBy("code").agg(F.sum("c").alias("c")).toArrow()
+    shared.unpersist()
+    counts = np.zeros(size**3)
+    counts[found.column("code").to_numpy()] = found.column("c").to_numpy()
+    return counts.reshape(size, size, size)
+
+
 def normalised(r, q, c1, c2, bias):
     """(first, second, log normaliser of every context pair), by matrix products in batches."""
     first, second = q @ (r * c1).T, q @ (r * c2).T
@@ -149,8 +223,11 @@ def normalised(r, q, c1, c2, bias):
     return first.astype(np.float32), second.astype(np.float32), log_z.astype(np.float32)
 
 
-def fit(training: DataFrame, counts: DataFrame, hot: int = 1 << 17, top: int = 192, buckets: int = 48, sample_docs: int = 1500, sample_tokens: int = 400_000, longest: int = 64) -> Model:
-    """training: doc_id, text of the training rows; counts: their token counts, as a table that can be read again."""
+def fit(training: DataFrame, counts: DataFrame, hot: int = 1 << 17, top: int = 192, buckets: int = 48, sample_docs: int | None = None, longest: int = 64) -> Model:
+    """training: doc_id, text of the training rows; counts: their token counts, as a table that can be read again.
+
+    The class model learns from all training texts, unless ``sample_docs`` asks for so many of them, taken by hash.
+    """
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     words, c = _hot_words(counts.where(F.length("word") <= longest), hot, top)
@@ -165,15 +242,11 @@ def fit(training: DataFrame, counts: DataFrame, hot: int = 1 << 17, top: int = 1
         in_class[k], distinct[k] = tokens, kinds
     model.own = np.arange(size) < len(word_class)
     model.inside = np.where(model.own, 0.0, np.log10(in_class + distinct + 1))
-    # The sample's ids are picked first, so that no more texts than its own travel.
-    ids = training.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    picked = training.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").orderBy("doc_id", "text").collect()
-    sequences, held = [], 0
-    for x in picked:
-        if held < sample_tokens:
-            sequences.append(np.array([model.class_of(w) for w in [*tokens_of(x["text"]), END]], np.int32))
-            held += len(sequences[-1])
-    params = train_nce(sequences, size, in_class, word_class.get(END, 0))
+    if sample_docs is not None:
+        # The sample's ids are picked first, so that no more texts than its own travel.
+        ids = training.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+        training = training.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    params = train_counts(class_trigrams(training, model, size) if n else np.zeros((size,) * 3), in_class)
     model.first, model.second, model.log_z = normalised(*params)
     model.bias = params[4].astype(np.float32)
     return model

@@ -79,6 +79,31 @@ def test_language_model(spark):
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held) + 0.1 * sum(x["n_tokens"] for x in held)
 
 
+def test_language_model_learns_from_all_texts(spark):
+    import numpy as np
+
+    r = random.Random(3)
+    # In 300 of 2600 texts only, "left" comes before "right"; elsewhere it never does.
+    plain = lambda: " ".join(r.choice(["left a b", "b a right", "a c b"]) for _ in range(8))
+    ids = [x["id"] for x in spark.range(2600).orderBy(F.xxhash64("id"), "id").collect()]
+    texts = {d: plain() if k < 2300 else "left right " * 40 for k, d in enumerate(ids)}
+    src = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    counts = language_model.count_tokens(src.select("text")).localCheckpoint()
+    model = language_model.fit(src, counts, top=20, buckets=4)
+    size = len(model.bias)
+    classes = {d: [model.class_of(w) for w in [*language_model.tokens_of(t), b""]] for d, t in texts.items()}
+    want = Counter()
+    for w in classes.values():
+        w = [model.class_of(b"")] * 2 + w
+        want.update(zip(w[1:-1], w[:-2], w[2:], strict=True))
+    got = language_model.class_trigrams(src, model, size)
+    assert {tuple(map(int, x)): int(got[tuple(x)]) for x in np.argwhere(got)} == want
+    log_p = lambda w, one, two: model.first[w, one] + model.second[w, two] + model.bias[w] - model.log_z[one, two]
+    left, right = model.class_of(b"left"), model.class_of(b"right")
+    # After "right left" comes "right" in 87 % of all cases; the first 1500 texts by hash have no such case.
+    assert np.exp(log_p(right, left, right)) > 0.5
+
+
 def test_language_model_is_normalised():
     import numpy as np
 
