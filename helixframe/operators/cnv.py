@@ -130,38 +130,56 @@ def call_segments(segments: DataFrame, low: float = 0.9, high: float = 1.1, outl
     return segments.crossJoin(F.broadcast(second)).withColumn("call", call).drop("m2", "s2")
 
 
-def kernel_changepoints(x: np.ndarray, most: int = 10, window: int = 8, penalty: float = 1.0, width: float = 1.0) -> list[int]:
-    """Change points of a series: the local cost of a Gaussian kernel says where two windows differ most; those that lower the
-    penalised cost of the whole stay."""
+WINDOWS = (8, 16, 32, 64, 128, 256)
+
+
+def kernel_changepoints(x: np.ndarray, most: int = 1000, windows: tuple[int, ...] = WINDOWS, penalty: float = 1.0, width: float = 1.0) -> list[int]:
+    """Change points of a series: the local cost of a Gaussian kernel says, for each window size, where two windows differ most;
+    of all these, the least useful are left out until each lowers the cost of its neighbourhood by more than the penalty."""
     n = len(x)
-    if n < 2 * window:
-        return []
 
     def cost(a: int, b: int) -> float:
-        d = x[a:b, None] - x[None, a:b]
-        return (b - a) - np.exp(-(d**2) / (2 * width * width)).sum() / (b - a)
-
-    gain = np.zeros(n)
-    for k in range(window, n - window + 1):
-        gain[k] = cost(k - window, k + window) - cost(k - window, k) - cost(k, k + window)
-    peaks = [k for k in range(window, n - window + 1) if gain[k] > 0 and gain[k] == gain[max(0, k - window) : k + window + 1].max()]
-    kept: list[int] = []
-    for k in sorted(peaks, key=lambda k: -gain[k])[:most]:
-        edges = [0, *sorted(kept), n]
-        a = max(e for e in edges if e < k) if k not in edges else k
-        b = min(e for e in edges if e > k)
-        if a < k and cost(a, b) - cost(a, k) - cost(k, b) > penalty * np.log(n):
-            kept.append(k)
-    return sorted(kept)
-
-
-def kernel_segments(df: DataFrame, value: str = "log2_ratio", penalty: float = 1.0, width: float = 1.0) -> DataFrame:
-    """Segments of each contig's points by kernel change points: (contig, start, end, n_points, mean)."""
+        return (b - a) - sum(np.exp(-((x[k : min(k + 256, b), None] - x[None, a:b]) ** 2) / (2 * width * width)).sum() for k in range(a, b, 256)) / (b - a)
+
+    def costs(size: int) -> np.ndarray:
+        """cost(a, a + size) for each a, from running sums along the diagonals of the kernel matrix."""
+        total = np.full(n - size + 1, float(size))
+        for d in range(1, size):
+            c = np.r_[0.0, np.cumsum(np.exp(-((x[d:] - x[:-d]) ** 2) / (2 * width * width)))]
+            total += 2 * (c[size - d :] - c[: n - size + 1])
+        return size - total / size
+
+    kept: set[int] = set()
+    for w in windows:
+        if n < 2 * w:
+            continue
+        one = costs(w)
+        gain = np.zeros(n + 1)
+        gain[w : n - w + 1] = costs(2 * w) - one[: n - 2 * w + 1] - one[w:]
+        kept.update(k for k in range(w, n - w + 1) if gain[k] > 0 and gain[k] == gain[max(0, k - w) : k + w + 1].max())
+    edges = [0, *sorted(kept), n]
+    held = [cost(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+    joined = [cost(a, b) for a, b in zip(edges, edges[2:], strict=False)]
+    while joined:
+        rises = [joined[k] - held[k] - held[k + 1] for k in range(len(joined))]
+        k = int(np.argmin(rises))
+        if rises[k] > penalty * np.log(n) and len(joined) <= most:
+            break
+        held[k : k + 2] = [joined.pop(k)]
+        del edges[k + 1]
+        for q in (k - 1, k):
+            if 0 <= q < len(joined):
+                joined[q] = cost(edges[q], edges[q + 2])
+    return edges[1:-1]
+
+
+def kernel_segments(df: DataFrame, value: str = "log2_ratio", penalty: float = 1.0, width: float = 1.0, most: int = 1000) -> DataFrame:
+    """Segments of each contig's points by at most ``most`` kernel change points: (contig, start, end, n_points, mean)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "end"])
         x = pdf[value].to_numpy(float)
-        edges = [0, *kernel_changepoints(x, penalty=penalty, width=width), len(x)]
+        edges = [0, *kernel_changepoints(x, most, penalty=penalty, width=width), len(x)]
         rows = [(pdf["contig"].iloc[0], int(pdf["start"].iloc[a]), int(pdf["end"].iloc[b - 1]), b - a, float(x[a:b].mean())) for a, b in zip(edges, edges[1:], strict=False)]
         return pd.DataFrame(rows, columns=["contig", "start", "end", "n_points", "mean"])
 

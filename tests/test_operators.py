@@ -194,3 +194,17 @@ def test_streaming_matches_batch(spark, tmp_path):
     q.awaitTermination()
     got = sorted(map(tuple, spark.table("tumbling").collect()))
     assert got == sorted(map(tuple, tumbling_counts(df).collect()))
+
+
+def test_kernel_changepoints_finds_many_and_weak_ones():
+    import numpy as np
+
+    from helixframe.operators.cnv import kernel_changepoints
+
+    rng = np.random.default_rng(4)
+    many = kernel_changepoints(np.repeat([0.0, 3.0] * 15, 40) + rng.normal(0, 0.1, 1200))
+    assert many == list(range(40, 1200, 40))
+    weak = kernel_changepoints(np.repeat([0.0, 0.8], 400) + rng.normal(0, 0.8, 800))
+    assert len(weak) == 1 and abs(weak[0] - 400) <= 20
+    assert len(kernel_changepoints(np.repeat([0.0, 3.0] * 15, 40), most=5)) == 5
+    assert kernel_changepoints(np.zeros(15)) == kernel_changepoints(np.zeros(300)) == []
