@@ -223,21 +223,25 @@ def assemble_regions(reads: DataFrame, k: int = 21, min_weight: int = 1, most: i
 # ---- Gaussian mixture -----------------------------------------------------------------------------------------
 
 
-def fit_mixture(x: np.ndarray, k: int = 4, rounds: int = 50, seed: int = 47, shrink: float = 1e-3):
-    """(weights, means, covariances) by EM from k-means++-like starts; covariances are kept away from singular."""
+def fit_mixture(x: np.ndarray, k: int = 4, rounds: int = 50, seed: int = 47, shrink: float = 1e-3, weight: np.ndarray | None = None):
+    """(weights, means, covariances) by EM from k-means++-like starts; covariances are kept away from singular.
+
+    weight: how often each point counts (once if not given).
+    """
     rng = np.random.default_rng(seed)
     n, d = x.shape
+    each = np.ones(n) if weight is None else weight
     k = max(1, min(k, n))
-    means = x[rng.choice(n, 1)]
+    means = x[rng.choice(n, 1, p=each / each.sum())]
     while len(means) < k:
-        far = ((x[:, None] - means[None]) ** 2).sum(2).min(1)
+        far = ((x[:, None] - means[None]) ** 2).sum(2).min(1) * each
         means = np.r_[means, x[[rng.choice(n, p=far / far.sum())] if far.sum() > 0 else [rng.integers(n)]]]
-    cov = np.repeat((np.cov(x.T).reshape(d, d) + shrink * np.eye(d))[None], k, 0) if n > 1 else np.repeat(np.eye(d)[None], k, 0)
+    cov = np.repeat((np.cov(x.T, fweights=each.astype(int)).reshape(d, d) + shrink * np.eye(d))[None], k, 0) if each.sum() > 1 else np.repeat(np.eye(d)[None], k, 0)
     w = np.full(k, 1 / k)
     for _ in range(rounds):
         z = log_densities(x, w, means, cov)
         r = np.exp(z - z.max(1, keepdims=True))
-        r /= r.sum(1, keepdims=True)
+        r *= (each / r.sum(1))[:, None]
         total = r.sum(0) + 1e-9
         w, means = total / total.sum(), (r.T @ x) / total[:, None]
         for c in range(k):

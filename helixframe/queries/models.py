@@ -35,13 +35,19 @@ def assembled_haplotypes(spark, d):
     return kernels.assemble_regions(p.unionByName(ref), k=11)
 
 
+def _weighted_points(v):
+    """The distinct (x, y) of all rows, by x and y, and how often each occurs."""
+    p = v.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("x", "ascending"), ("y", "ascending")])
+    return np.c_[p.column("x").to_numpy(), p.column("y").to_numpy()], p.column("n").to_numpy().astype(float)
+
+
 def gmm_scores(spark, d):
     v = E.variants(spark, d).select("id", (F.col("size") / 10.0).alias("x"), (F.col("qual") / 500.0).alias("y"))
-    rows = v.orderBy(F.xxhash64("id"), "id").limit(2000).collect()  # the fit's sample is bounded
-    x = np.array([[r["x"], r["y"]] for r in rows])
-    order = np.argsort(x[:, 0])
-    good, bad = kernels.fit_mixture(x[order[len(order) // 5 :]], 3), kernels.fit_mixture(x[order[: len(order) // 5 + 2]], 2)
-    return kernels.mixture_scores(v, ["x", "y"], good, bad).select("id", F.round("lod", 6).alias("lod"))
+    x, n = _weighted_points(v)
+    end, fifth = np.cumsum(n), n.sum() // 5
+    good, bad = np.clip(end - fifth, 0, n), np.clip(fifth + 2 - (end - n), 0, n)
+    models = [kernels.fit_mixture(x[w > 0], k, weight=w[w > 0]) for w, k in ((good, 3), (bad, 2))]
+    return kernels.mixture_scores(v, ["x", "y"], *models).select("id", F.round("lod", 6).alias("lod"))
 
 
 def orientation_em(spark, d):

@@ -208,3 +208,17 @@ def test_kernel_changepoints_finds_many_and_weak_ones():
     assert len(weak) == 1 and abs(weak[0] - 400) <= 20
     assert len(kernel_changepoints(np.repeat([0.0, 3.0] * 15, 40), most=5)) == 5
     assert kernel_changepoints(np.zeros(15)) == kernel_changepoints(np.zeros(300)) == []
+
+
+def test_mixture_is_fitted_on_all_rows(spark):
+    import numpy as np
+
+    from helixframe.operators.kernels import fit_mixture
+    from helixframe.queries.models import _weighted_points
+
+    v = spark.range(5000).selectExpr("id", "id % 7 / 10.0D as x", "id % 5 / 5.0D as y")
+    x, n = _weighted_points(v)
+    assert n.sum() == 5000 and len(x) == 35
+    _, means, cov = fit_mixture(x, 1, weight=n)
+    rows = np.array([[k % 7 / 10, k % 5 / 5] for k in range(5000)])
+    assert np.allclose(means[0], rows.mean(0)) and np.allclose(cov[0], np.cov(rows.T, bias=True) + 1e-3 * np.eye(2))
