@@ -108,6 +108,35 @@ def known_bins(spark, d):
     return ranges.drop_unknown_bins(bins, r)
 
 
+def _whole_reference(spark, d):
+    docs = E.table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("contig"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "").alias("seq"))
+    return docs.select("contig", F.lit(0).cast("long").alias("start"), "seq").where("seq != ''")
+
+
+WHOLE = "ref as (select * from (select cast(doc_id as int) as contig, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') as seq from documents) where seq <> '')"
+
+
+def whole_reference_snps(spark, d):
+    a = _whole_reference(spark, d)
+    return validate.reference_differences(a, a.withColumn("seq", F.translate("seq", "G", "T"))).groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+def whole_alternate_reference(spark, d):
+    r = _whole_reference(spark, d)
+    snps = r.select("contig", (F.col("contig").cast("long") * 7919 % F.length("seq")).cast("long").alias("pos"), F.lit("A").alias("ref"), F.lit("t").alias("alt"))
+    return V.apply_to_reference(r, snps).select("contig", "seq")
+
+
+def whole_rotated_reference(spark, d):
+    return _whole_reference(spark, d).select("contig", rotated(F.col("seq"), F.col("contig").cast("long") * 7919 % F.length("seq")).alias("seq"))
+
+
+def whole_known_bins(spark, d):
+    r = _whole_reference(spark, d).withColumn("seq", F.translate("seq", "G", "N"))
+    bins = r.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1, F.lit(20).cast("long"))).alias("start")).withColumn("end", F.col("start") + 20)
+    return ranges.drop_unknown_bins(bins, r)
+
+
 def quantized_qualities(spark, d):
     counts = {r["q"]: r["n"] for r in E.reads(spark, d).groupBy(F.col("mapq").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per quality
     levels = recal.quantize([counts.get(q, 0) for q in range(94)])
@@ -127,5 +156,9 @@ QUERIES = {
     "alternate_reference": (alternate_reference, f"with {REFERENCE} select contig, substr(seq, 1, contig % 60) || 't' || substr(seq, contig % 60 + 2) as seq from ref"),
     "rotated_reference": (rotated_reference, f"with {REFERENCE} select contig, substr(seq, contig % 61 % 60 + 1) || substr(seq, 1, contig % 61 % 60) as seq from ref"),
     "known_bins": (known_bins, f'with {REFERENCE}, b as (select contig, seq, unnest([0, 20, 40])::bigint as start from ref) select contig, start, start + 20 as "end" from b where regexp_matches(substr(seq, start + 1, 20), \'[ACGT]\')'),
+    "whole_reference_snps": (whole_reference_snps, f"with {WHOLE}, p as (select contig, unnest(range(0, length(seq))) as pos, seq from ref) select contig, count(*) as n, min(pos) as first, max(pos) as last from p where seq[pos + 1] = 'G' group by 1"),
+    "whole_alternate_reference": (whole_alternate_reference, f"with {WHOLE}, p as (select *, contig::bigint * 7919 % length(seq) as k from ref) select contig, substr(seq, 1, k) || 't' || substr(seq, k + 2) as seq from p"),
+    "whole_rotated_reference": (whole_rotated_reference, f"with {WHOLE}, p as (select *, contig::bigint * 7919 % length(seq) as k from ref) select contig, substr(seq, k + 1) || substr(seq, 1, k) as seq from p"),
+    "whole_known_bins": (whole_known_bins, f'with {WHOLE}, b as (select contig, translate(seq, \'G\', \'N\') as seq, unnest(range(0, length(seq), 20))::bigint as start from ref) select contig, start, start + 20 as "end" from b where regexp_matches(substr(seq, start + 1, 20), \'[ACGT]\')'),
     "quantized_qualities": (quantized_qualities, None),
 }
