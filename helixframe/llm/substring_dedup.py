@@ -20,8 +20,9 @@ loss:
   any skew.
 
 Defined results: null text counts as empty; texts shorter than ``length`` keep all bytes; rows whose id is null are left
-whole (they have no place in the order); of rows with equal ids the text's hash orders them; an empty table gives an empty
-table.
+whole (they have no place in the order); of rows with equal ids and different texts the text's hash orders them; rows that
+repeat id and text share one place, so all of them get the same result and none is a repeat of another; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ LENGTH, GRAM, HOT, BITS = 100, 32, 256, 27
 PIECE = 4 << 20
 #: Bytes of texts that are worked on together.
 TOGETHER = 64 << 10
+#: Bytes of runs whose suffixes are sorted together (an anchor has at most HOT short runs).
+TOGETHER_SORTED = 3 << 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64(0xFFFFFF)
 
@@ -299,7 +302,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     several = classes.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     lone = classes.join(several, "a").select("a", "w", "first.doc", "first.sub", "first.at", "kinds")
     texts = runs.where("bytes is not null").select("a", "w", "doc", "sub", "at", "lead", "bytes")
-    lone = written(lone.join(texts, ["a", "w", "doc", "sub", "at"]).select("a", "doc", "sub", "at", "lead", "bytes", "kinds"), folder, "lone")
+    # Repeated rows (one id, one text) have one place in the order, so their runs count once.
+    lone = lone.join(texts, ["a", "w", "doc", "sub", "at"]).dropDuplicates(["a", "w", "doc", "sub", "at"])
+    lone = written(lone.select("a", "doc", "sub", "at", "lead", "bytes", "kinds"), folder, "lone")
     parts = equal.unionByName(_sorted_repeats(lone.where(F.col("kinds") <= HOT), length)).unionByName(_hot_repeats(lone.where(F.col("kinds") > HOT), length, folder))
     spans = written(parts.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("x")), folder, "spans")
     kept = src.join(spans, ["doc", "sub"], "left").select("doc", "text", F.col("x.at").alias("at"), F.col("x.n").alias("n"))
@@ -347,25 +352,30 @@ def _gathered(f, least: int = 20_000):
 def _sorted_repeats(lone: DataFrame, length: int) -> DataFrame:
     """Repeated windows (doc, sub, at, n windows from there) among runs, all runs of an anchor in one task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        # Blocks of whole anchors of about 1.5 MB bound the memory of a sort.
-        table = table.sort_by([("a", "ascending"), ("doc", "ascending"), ("sub", "ascending"), ("at", "ascending")])
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.filter(pa.array(_may_share(table, length)))
-        if not table.num_rows:
-            return
-        a = table.column("a").to_numpy()
-        size = np.cumsum([len(x) for x in table.column("bytes").to_pylist()])
-        edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]).tolist() + [len(a)]
-        begin = 0
-        for k in range(1, len(edges)):
-            if k == len(edges) - 1 or size[edges[k + 1] - 1] - (size[begin - 1] if begin else 0) > 3 << 19:
-                yield from _block(table.slice(begin, edges[k] - begin), length)
-                begin = edges[k]
-
-    dealt = lone.select("a", "doc", "sub", "at", "lead", "bytes").repartition("a")
+        if table.num_rows:
+            yield from _block(table, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come in order of their anchors; whole anchors of about TOGETHER_SORTED bytes are sorted at a time.
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            if held.nbytes < TOGETHER_SORTED:
+                continue
+            a = held.column("a").to_numpy()
+            edge = len(a) - int(np.argmin(a[::-1] == a[-1])) if a[0] != a[-1] else 0
+            if edge:
+                yield from work(held.slice(0, edge).combine_chunks())
+                held = held.slice(edge)
+        if held is not None and held.num_rows:
+            yield from work(held.combine_chunks())
+
+    dealt = lone.select("a", "doc", "sub", "at", "lead", "bytes").repartition("a").sortWithinPartitions("a", "doc", "sub", "at")
     return dealt.mapInArrow(run, "doc long, sub long, at long, n long")
 
 
