@@ -30,7 +30,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(F.col("doc_id"), 5, 0)
     grammar = toxicity.train(docs, read_table(spark, sf_dir, "labels"), usable=~held)
-    return toxicity.score_documents(docs, grammar).select("doc_id", held.alias("held_out"), "score", "predicted", "n_matches")
+    return toxicity.score_documents(docs, grammar).select("doc_id", held.alias("held_out"), "score", "predicted", "n_clauses")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,27 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Five transducers are composed. A lexical transducer (an Aho-Corasick automaton over the whole text) rewrites words to the
-classes INSULT and THREAT with a weight each; around every such word its clause is cut out, and the words of the clause are
-read by transducers for TARGET (address), NEGATION and REPORTED speech, whose composition is one small automaton
-(``Grammar.clause``): negation in front of a match damps it, reported speech damps the whole clause, an addressed person
-raises it. What is scored is the matched clause, never a word alone; a logistic model over the clauses' sums gives the
-score of the document.
+A text is cut into clauses, and a lexical transducer (an Aho-Corasick automaton) rewrites a clause's words to symbols:
+insult, threat, target, negation, report or other. Five transducers, given as states and weighted arcs, read that string:
+negation (marks matches within ``NEGATION_REACH`` words after one), insult, threat, target (somebody is addressed) and
+reported speech (before or after the match). ``compose`` makes one weighted transducer of the five, and a clause's score is the
+weight of its path: the sum of its matches' arc weights times the weight of the final state. An insult at nobody weighs
+half of one at somebody; a threat without a target weighs nothing, however strong its word. A logistic model over the
+clauses' scores gives the score of the document; no count of isolated words enters.
 
 The grammar's structure and a seed lexicon are fixed; lexicon weights, further lexicon entries (words, and word
 beginnings, that are significantly more frequent in toxic documents) and the logistic model are learned from at most
 ``max_train`` labelled documents, taken by the order of a hash of their ids, half of them of either label.
 
 Defined results: null and empty texts match nothing and get the base score; without usable labels the seed lexicon
-scores with weight 1; texts are read whole, whatever their length; repeated rows are scored each; an empty table gives an
-empty table.
+scores with weight 1; texts and clauses are read whole, whatever their length; repeated rows are scored each; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,11 +41,85 @@ SEEDS = {
 TARGETS = frozenset("you your yours you're youre u ur they them he she him her his du dich dir ihr euch dein deine sie tu te toi vous votre ton ta il elle tú te ti usted tu su ustedes él ella".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't didn't nobody none without nicht kein keine nie niemals ne pas jamais aucun aucune sans ni nunca jamás ningún ninguna sin".split())
 REPORTS = frozenset("said says say wrote writes quoted quote quotes called reported reports claims claimed alleged according sagt sagte schrieb laut dit disait écrit selon dijo dice escribió según".split())
-_CLAUSE_END = frozenset(".!?;\n\r")
+_CLAUSE_END = re.compile(r"[.!?;\n\r]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-#: Characters of a clause looked at to either side of a match; how far a negation reaches, in words.
-REACH, NEGATION_REACH = 240, 4
-FEATURES = ("weight", "count", "best", "addressed", "damped", "threats", "density")
+#: How far a negation reaches, in words.
+NEGATION_REACH = 4
+FEATURES = ("weight", "clauses", "best", "addressed", "damped", "threats")
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
+SYMBOLS = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)
+#: A match that a negation reaches, between the transducers.
+NOT_INSULT, NOT_THREAT = "not insult", "not threat"
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """start; arcs: (state, symbol) -> (state, symbol written, weight), where a missing arc stays and copies the symbol;
+    final: state -> weights of the path's insults and threats (1 and 1 if missing)."""
+
+    start: object
+    arcs: dict
+    final: dict
+
+    def step(self, state, symbol):
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
+
+
+_AFTER = range(1, NEGATION_REACH + 1)
+TRANSDUCERS = (
+    # Negation: the state is how many more words it reaches; a match ends it.
+    Transducer(
+        0,
+        {(k, NEGATION): (NEGATION_REACH, NEGATION, 1.0) for k in (0, *_AFTER)}
+        | {(k, x): (k - 1, x, 1.0) for k in _AFTER for x in (TARGET, REPORT, OTHER)}
+        | {(k, INSULT): (0, NOT_INSULT, 0.25) for k in _AFTER}
+        | {(k, THREAT): (0, NOT_THREAT, 0.25) for k in _AFTER},
+        {},
+    ),
+    Transducer("no insult", {("no insult", x): ("insult", x, 1.0) for x in (INSULT, NOT_INSULT)}, {"no insult": (0.0, 1.0)}),
+    Transducer("no threat", {("no threat", x): ("threat", x, 1.0) for x in (THREAT, NOT_THREAT)}, {"no threat": (1.0, 0.0)}),
+    Transducer("nobody", {("nobody", TARGET): ("somebody", TARGET, 1.0)}, {"nobody": (0.6, 0.0), "somebody": (1.2, 1.2)}),
+    Transducer("own speech", {("own speech", REPORT): ("reported", REPORT, 1.0)}, {"reported": (0.5, 0.5)}),
+)
+
+
+def compose(transducers: tuple[Transducer, ...]) -> Transducer:
+    """One transducer for a chain of them, each reading what the one before it writes; states are tuples of theirs."""
+    start = tuple(t.start for t in transducers)
+    arcs, final, todo = {}, {}, [start]
+    while todo:
+        state = todo.pop()
+        if state in final:
+            continue
+        ends = [t.final.get(x, (1.0, 1.0)) for t, x in zip(transducers, state, strict=True)]
+        final[state] = tuple(math.prod(e[k] for e in ends) for k in (0, 1))
+        for symbol in SYMBOLS:
+            after, out, weight = [], symbol, 1.0
+            for t, x in zip(transducers, state, strict=True):
+                x, out, w = t.step(x, out)
+                after.append(x)
+                weight *= w
+            arcs[state, symbol] = (tuple(after), out, weight)
+            todo.append(tuple(after))
+    return Transducer(start, arcs, final)
+
+
+CLAUSE = compose(TRANSDUCERS)
+_KIND = {w: REPORT for w in REPORTS} | {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS}
+
+
+def clause_weights(symbols: list[tuple[str, float]]) -> tuple[list[float], list[float], int, tuple]:
+    """(weights of the insults, of the threats, damped matches, final state) of a clause's (symbol, lexical weight) string."""
+    state, insults, threats, damped = CLAUSE.start, [], [], 0
+    for symbol, lexical in symbols:
+        state, out, weight = CLAUSE.step(state, symbol)
+        if out == INSULT or out == NOT_INSULT:
+            insults.append(lexical * weight)
+        elif out == THREAT or out == NOT_THREAT:
+            threats.append(lexical * weight)
+        damped += out == NOT_INSULT or out == NOT_THREAT
+    of_insult, of_threat = CLAUSE.final[state]
+    return [of_insult * x for x in insults], [of_threat * x for x in threats], damped, state
 
 
 @dataclass
@@ -52,7 +128,7 @@ class Grammar:
 
     lexicon: dict[str, tuple[bool, str, float]] = field(default_factory=dict)
     bias: float = -2.0
-    weights: tuple[float, ...] = (1.0, 0.5, 1.0, 0.3, -0.3, 0.5, 0.0)
+    weights: tuple[float, ...] = (1.0, 0.5, 1.0, 0.5, -0.3, 0.5)
     _automaton: object = None
 
     def __getstate__(self):
@@ -84,60 +160,38 @@ class Grammar:
                 best[begin] = (end, kind, weight)
         return [(b, *x) for b, x in sorted(best.items())]
 
-    def clause(self, words: list[tuple[str, tuple[str, float] | None]]) -> tuple[float, float, float, int, int]:
-        """The composed transducer over one clause: (weight, best, addressed, damped, threats).
-
-        States: distance to the last negation, whether speech is reported, whether somebody is addressed.
-        """
-        since_negation, reported, addressed = 99, False, False
-        emitted: list[tuple[float, bool]] = []
-        threats = 0
-        for word, hit in words:
-            if hit:
-                damp = 0.25 if since_negation <= NEGATION_REACH else 1.0
-                emitted.append((hit[1] * damp, damp < 1))
-                threats += hit[0] == "threat"
-                since_negation = 99
-            elif word in NEGATIONS:
-                since_negation = 0
-            elif word in REPORTS:
-                reported = True
-            elif word in TARGETS:
-                addressed = True
-            since_negation += 1
-        scale = (0.5 if reported else 1.0) * (1.2 if addressed else 1.0)
-        weight = scale * sum(w for w, _ in emitted)
-        return weight, scale * max((w for w, _ in emitted), default=0.0), weight * addressed, sum(d for _, d in emitted) + reported * len(emitted), threats * (1 + addressed)
-
-    def features(self, text: str) -> list[float]:
-        low = text.lower()
+    def clauses(self, low: str) -> Iterator[list[tuple[str, float]]]:
+        """The symbol strings of those clauses of a lower-cased text that hold a match."""
         found = self.matches(low)
-        total = best = addressed = 0.0
-        damped = threats = 0
+        if not found:
+            return
+        ends = [m.start() for m in _CLAUSE_END.finditer(low)]
         k = 0
         while k < len(found):
-            begin = found[k][0]
-            left = right = None
-            for left in range(begin, max(-1, begin - REACH - 1), -1):
-                if left and low[left - 1] in _CLAUSE_END:
-                    break
-            end = found[k][1]
-            for right in range(end, min(len(low), end + REACH)):
-                if low[right] in _CLAUSE_END:
-                    break
-            inside = []
-            while k < len(found) and found[k][0] <= max(right or 0, end):
-                inside.append(found[k])
+            at = bisect_left(ends, found[k][0])
+            left, right = ends[at - 1] + 1 if at else 0, ends[at] if at < len(ends) else len(low)
+            places = {}
+            while k < len(found) and found[k][0] < right:
+                begin, _, kind, weight = found[k]
+                places[begin] = (kind, weight)
                 k += 1
-            stop = max(right or 0, inside[-1][1])
-            hits = {b: (kind, w) for b, _, kind, w in inside}
-            words = [(m.group(), hits.get(m.start())) for m in _WORD.finditer(low, left, stop)]
-            seen = {m for m in hits} - {m.start() for m in _WORD.finditer(low, left, stop)}
-            words += [("", hits[b]) for b in sorted(seen)]  # a match inside joined words
-            w, b, a, d, t = self.clause(words)
-            total, best, addressed, damped, threats = total + w, max(best, b), addressed + a, damped + d, threats + t
-        n = len(found)
-        return [math.log1p(max(total, 0.0)), math.log1p(n), best, math.log1p(max(addressed, 0.0)), math.log1p(damped), math.log1p(threats), n / (1.0 + len(low) / 100.0)]
+            # A match may begin inside joined words, which then stand before it.
+            words = {m.start(): (_KIND.get(m.group(), OTHER), 0.0) for m in _WORD.finditer(low, left, right)}
+            yield [x for _, x in sorted((words | places).items())]
+
+    def features(self, text: str) -> list[float]:
+        total = best = addressed = threatened = 0.0
+        damped = scored = 0
+        for symbols in self.clauses(text.lower()):
+            insults, threats, negated, state = clause_weights(symbols)
+            weight = sum(insults) + sum(threats)
+            total += weight
+            best = max([best, *insults, *threats])
+            addressed += weight * ("somebody" in state)
+            threatened += sum(threats)
+            damped += negated + ("reported" in state) * (len(insults) + len(threats) - negated)
+            scored += weight > 0
+        return [math.log1p(max(total, 0.0)), math.log1p(scored), best, math.log1p(max(addressed, 0.0)), math.log1p(damped), math.log1p(max(threatened, 0.0))]
 
     def score(self, text: str) -> tuple[float, int]:
         x = self.features(text)
@@ -254,8 +308,8 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, max_train: int = 6000
 
 
 def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.5, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with score, predicted and n_matches (prefixed; columns of these names are replaced); only the text is scored."""
-    names = [prefix + x for x in ("score", "predicted", "n_matches")]
+    """``docs`` with score, predicted and n_clauses (prefixed; columns of these names are replaced); only the text is scored."""
+    names = [prefix + x for x in ("score", "predicted", "n_clauses")]
     docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # at most 400 entries
     kinds = (DoubleType(), IntegerType(), IntegerType())

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -19,6 +20,41 @@ def test_grammar_scores_clauses():
     assert g.score("word " * 50_000 + "you moron!")[1] == 1
 
 
+def test_transducers_compose_to_the_chain():
+    """The composed transducer does what the five do one after another, for every string of up to four symbols."""
+    for n in range(5):
+        for string in itertools.product(toxicity.SYMBOLS, repeat=n):
+            tape, weights, ends = list(string), [1.0] * n, []
+            for t in toxicity.TRANSDUCERS:
+                state, out = t.start, []
+                for k, x in enumerate(tape):
+                    state, y, w = t.step(state, x)
+                    out.append(y)
+                    weights[k] *= w
+                tape = out
+                ends.append(t.final.get(state, (1.0, 1.0)))
+            hits = [(k, x) for k, x in enumerate(tape) if "insult" in x or "threat" in x]
+            want = [sum(weights[k] * math.prod(e[j] for e in ends) for k, x in hits if kind in x) for j, kind in enumerate(("insult", "threat"))]
+            insults, threats, _, _ = toxicity.clause_weights([(x, 1.0) for x in string])
+            assert [sum(insults), sum(threats)] == pytest.approx(want), string
+
+
+def test_grammar_paths():
+    g = toxicity.Grammar(toxicity.seed_lexicon())
+    score = lambda t: g.score(t)[0]
+    nothing = score("a fine day")
+    assert score("idiot you") == score("idiot you.") == score("Idiot, you!") > 0.5  # the text's end is a clause's end
+    assert score("kill the process") == score("burn, kill and destroy") == nothing  # a threat needs a target
+    assert score("i will kill you") > 0.5 > score("i will not kill you") > nothing
+    assert score("you are stupid. never mind") == score("you are stupid") == score("you stupid one, not me")  # after the insult
+    assert score("you are not at all stupid") < score("you are stupid")
+    assert score("'you idiot', she said") == pytest.approx(score("she said 'you idiot'")) and score("she said 'you idiot'") < score("you idiot")
+    assert score("she said no. you idiot") == score("you idiot")  # another clause
+    assert score("what an idiot") < score("you idiot")
+    far = "you " + "word " * 20_000 + "idiot"
+    assert score(far) == score("you idiot") and score("x " * 50_000 + "stupid idiot" + " x" * 50_000 + " you") == score("stupid idiot you")
+
+
 def corpus(n=600, seed=1):
     r = random.Random(seed)
     words = [f"wort{k}" for k in range(200)]
@@ -53,7 +89,14 @@ def test_toxicity_edges(spark):
 
 def test_op1_on_labels(spark, sf):
     got = queries.op1_toxicity(spark, sf).toPandas()
-    assert sorted(got.columns) == ["doc_id", "held_out", "n_matches", "predicted", "score"] and got.score.between(0, 1).all()
+    assert sorted(got.columns) == ["doc_id", "held_out", "n_clauses", "predicted", "score"] and got.score.between(0, 1).all()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_op1_held_out_precision_and_recall(spark):
+    got = queries.op1_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null"), "doc_id")
+    hits, said, there = got.agg(F.sum((F.col("predicted") == 1).cast("int") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+    assert there > 50 and hits >= 0.95 * said and hits >= 0.9 * there
 
 
 def test_language_model(spark):
