@@ -1,23 +1,31 @@
 """URL filters with redirect equivalence: block decisions reach every alias of a page.
 
 Explicit rules decide a page first: the longest rule that fits its host (or a parent domain) and path. Pages without a
-rule take the verdict of their alias component: components are found by distributed label propagation over redirect
-edges (``<meta http-equiv=refresh>``), canonical-link edges (``<link rel=canonical>``) and spellings of one address
-(scheme, ``www.``/``m.``, tracking parameters, fragment, closing slash, ``.html``). Inside a component an explicit allow
-takes precedence over any block; a component without either is allowed.
+rule take the verdict of their alias component: components are found by distributed connected components over redirect
+edges (``<meta http-equiv=refresh>``) and canonical-link edges (``<link rel=canonical>``). Every such tag counts; its link is
+resolved as RFC 3986 says, against the page's ``<base>`` if it has one, with entities decoded; tags in comments and scripts
+don't count. Inside a component an explicit allow takes precedence over any block; a component without either is allowed.
+
+Two addresses are one only if they agree in scheme, host (both without regard to case), path (empty is ``/``) and query;
+nothing but an edge joins different addresses.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, joins no component and is allowed.
-Repeated rows each get their row. An empty table gives an empty table.
+Repeated rows each get their row; of a page that occurs with several contents all links count. An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir, written
+from .common import ascii_lower, shared_dir, small, written
 from .components import min_label_components
 
 Rule = tuple[str, str]  # ("allow" | "block", "host/path")
@@ -42,26 +50,61 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def address(url: Column) -> Column:
-    """One spelling for all spellings of an address; null if there is no host."""
+    """What tells pages apart: scheme, host, path and query; null if there is no host."""
     host, path = url_parts(url)
-    host = F.regexp_replace(host, "^(www|m)\\.|:(80|443)$", "")
-    path = F.regexp_replace(F.regexp_replace(path, "(/index)?\\.html?$", ""), "/+$", "")
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), "\\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|ref|fbclid|gclid)=")))
-    return F.when(host != "", F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))))
-
-
-def _link(html: Column, tag: str, mark: str, value: str) -> Column:
-    """The address in the first ``tag`` that carries ``mark``, or null."""
-    found = F.regexp_extract(F.coalesce(html, F.lit("")), f"(?is)<{tag}\\b(?=[^>]*{mark})[^>]*?{value}", 1)
-    return F.when(found != "", found)
-
-
-def _absolute(target: Column, url: Column) -> Column:
-    """A link seen from the page that holds it: full, ``//host``, ``/path``; other relative links are left out."""
-    scheme = F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    host = F.regexp_extract(url, "^[^:]*://([^/?#]*)", 1)
-    return F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(scheme, F.lit("://"), host, target))
+    scheme = ascii_lower(F.regexp_extract(url, "(?s)^(.*?)://", 1))
+    query = F.regexp_extract(url, "(?s)^.*?://[^?#]*(\\?[^#]*)", 1)
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
+
+
+class _Links(HTMLParser):
+    """The links of a page's refresh and canonical tags, and its first base."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links: list[str] = []
+        self.base: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in ("link", "meta", "base"):
+            return
+        found = {k: v or "" for k, v in reversed(attrs)}  # of repeated attributes the first counts
+        if tag == "base" and self.base is None and "href" in found:
+            self.base = found["href"]
+        elif tag == "link" and "href" in found and "canonical" in found.get("rel", "").lower().split():
+            self.links.append(found["href"])
+        elif tag == "meta" and found.get("http-equiv", "").strip().lower() == "refresh":
+            m = _REFRESH.match(found.get("content", ""))
+            if m:
+                self.links.append(next(x for x in m.groups() if x is not None))
+
+
+_REFRESH = re.compile(r"""(?is)\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(\S.*))""")
+_MARKS = re.compile("(?i)canonical|refresh")
+_SPACE = re.compile("[\t\n\r]")
+
+
+def links_of(url: str, html: str) -> list[str]:
+    """Full addresses of a page's refresh and canonical links."""
+    if not _MARKS.search(html):
+        return []
+    parser = _Links()
+    parser.feed(html)
+    parser.close()
+    clean = lambda x: _SPACE.sub("", x.strip())
+    out = []
+    for link in parser.links:
+        try:
+            out.append(urljoin(urljoin(url, clean(parser.base or "")), clean(link)))
+        except ValueError:  # no address
+            continue
+    return [x for x in out if "://" in x]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        found = [links_of(u or "", h or "") for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["_id", "url", "links"])
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", html_col: str | None = "html", id_col: str = "page_id") -> DataFrame:
@@ -72,12 +115,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", h
     src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url"), html.cast("string").alias("html"))
     host, path = url_parts(F.col("url"))
     # One pass over the html; what follows works on this narrow table.
-    found = src.select(
-        "_id", "url",
-        _link(F.col("html"), "meta", "http-equiv\\s*=\\s*[\"']?refresh", "url\\s*=\\s*[\"']?([^\"'>\\s]+)").alias("refresh"),
-        _link(F.col("html"), "link", "rel\\s*=\\s*[\"']?canonical", "href\\s*=\\s*[\"']?([^\"'>\\s]+)").alias("canonical"),
-    )
-    targets = F.array_compact(F.array(*(address(_absolute(F.col(c), F.col("url"))) for c in ("refresh", "canonical"))))
+    kind = dict(src.dtypes)["_id"]
+    found = src.mapInArrow(_links, f"_id {kind}, url string, links array<string>")
+    targets = F.array_compact(F.transform("links", address))
     base = found.select(F.col("_id").alias(id_col), host.alias("host"), path.alias("path"), address(F.col("url")).alias("node"), targets.alias("links"))
     base = written(base.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)), folder, "pages")
     edges = base.where("node is not null").select("node", F.explode("links").alias("to")).where("node != to").distinct()

@@ -40,7 +40,8 @@ def test_collisions_are_told_apart(spark, monkeypatch):
 def test_op2_matches_sql(spark, duck, sf):
     got = queries.op2_exact_dedup(spark, sf).toPandas()
     assert comparable(got) == comparable(duck.execute(queries.OP2_SQL).df())
-    assert hashlib.sha256(b"").hexdigest() not in set(got.text_sha256) or True
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.text_sha256 for r in got.itertuples()} == {k: hashlib.sha256(lower(t).encode()).hexdigest() for k, t in texts.items()}
 
 
 def test_components(spark):
@@ -89,3 +90,63 @@ def test_rules_and_aliases(spark):
         (15, "www.z.net", "/1/", None, "allow"), (15, "www.z.net", "/1/", None, "allow"), (0, "alone.net", "/", None, "allow"),
     ])
     assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
+
+
+def test_links_of():
+    page = "http://h.net/a/b/c?d=1#e"
+    meta = '<meta http-equiv="Refresh" content="{}">'.format
+    link = "<link rel='canonical' href='{}'>".format
+    for html, want in [
+        (link("y"), ["http://h.net/a/b/y"]), (link("../y"), ["http://h.net/a/y"]), (link("?p=1"), ["http://h.net/a/b/c?p=1"]), (link("//o.org/z"), ["http://o.org/z"]), (link("/r?x=1&amp;y=2"), ["http://h.net/r?x=1&y=2"]),
+        (meta("0; url=next"), ["http://h.net/a/b/next"]), (meta("3;URL='/q r'"), ["http://h.net/q r"]), (meta("5"), []), (meta("0, https://s.org/"), ["https://s.org/"]),
+        ('<base href="http://o.com/k/l">' + link("m") + link("n"), ["http://o.com/k/m", "http://o.com/k/n"]), ('<LINK HREF=z REL="nofollow Canonical"/>', ["http://h.net/a/b/z"]),
+        ("<!-- " + link("y") + " -->", []), ("<script>var x = '" + link("y").replace("'", '"') + "'</script>", []), (link("mailto:a@b.c"), []), (link("http://[bad"), []), ("<link rel=canonical>", []),
+        ("x" * 300_000 + link("y") + "<" * 1000, ["http://h.net/a/b/y"]),
+    ]:
+        assert url_filter.links_of(page, html) == want, html[-80:]
+
+
+def test_aliases_equal_brute_force_over_pages(spark, sf):
+    """All of pages, with redirect chains, stars and canonical links planted in every spelling of a reference."""
+    import random
+
+    r = random.Random(8)
+    rows = [(x["page_id"], x["url"], x["html"] or "") for x in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").orderBy("page_id").collect()]
+    rows += [(10**6 + k, f"http://c{k % 7}.net/p/{k}?v={k}", "") for k in range(300)]
+    rows += [(2 * 10**6 + k, f"http://s{k % 5}.{r.choice(['com', 'com', 'org'])}/{r.choice(['de', 'de', 'fr'])}/{k}", "") for k in range(200)]
+    key = lambda u: u.split("#")[0].lower() if u and "://" in u else None
+    top = {key(u): key(u) for _, u, _ in rows if key(u)}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    def refer(a, b):
+        (sa, ha), (sb, hb) = ((u.split("://")[0], u.split("://")[1].split("/")[0]) for u in (a, b))
+        return r.choice([b, b + "#part", *([b[len(sb) + 1 :]] if sa == sb else []), *([b[len(sb) + 3 + len(hb) :]] if (sa, ha) == (sb, hb) else [])]).replace("&", "&amp;")
+
+    planted = []
+    for n, (i, u, h) in enumerate(rows):
+        if u and "://" in u and "/" in u.split("://")[1] and (10**6 <= i < 2 * 10**6 or r.random() < 0.05):
+            to = rows[n - 1][1] if i >= 10**6 and i % 20 else r.choice(rows[-200:] if i >= 10**6 else rows)[1]
+            if to and "://" in to and "/" in to.split("://")[1]:
+                ref = refer(u, to)
+                h += r.choice([f'<link rel="canonical" href="{ref}">', f"<meta http-equiv=refresh content='1; url={ref}'>"])
+                a, b = find(key(u)), find(key(to))
+                top[max(a, b)] = min(a, b)
+        planted.append((i, u, h))
+    fits = lambda host, path, rule: (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith(rule[rule.index("/") :])
+    direct, marks = {}, defaultdict(set)
+    for i, u, _ in planted:
+        rest = u.split("://", 1)[1].split("?")[0].split("#")[0] if u and "://" in u else ""
+        host, path = rest.split("/", 1)[0].lower(), rest[len(rest.split("/", 1)[0]) :]
+        best = max(((len(x), v) for v, x in RULES if fits(host, path, x)), default=None)
+        direct[i] = best and best[1]
+        if best and key(u):
+            marks[find(key(u))].add(best[1])
+    want = {i: direct[i] or ("block" if key(u) and marks[find(key(u))] == {"block"} else "allow") for i, u, _ in planted}
+    df = spark.createDataFrame(planted, "page_id long, url string, html string").repartition(5)
+    got = {x["page_id"]: x["verdict"] for x in url_filter.filter_urls(df, RULES).collect()}
+    assert got == want
+    assert sum(1 for i in want if not direct[i] and want[i] == "block") > 20
