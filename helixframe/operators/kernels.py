@@ -17,35 +17,63 @@ from pyspark.sql import functions as F
 GAP_OPEN, GAP_EXTEND = 45, 10
 
 
-def pair_hmm(read: str, quals: list[int], hap: str, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> float:
-    """log10 P(read | haplotype): match, insertion and deletion states; free start and end on the haplotype.
+#: Bytes of one matrix row of a batch, so that a sweep's rows stay in the cache.
+ROW_BYTES = 1 << 18
+
+
+def _by_lengths(one: list[str], two: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs in batches of equal lengths: (their numbers, letters of the first as (length, batch), of the second alike)."""
+    lengths = np.array([(len(x), len(y)) for x, y in zip(one, two, strict=True)], np.int64).reshape(-1, 2)
+    order = np.lexsort((lengths[:, 1], lengths[:, 0]))
+    cuts = np.flatnonzero(np.r_[True, (np.diff(lengths[order], axis=0) != 0).any(1), True]) if len(order) else []
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        n, m = lengths[order[begin]]
+        if not n or not m:
+            continue
+        most = max(16, ROW_BYTES // (width * int(max(n, m) + 1)))
+        for k in range(begin, end, most):
+            at = order[k : min(end, k + most)]
+            letters = [np.frombuffer("".join(x[i] for i in at).encode("latin-1"), np.uint8).reshape(len(at), -1).T.copy() for x in (one, two)]
+            yield at, *letters
+
 
-    N matches anything; a mismatch has probability error / 3. Rows are scaled, so long reads don't underflow.
+def pair_hmm_scores(reads: list[str], quals: list[np.ndarray], haps: list[str], gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> np.ndarray:
+    """log10 P(read | haplotype) of pairs: match, insertion and deletion states; free start and end on the haplotype.
+
+    N matches anything; a mismatch has probability error / 3. Pairs of equal lengths are swept together, a read's base at a
+    time, the deletion state by doubling sums along the haplotype; rows are scaled, so long reads don't underflow.
     """
-    n = len(hap)
-    if not read or not n:
-        return float("-inf") if read else 0.0
+    out = np.array([0.0 if not r else -np.inf for r in reads])
     go, ge = 10 ** (-gap_open / 10), 10 ** (-gap_extend / 10)
     mm, mi, im, ii = 1 - 2 * go, go, 1 - ge, ge
-    h = np.frombuffer(hap.encode(), np.uint8)
-    m, i = np.zeros(n + 1), np.zeros(n + 1)
-    d = np.full(n + 1, 1.0 / n)
-    scale = 0.0
-    for base, q in zip(read.encode(), quals, strict=True):
-        e = 10 ** (-q / 10)
-        same = (h == base) | (h == 78) | (base == 78)
-        prior = np.where(same, 1 - e, e / 3)
-        new_m, new_i, new_d = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
-        new_m[1:] = prior * (m[:-1] * mm + (i[:-1] + d[:-1]) * im)
-        new_i[1:] = m[1:] * mi + i[1:] * ii
-        run = 0.0
-        for j in range(1, n + 1):
-            run = new_m[j - 1] * mi + run * ii
-            new_d[j] = run
-        top = max(new_m.max(), new_i.max(), new_d.max(), 1e-300)
-        m, i, d = new_m / top, new_i / top, new_d / top
-        scale += math.log10(top)
-    return math.log10(max((m + i)[1:].sum(), 1e-300)) + scale
+    for at, read, hap in _by_lengths(reads, haps, 8):
+        n, b = hap.shape
+        error = 10 ** (np.array([quals[k] for k in at], float).T / -10)
+        m, i, d = np.zeros((n + 1, b)), np.zeros((n + 1, b)), np.full((n + 1, b), 1.0 / n)
+        scale, any_base = np.zeros(b), hap == 78
+        for base, e in zip(read, error, strict=True):
+            prior = np.where((hap == base) | any_base | (base == 78), 1 - e, e / 3)
+            new_m = np.zeros((n + 1, b))
+            new_m[1:] = prior * (m[:-1] * mm + (i[:-1] + d[:-1]) * im)
+            i = m * mi + i * ii
+            i[0] = 0.0
+            d = np.zeros((n + 1, b))
+            d[1:] = new_m[:-1] * mi
+            step, weight = 1, ii
+            while step <= n and weight > 1e-320:  # d[j] = sum of ii ** k * opened[j - k]
+                d[step + 1 :] += weight * d[1:-step].copy()
+                step, weight = 2 * step, weight * weight
+            m = new_m
+            top = np.maximum(np.maximum(m.max(0), i.max(0)), np.maximum(d.max(0), 1e-300))
+            m, i, d = m / top, i / top, d / top
+            scale += np.log10(top)
+        out[at] = np.log10(np.maximum((m + i)[1:].sum(0), 1e-300)) + scale
+    return out
+
+
+def pair_hmm(read: str, quals: list[int], hap: str, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> float:
+    """One pair of ``pair_hmm_scores``."""
+    return float(pair_hmm_scores([read], [np.asarray(quals)], [hap], gap_open, gap_extend)[0])
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
@@ -53,7 +81,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["log10_likelihood"] = [pair_hmm(r, list(q), h) for r, q, h in zip(b["read"], b["quals"], b["hap"], strict=True)]
+            b["log10_likelihood"] = pair_hmm_scores(b["read"].tolist(), b["quals"].tolist(), b["hap"].tolist())
             yield b
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in pairs.dtypes)
@@ -86,74 +114,110 @@ def best_allele(df: DataFrame, margin: float = 0.2, read: str = "read_id", allel
 MATCH, MISMATCH, OPEN, EXTEND = 10, -15, -30, -5
 
 
-def smith_waterman(ref: str, alt: str, overhang: str = "softclip", match: int = MATCH, mismatch: int = MISMATCH, gap_open: int = OPEN, gap_extend: int = EXTEND) -> tuple[int, str, int]:
-    """(score, CIGAR, offset on the reference) of an affine alignment. overhang: softclip, indel, leading_indel or ignore.
+#: Scores don't fall below this.
+LOWEST = -(10**8)
+
 
-    Ties prefer the diagonal, then a gap in the alternate, then one in the reference.
+def smith_waterman_batch(refs: list[str], alts: list[str], overhang: str = "softclip", match: int = MATCH, mismatch: int = MISMATCH, gap_open: int = OPEN, gap_extend: int = EXTEND) -> list[tuple[int, str, int]]:
+    """(score, CIGAR, offset on the reference) of affine alignments. overhang: softclip, indel, leading_indel or ignore.
+
+    Ties prefer the diagonal, then an insertion, then a deletion, and a longer gap to a new one. With softclip and ignore, an
+    alternate that occurs whole in the reference aligns to its last occurrence. Pairs of equal lengths are swept together by
+    anti-diagonals, so every step is one of whole arrays.
     """
-    n, m = len(ref), len(alt)
-    if not n or not m:
-        return 0, f"{m}S" if m else "", 0
-    low = -(10**8)
-    s = np.zeros((n + 1, m + 1), np.int64)
-    back = np.zeros((n + 1, m + 1), np.int64)
+    if overhang not in ("softclip", "indel", "leading_indel", "ignore"):
+        raise ValueError(f"unknown overhang {overhang}")
+    out: list[tuple[int, str, int]] = [(0, f"{len(a)}S" if a else "", 0) for a in alts]
+    left = []
+    for k, (r, a) in enumerate(zip(refs, alts, strict=True)):
+        whole = r.rfind(a) if r and a and overhang in ("softclip", "ignore") else -1
+        if whole >= 0:
+            out[k] = (len(a) * match, f"{len(a)}M", whole)
+        elif r and a:
+            left.append(k)
+    edge = gap_open if overhang in ("indel", "leading_indel") else 0
+    step = gap_extend if overhang in ("indel", "leading_indel") else 0
+    for at, ref, alt in _by_lengths([refs[k] for k in left], [alts[k] for k in left], 32):
+        (n, b), m = ref.shape, len(alt)
+        gaps, last_column, last_row = np.zeros((n + 1, m + 1, b), np.int16 if max(n, m) < 1 << 15 else np.int32), np.zeros((n + 1, b), np.int64), np.zeros((m + 1, b), np.int64)
+        # By row: best scores of the last two anti-diagonals, deletions and insertions (score and length) of the last one.
+        before, best = np.zeros((n + 1, b), np.int64), np.zeros((n + 1, b), np.int64)
+        best[:2] = edge
+        deletion, insertion = np.full((n + 1, b), 2 * LOWEST), np.full((n + 1, b), 2 * LOWEST)
+        deleted, inserted = np.zeros((n + 1, b), np.int64), np.zeros((n + 1, b), np.int64)
+        for d in range(2, n + m + 1):
+            lo, hi = max(1, d - m), min(n, d - 1)
+            rows = np.arange(lo, hi + 1)
+            diagonal = before[lo - 1 : hi] + np.where(ref[lo - 1 : hi] == alt[d - 1 - rows], match, mismatch)
+            opened, longer = best[lo - 1 : hi] + gap_open, deletion[lo - 1 : hi] + gap_extend
+            down, down_n = np.maximum(opened, longer), np.where(opened > longer, 1, deleted[lo - 1 : hi] + 1)
+            opened, longer = best[lo : hi + 1] + gap_open, insertion[lo : hi + 1] + gap_extend
+            right, right_n = np.maximum(opened, longer), np.where(opened > longer, 1, inserted[lo : hi + 1] + 1)
+            is_match, is_right = (diagonal >= down) & (diagonal >= right), right >= down
+            now = np.full((n + 1, b), edge + step * (d - 1))  # the edges, as far as they lie on this anti-diagonal
+            now[lo : hi + 1] = np.maximum(LOWEST, np.where(is_match, diagonal, np.maximum(right, down)))
+            gaps[rows, d - rows] = np.where(is_match, 0, np.where(is_right, -right_n, down_n))
+            before, best = best, now
+            # A column's first cell and a row's first cell open no gap of their own.
+            deletion, deleted, insertion, inserted = (np.full((n + 1, b), 2 * LOWEST), np.zeros((n + 1, b), np.int64), np.full((n + 1, b), 2 * LOWEST), np.zeros((n + 1, b), np.int64))
+            deletion[lo : hi + 1], deleted[lo : hi + 1], insertion[lo : hi + 1], inserted[lo : hi + 1] = down, down_n, right, right_n
+            if d > m:
+                last_column[d - m] = now[d - m]
+            if d > n:
+                last_row[d - n] = now[n]
+        done = _traced(gaps, last_column, last_row, overhang)
+        for k, x in zip(at, done, strict=True):
+            out[left[k]] = x
+    return out
+
+
+def _traced(gaps: np.ndarray, last_column: np.ndarray, last_row: np.ndarray, overhang: str) -> list[tuple[int, str, int]]:
+    """The alignments of a batch from the gaps of its cells (0 for the diagonal, -n for an insertion, n for a deletion)."""
+    n, m, b = gaps.shape[0] - 1, gaps.shape[1] - 1, gaps.shape[2]
+    each = np.arange(b)
+    row, column = np.full(b, n), np.full(b, m)
+    if overhang != "indel":
+        row = n - last_column[:0:-1].argmax(0)  # the last of equals
+    score = last_column[row, each]
+    if overhang in ("softclip", "ignore"):
+        for k in range(1, m + 1):
+            better = (last_row[k] > score) | (last_row[k] == score) & (abs(n - k) < abs(row - column))
+            row, column, score = np.where(better, n, row), np.where(better, k, column), np.where(better, last_row[k], score)
+    # Steps back from there: an operation (M, I, D, S by number) and a length for each pair.
+    ops, sizes = [np.full(b, 3 if overhang == "softclip" else 0)], [m - column]
+    row, column = row.copy(), column.copy()
+    while len(going := np.flatnonzero((row > 0) & (column > 0))):
+        gap = gaps[row[going], column[going], going].astype(np.int64)
+        op, size = np.zeros(b, np.int64), np.zeros(b, np.int64)
+        op[going], size[going] = np.where(gap == 0, 0, np.where(gap < 0, 1, 2)), np.where(gap == 0, 1, abs(gap))
+        row[going] -= np.where(gap < 0, 0, size[going])
+        column[going] -= np.where(gap > 0, 0, size[going])
+        ops.append(op)
+        sizes.append(size)
     if overhang in ("indel", "leading_indel"):
-        s[0, 1:] = gap_open + gap_extend * np.arange(m)
-        s[1:, 0] = gap_open + gap_extend * np.arange(n)
-    down, down_n = np.full(m + 1, low), np.zeros(m + 1, np.int64)
-    for i in range(1, n + 1):
-        right, right_n = low, 0
-        for j in range(1, m + 1):
-            diagonal = s[i - 1, j - 1] + (match if ref[i - 1] == alt[j - 1] else mismatch)
-            opened = s[i - 1, j] + gap_open
-            down[j], down_n[j] = (opened, 1) if opened >= down[j] + gap_extend else (down[j] + gap_extend, down_n[j] + 1)
-            opened = s[i, j - 1] + gap_open
-            right, right_n = (opened, 1) if opened >= right + gap_extend else (right + gap_extend, right_n + 1)
-            best = max(diagonal, right, down[j])
-            if overhang in ("softclip", "ignore") and best < 0:
-                best = 0
-            s[i, j] = best
-            back[i, j] = 0 if best == diagonal else -right_n if best == right else down_n[j] if best == down[j] else 0
-    if overhang == "indel":
-        i, j, clip = n, m, 0
+        ops += [np.full(b, 2), np.full(b, 1)]
+        sizes += [row, np.where(row > 0, 0, column)]
+        offset = np.zeros(b, np.int64)
+    elif overhang == "softclip":
+        ops, sizes, offset = [*ops, np.full(b, 3)], [*sizes, column], row
     else:
-        column = s[1:, m]
-        i, j = int(np.flatnonzero(column == column.max())[-1]) + 1, m
-        for k in range(1, m + 1):
-            if s[n, k] > s[i, j] or s[n, k] == s[i, j] and abs(n - k) < abs(i - j):
-                i, j = n, k
-        clip = m - j
-    score, ops = int(s[i, j]), []
-    if clip:
-        ops.append((clip, "S"))
-    while i > 0 and j > 0:
-        if overhang in ("softclip", "ignore") and s[i, j] == 0 and (i != n or j != m):
-            break
-        k = back[i, j]
-        if k == 0:
-            ops.append((1, "M"))
-            i, j = i - 1, j - 1
-        elif k > 0:
-            ops.append((int(k), "D"))
-            i -= int(k)
-        else:
-            ops.append((int(-k), "I"))
-            j += int(k)
-    if j > 0:
-        ops.append((j, "S" if overhang in ("softclip", "ignore") else "I"))
-    elif i > 0 and overhang in ("indel", "leading_indel"):
-        ops.append((i, "D"))
-        i = 0
-    cigar = ""
-    merged: list[list] = []
-    for size, op in reversed(ops):
-        if merged and merged[-1][1] == op:
-            merged[-1][0] += size
-        else:
-            merged.append([size, op])
-    for size, op in merged:
-        cigar += f"{size}{op}"
-    return score, cigar, i
+        offset = row - column
+    ops, sizes = np.array(ops).T[:, ::-1], np.array(sizes).T[:, ::-1]
+    out = []
+    for k in range(b):
+        some = sizes[k] > 0
+        op, size = ops[k][some], sizes[k][some]
+        first = np.flatnonzero(np.r_[True, op[1:] != op[:-1]]) if len(op) else np.zeros(0, int)
+        size = np.add.reduceat(size, first).tolist() if len(op) else []
+        if overhang == "ignore" and size:  # what lies before the reference joins the first stretch
+            size[0] += int(column[k])
+        out.append((int(score[k]), "".join(f"{x}{'MIDS'[o]}" for x, o in zip(size, op[first].tolist(), strict=True)), int(offset[k])))
+    return out
+
+
+def smith_waterman(ref: str, alt: str, overhang: str = "softclip", **weights: int) -> tuple[int, str, int]:
+    """One pair of ``smith_waterman_batch``."""
+    return smith_waterman_batch([ref], [alt], overhang, **weights)[0]
 
 
 def align_pairs(pairs: DataFrame, overhang: str = "softclip") -> DataFrame:
@@ -162,7 +226,7 @@ def align_pairs(pairs: DataFrame, overhang: str = "softclip") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [smith_waterman(r, a, overhang) for r, a in zip(b["ref"], b["alt"], strict=True)]
+            done = smith_waterman_batch(b["ref"].tolist(), b["alt"].tolist(), overhang)
             b["score"], b["cigar"], b["offset"] = ([x[k] for x in done] for k in range(3))
             yield b
 

@@ -125,11 +125,82 @@ def test_pair_hmm_matches_sums_of_paths():
     assert kernels.pair_hmm(read, q, hap) == pytest.approx(math.log10((m[3] + i[3])[1:].sum()))
 
 
+def test_pair_hmm_batches_equal_single_pairs():
+    r = random.Random(6)
+    reads = ["".join(r.choice("ACGTN") for _ in range(r.randrange(0, 30))) for _ in range(200)]
+    haps = ["".join(r.choice("ACGT") for _ in range(r.randrange(0, 50))) for _ in range(200)]
+    quals = [np.array([r.randrange(2, 41) for _ in x]) for x in reads]
+    go, ge = 10**-4.5, 10**-1.0
+    mm, mi, im, ii = 1 - 2 * go, go, 1 - ge, ge
+    for read, q, hap, got in zip(reads, quals, haps, kernels.pair_hmm_scores(reads, quals, haps), strict=True):
+        if not read or not hap:
+            assert got == (-math.inf if read else 0.0)
+            continue
+        m, i, d = [0.0] * (len(hap) + 1), [0.0] * (len(hap) + 1), [1 / len(hap)] * (len(hap) + 1)
+        for base, x in zip(read, q, strict=True):
+            e, nm, ni, nd = 10 ** (-x / 10), [0.0], [0.0], [0.0]
+            for j, h in enumerate(hap, 1):
+                nm.append((1 - e if h == base or base == "N" else e / 3) * (m[j - 1] * mm + (i[j - 1] + d[j - 1]) * im))
+                ni.append(m[j] * mi + i[j] * ii)
+                nd.append(nm[j - 1] * mi + nd[j - 1] * ii)
+            m, i, d = nm, ni, nd
+        assert got == pytest.approx(math.log10(sum(m[1:]) + sum(i[1:])), abs=1e-9)
+
+
+def align_by_cells(ref, alt, overhang, match, mismatch, opening, extending):
+    """The aligner's rules, a cell at a time, for the batched form's test."""
+    if overhang in ("softclip", "ignore") and alt in ref:
+        return len(alt) * match, f"{len(alt)}M", ref.rindex(alt)
+    n, m, low = len(ref), len(alt), -(10**9)
+    score, how, gap_d, gap_i = {}, {}, {}, {}
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if not i or not j:
+                score[i, j] = opening + extending * (i + j - 1) if i + j and "indel" in overhang else 0
+                gap_d[i, j] = gap_i[i, j] = (low, 0)
+                continue
+            new, old = score[i - 1, j] + opening, gap_d[i - 1, j]
+            gap_d[i, j] = (new, 1) if new > old[0] + extending else (old[0] + extending, old[1] + 1)
+            new, old = score[i, j - 1] + opening, gap_i[i, j - 1]
+            gap_i[i, j] = (new, 1) if new > old[0] + extending else (old[0] + extending, old[1] + 1)
+            x = score[i - 1, j - 1] + (match if ref[i - 1] == alt[j - 1] else mismatch)
+            score[i, j] = max(x, gap_i[i, j][0], gap_d[i, j][0])
+            how[i, j] = ("M", 1) if score[i, j] == x else ("I", gap_i[i, j][1]) if score[i, j] == gap_i[i, j][0] else ("D", gap_d[i, j][1])
+    ends = [(n, m)] if overhang == "indel" else [max(((k, m) for k in range(1, n + 1)), key=lambda c: (score[c], c))]
+    if overhang in ("softclip", "ignore"):
+        ends += [(n, k) for k in range(1, m + 1)]
+    i, j = ends[0]
+    for c in ends[1:]:
+        if (score[c], -abs(c[0] - c[1])) > (score[i, j], -abs(i - j)):
+            i, j = c
+    total, path = score[i, j], ("S" if overhang == "softclip" else "M") * (m - j)
+    while i and j:
+        op, size = how[i, j]
+        path += op * size
+        i, j = i - (op != "I") * size, j - (op != "D") * size
+    offset = 0 if "indel" in overhang else i if overhang == "softclip" else i - j
+    path += "S" * j if overhang == "softclip" else path[-1] * j if overhang == "ignore" else "D" * i or "I" * j
+    return total, "".join(f"{len(list(g))}{o}" for o, g in itertools.groupby(path[::-1])), offset
+
+
+@pytest.mark.parametrize("overhang", ["softclip", "indel", "leading_indel", "ignore"])
+def test_smith_waterman_batches_equal_cells(overhang):
+    r = random.Random(overhang)
+    refs = ["".join(r.choice("AC" if k % 2 else "ACGT") for _ in range(r.choice([1, 3, 12, 20]))) for k in range(300)]
+    alts = [x[:4] + x[4 + r.randrange(3) :] if k % 3 else "".join(r.choice("ACG") for _ in range(r.choice([1, 4, 15]))) for k, x in enumerate(refs)]
+    for weights in ((10, -15, -30, -5), (3, -1, -4, -3), (25, -50, -110, -6)):
+        got = kernels.smith_waterman_batch(refs, alts, overhang, *weights)
+        for ref, alt, x in zip(refs, alts, got, strict=True):
+            assert x == align_by_cells(ref, alt, overhang, *weights), (ref, alt)
+
+
 def test_smith_waterman():
     assert kernels.smith_waterman("ACGTACGTAC", "ACGTACGTAC") == (100, "10M", 0)
     assert kernels.smith_waterman("TTTTACGTACGTACGG", "ACGTACGTAC")[1:] == ("10M", 4)
     score, cigar, offset = kernels.smith_waterman("AAAACCCCGGGGTTTTACACAC", "AAAACCCCTTTTACACAC", "indel")
     assert cigar == "8M4D10M" and offset == 0 and score == 180 - 30 - 15
+    assert kernels.smith_waterman("ACGTAAAAAATTG", "ACGTAAAATTG", "indel")[1] == "4M2D7M"  # a tie in a homopolymer
+    assert kernels.smith_waterman("", "AC") == (0, "2S", 0)
 
 
 def test_assembly_finds_both_alleles():
