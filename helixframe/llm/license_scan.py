@@ -1,17 +1,20 @@
 """License scans: a trained paragraph classifier on DataFrame functions alone.
 
-Paragraphs (lines) are classed by a sparse logistic regression over their word 1- and 2-grams into licence families or
-"unknown". The model is fitted on the driver, from standard notices with words dropped and inserted and from a bounded sample
-of paragraphs of the corpus as examples of "unknown"; a temperature fitted on held-out examples calibrates its
-probabilities. A predicted family counts if a standard notice of it confirms it: enough of the notice's 2-grams must
-be in the paragraph.
-
-Only n-grams with a marker word (a word of notices that is rare elsewhere) have weights, so paragraphs without such a
-word are "unknown" for certain and one regular expression sorts them out. Scoring is a projection: no join, no shuffle,
-no Python on the executors.
+A line with a marker word (a word of notices that is rare elsewhere) is judged by itself and, as notices are wrapped, with
+the lines of its paragraph around it: one before and up to three after, as far as none without a letter or digit comes
+between. Both are classed by a sparse logistic regression over their word 1- and 2-grams into licence families or
+"unknown". The model is fitted on the driver, from standard notices with words dropped and inserted and with other text
+around them, and from a bounded sample of lines of the corpus as examples of "unknown" (``sample_docs`` texts,
+``sample_lines`` lines of each, ``sample_words`` words of a line); a temperature fitted on a fifth of the examples that
+is held out calibrates its probabilities. A predicted family counts if a standard notice of it confirms it: enough of the
+notice's 2-grams must be there.
+
+Only n-grams with a marker word have weights, so text without such a word is "unknown" for certain and one regular
+expression sorts it out. Scoring is a projection: no join, no shuffle, no Python on the executors; texts are read whole.
 
 Defined results: null and empty texts have no findings; repeated rows are scanned each; an empty table gives an empty
-table, and its model knows standard notices only.
+table, and its model knows standard notices only; a notice of several lines is one finding, at its first line with a
+marker that is found.
 """
 
 from __future__ import annotations
@@ -100,10 +103,10 @@ class Model:
         return dict(zip([*FAMILIES, UNKNOWN], (p / p.sum()).tolist(), strict=True))
 
 
-def fit(unknown: list[str], copies: int = 40, seed: int = 5) -> Model:
-    """A model from the notices and from paragraphs that are no notices."""
+def fit(unknown: list[str], copies: int = 40, seed: int = 5, sample_words: int = 200) -> Model:
+    """A model from the notices and from paragraphs that are no notices, of which the first ``sample_words`` words count."""
     rng = random.Random(seed)
-    plain = [words_of(p)[:200] for p in unknown]
+    plain = [words_of(p)[:sample_words] for p in unknown]
     seen = Counter(w for p in plain for w in set(p))
     known = {w for notices in NOTICES.values() for n in notices for w in words_of(n)}
     # Markers: words of notices, of three letters or more, that at most one of 500 other paragraphs has.
@@ -119,6 +122,8 @@ def fit(unknown: list[str], copies: int = 40, seed: int = 5) -> Model:
                 if c % 3 == 1:
                     at = rng.randrange(len(w) + 1)
                     w = w[:at] + [rng.choice(filler) for _ in range(rng.randrange(1, 6))] + w[at:]
+                elif c % 3 == 2:  # in the lines around it
+                    w = [rng.choice(filler) for _ in range(rng.randrange(12))] + w + [rng.choice(filler) for _ in range(rng.randrange(30))]
                 examples.append((grams_of(w), k))
     others = len(FAMILIES)
     examples += [(grams_of(p), others) for p in plain]
@@ -162,15 +167,15 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps:
     return w
 
 
-def train(docs: DataFrame, sample_docs: int = 400) -> Model:
-    """``sample_docs`` texts (by the order of a hash of the id) lend the examples of unknown: at most 40 lines of each, and
-    no line that holds most of a notice."""
+def train(docs: DataFrame, sample_docs: int = 400, sample_lines: int = 40, sample_words: int = 200) -> Model:
+    """``sample_docs`` texts (by the order of a hash of the id) lend the examples of unknown: ``sample_lines`` lines of each
+    at most, and no line that holds most of a notice."""
     some = docs.where("doc_id is not null and text is not null")
     picked = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)  # ids alone travel
-    rows = some.join(F.broadcast(picked), "doc_id", "left_semi").select(F.slice(F.split("text", "\n"), 1, 40).alias("lines")).collect()
+    rows = some.join(F.broadcast(picked), "doc_id", "left_semi").select(F.slice(F.split("text", "\n"), 1, sample_lines).alias("lines")).collect()
     notices = [_pairs(words_of(n)) for x in NOTICES.values() for n in x]
     lines = sorted(line for r in rows for line in r["lines"])
-    return fit([line for line in lines if line and not any(_share(n, line) >= 0.5 for n in notices)])
+    return fit([line for line in lines if line and not any(_share(n, line) >= 0.5 for n in notices)], sample_words=sample_words)
 
 
 def _pairs(words: list[str]) -> set[str]:
@@ -182,42 +187,67 @@ def _share(pairs: set[str], line: str) -> float:
 
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with findings: an array of (line, family, probability, share) for each line that is a licence notice.
+    """``docs`` with findings: an array of (line, family, probability, share, wrapped) for each licence notice; wrapped: the
+    line alone wouldn't do.
 
     An existing column of that name is replaced. Built-in functions only.
     """
+    columns = [c for c in docs.columns if c != "findings"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     marker = "(?i)(?<![a-z0-9])(?:" + "|".join(model.markers) + ")(?![a-z0-9])"
-    lines = F.when(text.rlike(marker), F.filter(F.transform(F.split(text, "\n"), lambda p, k: F.struct(k.alias("line"), p.alias("p"))), lambda x: x["p"].rlike(marker)))
+    docs = docs.select(*columns, F.when(text.rlike(marker), F.split(text, "\n")).alias("findings"))
+    all_lines = F.col("findings")
+    lines = F.filter(F.transform(all_lines, lambda p, k: F.struct(k.alias("line"), p.alias("p"))), lambda x: x["p"].rlike(marker))
+
+    def spans(x: Column) -> Column:
+        """The line by itself, and with its neighbours."""
+        at = lambda k: F.get(all_lines, x["line"] + k)
+        full = lambda y: F.coalesce(y.rlike("[A-Za-z0-9]"), F.lit(False))
+        after = F.lit("")
+        for k in (3, 2, 1):
+            after = F.when(full(at(k)), F.concat_ws(" ", at(k), after)).otherwise("")
+        around = F.concat_ws(" ", F.when((x["line"] > 0) & full(at(-1)), at(-1)), x["p"], after)
+        return F.array(F.struct(x["line"].alias("line"), x["p"].alias("p"), F.lit(False).alias("wrapped")), F.struct(x["line"].alias("line"), around.alias("p"), F.lit(True).alias("wrapped")))
+
+    lines = F.flatten(F.transform(lines, spans))
     weights = F.create_map(*[c for g, w in sorted(model.weights.items()) for c in (F.lit(g), F.array(*[F.lit(round(v, 6)) for v in w]))])
     start = F.array(*[F.lit(round(v, 6)) for v in model.bias])
 
     def grams(x: Column) -> Column:
         words = F.split(F.trim(F.regexp_replace(F.lower(x["p"]), "[^a-z0-9]+", " ")), " ")
         pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        return F.struct(x["line"].alias("line"), F.array_distinct(F.concat(words, pairs)).alias("g"))
+        return F.struct(x["line"].alias("line"), x["wrapped"].alias("wrapped"), F.array_distinct(F.concat(words, pairs)).alias("g"))
 
     def scores(x: Column) -> Column:
         known = F.filter(F.transform(x["g"], lambda g: F.try_element_at(weights, g)), lambda w: w.isNotNull())
         z = F.aggregate(known, start, lambda s, w: F.zip_with(s, w, lambda a, b: a + b))
-        return F.struct(x["line"].alias("line"), x["g"].alias("g"), F.transform(z, lambda v: v / F.lit(model.temperature)).alias("z"))
+        return F.struct(x["line"].alias("line"), x["wrapped"].alias("wrapped"), x["g"].alias("g"), F.transform(z, lambda v: v / F.lit(model.temperature)).alias("z"))
 
     def families(x: Column) -> Column:
         top = F.array_max(x["z"])
         p = F.transform(x["z"], lambda v: F.exp(v - top))
         k = F.array_position(x["z"], top)
-        return F.struct(x["line"].alias("line"), x["g"].alias("g"), F.element_at(F.array(*[F.lit(f) for f in [*FAMILIES, UNKNOWN]]), k.cast("int")).alias("family"), (F.lit(1.0) / F.aggregate(p, F.lit(0.0), lambda s, v: s + v)).alias("probability"))
+        return F.struct(x["line"].alias("line"), x["wrapped"].alias("wrapped"), x["g"].alias("g"), F.element_at(F.array(*[F.lit(f) for f in [*FAMILIES, UNKNOWN]]), k.cast("int")).alias("family"), (F.lit(1.0) / F.aggregate(p, F.lit(0.0), lambda s, v: s + v)).alias("probability"))
 
     def confirmed(x: Column) -> Column:
         share = F.lit(0.0)
         for family in FAMILIES:
             best = F.greatest(F.lit(0.0), *[F.size(F.array_intersect(x["g"], F.array(*[F.lit(g) for g in sorted(_pairs(words_of(n)))]))) / F.lit(float(max(1, len(_pairs(words_of(n)))))) for n in NOTICES[family]])
             share = F.when(x["family"] == family, best).otherwise(share)
-        return F.struct(x["line"].alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), share.alias("share"))
+        return F.struct(x["line"].alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), share.alias("share"), x["wrapped"].alias("wrapped"))
 
     found = lines
     for step in (grams, scores, families, confirmed):
         found = F.transform(found, step)
     sure = F.filter(found, lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= LEAST_PROBABILITY) & (x["share"] >= LEAST_SHARE))
-    empty = F.array().cast("array<struct<line:int,family:string,probability:double,share:double>>")
-    return docs.withColumn("findings", F.coalesce(sure, empty))
+
+    def own(x: Column, y: Column) -> Column:
+        """Whether y tells of the same notice as x and goes before it."""
+        near = (y["family"] == x["family"]) & (F.abs(y["line"] - x["line"]) <= 4)
+        return near & (~y["wrapped"] | (y["line"] < x["line"]))
+
+    # Twice a line's spans make one finding; the array is a document's few notices.
+    docs = docs.withColumn("findings", sure)
+    once = F.filter("findings", lambda x: ~x["wrapped"] | ~F.exists("findings", lambda y: own(x, y)))
+    empty = F.array().cast("array<struct<line:int,family:string,probability:double,share:double,wrapped:boolean>>")
+    return docs.select(*columns, F.coalesce(once, empty).alias("findings"))

@@ -174,3 +174,52 @@ def test_license_scan(spark):
     p = {r["doc_id"]: [f["probability"] for f in r["findings"]] for r in license_scan.scan(docs, model).collect()}
     assert p[0][0] == pytest.approx(model.probabilities(next(iter(lines)))["apache"], abs=1e-3)
     assert license_scan.scan(empty_documents(spark), license_scan.train(empty_documents(spark))).count() == 0
+
+
+def wrapped(text, width, prefix=""):
+    import textwrap
+
+    return "\n".join(prefix + x for x in textwrap.wrap(text, width))
+
+
+def test_wrapped_notices(spark):
+    """Notices over several lines, as headers have them, with comment signs, between prose and blank lines."""
+    model = license_scan.fit([f"plain words number {k} of an ordinary line" for k in range(200)])
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    cut = gpl.split(" it under")
+    texts = [
+        (["gpl"], wrapped(gpl, 70)), (["mit"], "some prose\n" + wrapped(mit, 72, "// ") + "\nmore prose"), (["bsd"], "a line\n\n" + wrapped(bsd, 60, " * ") + "\n *\n * other text"),
+        (["apache", "gpl"], "Licensed under the Apache License, Version 2.0\n\n\n" + wrapped(gpl, 60, "# ")), (["mit"], "Released under the MIT License\nplain words of an ordinary line\nand a reserved seat"),
+        ([], "license\nplate\nunder a\nversion"), ([], cut[0] + "\n\nplain words\n\n" + "it under"), (["gpl"], "x\n" * 20_000 + wrapped(gpl, 65) + "\ny" * 20_000),
+    ]
+    docs = spark.createDataFrame([(k, t, "clash") for k, (_, t) in enumerate(texts)] + [(0, texts[0][1], "clash")], "doc_id long, text string, findings string")
+    got = sorted((r["doc_id"], sorted(f["family"] for f in r["findings"])) for r in license_scan.scan(docs, model).collect())
+    assert got == sorted([*((k, f) for k, (f, _) in enumerate(texts)), (0, texts[0][0])])
+
+
+def test_license_precision_and_recall(spark, sf):
+    """Held-out documents of the corpus with notices planted in changed words and wraps; others hold none."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = license_scan.train(docs)
+    r = random.Random(4)
+    known = [w for x in license_scan.NOTICES.values() for n in x for w in license_scan.words_of(n)]
+    rows, want = [], {}
+    texts = [x["text"] for x in docs.orderBy("doc_id").limit(300).collect() if x["text"]]
+    clean = [t for t in texts if not any(license_scan._share(license_scan._pairs(license_scan.words_of(n)), t) > 0.3 for x in license_scan.NOTICES.values() for n in x)]
+    for k in range(600):
+        lines = r.choice(clean).split("\n")[:12]
+        if k % 2:
+            family = r.choice(license_scan.FAMILIES)
+            notice = r.choice(license_scan.NOTICES[family])
+            words = [w for w in notice.split() if len(notice.split()) < 8 or r.random() > 0.04]
+            lines.insert(r.randrange(len(lines) + 1), "\n" + wrapped(" ".join(words), r.choice([50, 64, 80, 200]), r.choice(["", "# ", " * ", "// "])) + "\n")
+            want[k] = family
+        else:  # words of notices in no order
+            lines.insert(r.randrange(len(lines) + 1), " ".join(r.choice(known) for _ in range(6)))
+        rows.append((k, "\n".join(lines)))
+    found = {x["doc_id"]: {f["family"] for f in x["findings"]} for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    right = sum(want.get(k) in f for k, f in found.items() if f)
+    said = sum(1 for f in found.values() if f)
+    assert right >= 0.97 * said and right >= 0.95 * len(want), (right, said, len(want))
