@@ -8,7 +8,8 @@ document, the tiles' tokens sum up to the coverage of the item; from ``threshold
 contaminated by it.
 
 The benchmark side travels to the executors only if it is at most ``most_bytes`` of text; beyond that the seeds are joined
-by Spark, and texts of pairs meet by joins on the ids. Both ways give the same rows.
+by Spark (a seed that very many documents share is split by adaptive execution), and texts of pairs meet by joins on the
+ids. Both ways give the same rows.
 
 Defined results: null texts count as empty; an item of fewer than ``min_match`` tokens must occur whole, one without
 tokens matches nothing; of equal coverages the smallest item_id is named; repeated rows are judged each; without
@@ -37,39 +38,75 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode().lower().translate(_SIGNS).split()
 
 
+_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
+
+
+class Rolling:
+    """Karp-Rabin values (mod 2**64) of windows of any length, each length in one pass over prefix sums."""
+
+    def __init__(self, ids: np.ndarray):
+        x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        powers = np.full(len(x) + 1, _PRIME, np.uint64)
+        powers[0] = 1
+        self.sums = np.r_[np.uint64(0), np.cumsum(x * np.cumprod(powers)[:-1], dtype=np.uint64)]
+        powers[1:] = _INVERSE
+        self.scale = np.cumprod(powers)
+
+    def windows(self, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """The values of all windows of n ids, or of those that start at ``at``."""
+        if at is None:
+            at = np.arange(max(0, len(self.sums) - n))
+        h = (self.sums[at + n] - self.sums[at]) * self.scale[at]
+        return h ^ (h >> np.uint64(29))
+
+
 def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin values (mod 2**64, mixed) of all windows of n ids."""
-    if len(ids) < n:
-        return np.zeros(0, np.uint64)
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    h = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * _PRIME + x[k : len(x) - n + 1 + k]
-    return h ^ (h >> np.uint64(29))
+    return Rolling(ids).windows(n)
 
 
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in doc, length): longest first, no token of either side in two tiles.
 
-    Search lengths shrink: for a length, hashes of the unmarked windows of both sides meet in a table, each hit is checked
-    token by token and extended; the longest of all matches is marked first, then the next that is still free.
+    Search lengths shrink: for a length, hashes of the free windows of both sides meet, each hit is checked token by token;
+    all that are still free are marked in order of the document, then of the item. Work per length is linear in both, also
+    for texts that repeat one word: hits aren't listed, and a window of the item that is taken is not looked at again.
     """
     tiles: list[tuple[int, int, int]] = []
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
-    length = min(len(doc), len(item))
+    sums_d, sums_i = Rolling(doc), Rolling(item)
     d, i = doc.tolist(), item.tolist()
-    size = length
+    size = min(len(doc), len(item))
     while size >= min_match:
-        size = _longest(doc, item, free_d, free_i, size, min_match)
+        size = _longest(sums_d, sums_i, free_d, free_i, size, min_match)
         if not size:
             break
-        hits = _matches(doc, item, free_d, free_i, size)
-        for a, b in hits:
-            if free_i[a : a + size].all() and free_d[b : b + size].all() and i[a : a + size] == d[b : b + size]:
-                tiles.append((a, b, size))
-                free_i[a : a + size] = False
-                free_d[b : b + size] = False
+        marked = False
+        at_i, at_d = np.flatnonzero(_windows_free(free_i, size)), np.flatnonzero(_windows_free(free_d, size))
+        table: dict[int, list[int]] = {}
+        for k, h in zip(at_i[::-1].tolist(), sums_i.windows(size, at_i)[::-1].tolist(), strict=True):
+            table.setdefault(h, []).append(k)  # the first window is the last of its list
+        hashes = sums_d.windows(size, at_d)
+        some = np.isin(hashes, np.fromiter(table, np.uint64, len(table)))
+        stop = 0
+        for b, h in zip(at_d[some].tolist(), hashes[some].tolist(), strict=True):
+            starts = table[h]
+            while starts and not free_i[starts[-1] : starts[-1] + size].all():
+                starts.pop()
+            if b < stop or not starts:
+                continue
+            a = starts[-1]
+            if i[a : a + size] != d[b : b + size]:
+                # Equal hashes of unequal windows: look on among the others.
+                a = next((x for x in reversed(starts) if i[x : x + size] == d[b : b + size] and free_i[x : x + size].all()), -1)
+                if a < 0:
+                    continue
+            tiles.append((a, b, size))
+            free_i[a : a + size] = False
+            free_d[b : b + size] = False
+            stop, marked = b + size, True
+        if not marked:  # collisions only
+            size -= 1
     return tiles
 
 
@@ -78,27 +115,19 @@ def _windows_free(free: np.ndarray, size: int) -> np.ndarray:
     return sums[size:] - sums[:-size] == size
 
 
-def _matches(doc, item, free_d, free_i, size) -> list[tuple[int, int]]:
-    """Starts (item, doc) of free windows with equal hashes, in order."""
-    at_i, at_d = np.flatnonzero(_windows_free(free_i, size)), np.flatnonzero(_windows_free(free_d, size))
-    if not len(at_i) or not len(at_d):
-        return []
-    table: dict[int, list[int]] = {}
-    for k, h in zip(at_i.tolist(), window_hashes(item, size)[at_i].tolist(), strict=True):
-        table.setdefault(h, []).append(k)
-    hashes = window_hashes(doc, size)[at_d]
-    some = np.isin(hashes, np.fromiter(table, np.uint64, len(table)))
-    return [(a, b) for b, h in zip(at_d[some].tolist(), hashes[some].tolist(), strict=True) for a in table[h]]
+def _longest(sums_d: Rolling, sums_i: Rolling, free_d: np.ndarray, free_i: np.ndarray, most: int, least: int) -> int:
+    """The greatest length at which free windows match (a match of n tokens holds ones of all shorter lengths), or 0."""
 
+    def some(size: int) -> bool:
+        at_i, at_d = np.flatnonzero(_windows_free(free_i, size)), np.flatnonzero(_windows_free(free_d, size))
+        return bool(len(at_i) and len(at_d) and np.isin(sums_i.windows(size, at_i), sums_d.windows(size, at_d)).any())
 
-def _longest(doc, item, free_d, free_i, most: int, least: int) -> int:
-    """The greatest length at which free windows match (a match of n tokens holds ones of all shorter lengths), or 0."""
-    if most < least or not _matches(doc, item, free_d, free_i, least):
+    if most < least or not some(least):
         return 0
     low, high = least, most
     while low < high:
         mid = (low + high + 1) // 2
-        if _matches(doc, item, free_d, free_i, mid):
+        if some(mid):
             low = mid
         else:
             high = mid - 1
@@ -131,13 +160,13 @@ class Benchmark:
         doc = np.fromiter(map(self.ids.get, words, (0 for _ in words)), np.int64, len(words)) if words else np.zeros(0, np.int64)
         found: set[int] = set()
         known = doc > 0
+        rolling = Rolling(doc) if known.any() else None
         for n in self.lengths:
-            if len(doc) < n:
+            if len(doc) < n or rolling is None:
                 continue
-            sums = np.r_[0, np.cumsum(known)]
-            at = np.flatnonzero(sums[n:] - sums[:-n] == n)
+            at = np.flatnonzero(_windows_free(known, n))
             if len(at):
-                h = _window_hashes_at(doc, at, n)
+                h = rolling.windows(n, at)
                 table = self.tables[n]
                 hit = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
                 for x in set(h[hit].tolist()):
@@ -153,15 +182,6 @@ class Benchmark:
         return best
 
 
-def _window_hashes_at(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    h = np.zeros(len(at), np.uint64)
-    for k in range(n):
-        h = h * _PRIME + x[at + k]
-    return h ^ (h >> np.uint64(29))
-
-
 def _near(doc: np.ndarray, item: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The document without runs of tokens that the item doesn't have: one stands for each run, so no match joins over it."""
     has = np.isin(doc, item) & known
@@ -218,7 +238,9 @@ def _joined(docs: DataFrame, items: DataFrame, min_match: int, threshold: float,
         return run
 
     item_seeds = items.mapInArrow(seeds(lambda m: [min(min_match, m)] if m else []), "k long, n int, h long").select(F.col("k").alias("_item"), "n", "h")
-    doc_seeds = rows.select("_row", "text").mapInArrow(seeds(lambda m: range(1, min(min_match, m) + 1)), "k long, n int, h long").select(F.col("k").alias("_row"), "n", "h")
+    item_seeds = written(item_seeds, folder, "item_seeds")
+    sizes = [r["n"] for r in item_seeds.select("n").distinct().collect()]  # at most min_match
+    doc_seeds = rows.select("_row", "text").mapInArrow(seeds(lambda m: [n for n in sizes if n <= m]), "k long, n int, h long").select(F.col("k").alias("_row"), "n", "h")
     pairs = written(doc_seeds.join(item_seeds, ["n", "h"]).select("_row", "_item").distinct(), folder, "pairs")
     texts = pairs.join(rows.select("_row", F.col("text").alias("_doc_text")), "_row").join(items, "_item").select("_row", "_item", "_doc_text", "_item_text")
 
