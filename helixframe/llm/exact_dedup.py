@@ -1,12 +1,12 @@
 """Exact duplicates: group by a 128-bit content hash, keep one stable id, compare bytes inside groups.
 
-Only 16-byte hashes and ids are shuffled for all rows, pre-aggregated on the map side; whole texts travel only for rows
-whose hash occurs more than once, in a join that adaptive execution can split, so that a group with a third of all rows
-is spread over many tasks.
+Only 16-byte hashes and ids are shuffled for all rows, pre-aggregated on the map side. Bytes are compared as the least and
+greatest text of each hash that occurs more than once, pre-aggregated too: a task sends two texts a hash at most, so a
+group with a third of all rows is no hot task.
 
 Defined results: null text counts as empty; all empty texts are one group. A null id never wins while the group has
-another id; where ids repeat, all rows with the winning id carry it, so a caller that needs one row a group must have
-unique ids. An empty table gives an empty table. Other columns pass through untouched.
+another id; where ids repeat, all rows with the winning id carry it, so a caller that needs one row a group takes
+``distinct_documents``. An empty table gives an empty table. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, shared_dir, written
 from .filters import bit_of, bit_table, may_hold
 
-#: Bits (a power of two) of the table that picks the texts worth comparing.
-BITS = 26
+#: Bits (a power of two) of the table that picks the texts worth comparing: by the number of shared hashes, at most 32 MB.
+LEAST_BITS, MOST_BITS = 16, 28
 
 
 def content_hash(text: Column) -> Column:
@@ -54,24 +54,35 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _mixed(base: DataFrame, groups: DataFrame, folder: str, best) -> DataFrame | None:
-    """The bytes of every member of a group of two or more are compared with those of one member.
+    """The bytes of all members of a group of two or more are compared by their least and greatest.
 
     None, but if different bytes meet under a hash: then what each text of such hashes has (_h, _norm, _own_n, _own_keep).
     """
     shared = groups.where("_n > 1")
-    table = base.sparkSession.sparkContext.broadcast(bit_table(shared, "_h", BITS))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * shared.count()).bit_length()))
+    table = base.sparkSession.sparkContext.broadcast(bit_table(shared, "_h", bits))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(may_hold(table.value, batch.column(3).to_numpy()))).select([0, 1, 2])
 
     kind = dict(base.dtypes)["_id"]
-    some = base.select("_id", "_h", "_norm", bit_of(F.col("_h"), BITS).alias("_bit")).mapInArrow(members, f"_id {kind}, _h binary, _norm string")
-    some = written(some.join(shared.select("_h", "_keep"), "_h"), folder, "members")
-    lead = some.where(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_h").agg(F.min("_norm").alias("_lead"))
-    # No aggregate on top of this join: it would keep a hot hash's rows together, as written they can be split.
-    differ = written(some.join(lead, "_h").where("_norm != _lead").select("_h"), folder, "differ")
+    some = base.select("_id", "_h", "_norm", bit_of(F.col("_h"), bits).alias("_bit")).mapInArrow(members, f"_id {kind}, _h binary, _norm string")
+    ends = some.groupBy("_h").agg(F.min("_norm").alias("least"), F.max("_norm").alias("most"))
+    differ = written(ends.where("least != most").select("_h"), folder, "differ")
     if differ.isEmpty():
         return None
-    per_text = some.join(differ.distinct(), "_h", "left_semi").groupBy("_h", "_norm")
+    per_text = some.join(differ, "_h", "left_semi").groupBy("_h", "_norm")
     return written(per_text.agg(F.count(F.lit(1)).alias("_own_n"), best("_id").alias("_own_keep")), folder, "mixed")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """One row of ``docs`` for each text: that of the winning id, and if several rows have this id (or none has an id) any of
+    those."""
+    kept = exact_groups(docs, id_col, text_col, keep, prefix="_exact_").where("_exact_kept").select(*docs.columns)
+    ids = docs.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_again")
+    if ids.isEmpty():
+        return kept
+    again = F.col(id_col).eqNullSafe(F.col("_again"))
+    rows = kept.join(ids, again, "left_semi").withColumn("_h", content_hash(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))))
+    return kept.join(ids, again, "left_anti").unionByName(rows.dropDuplicates([id_col, "_h"]).select(*docs.columns))

@@ -1,14 +1,15 @@
-"""Hierarchical multi-length packing of tokenised documents into fixed windows.
+"""Hierarchical multi-length packing of tokenised documents into windows of several context sizes.
 
 Each task packs what it reads; nothing is shuffled. Documents (ids, then one end id) are routed to tiers by length:
 whole windows' worth of a long document fill windows of their own, the rest goes to the smallest tier (window / 8, / 4, / 2,
-whole) that holds it. Windows are opened by the long tier; the gap that a long piece leaves is filled with the largest
-pieces of shorter tiers that fit, then the last gap by cutting a piece of the shortest tier that is left. So all windows
-of a block are full but the last, whose content is cut at powers of two: such lengths need no padding. Windows
-are dealt to step groups in turn, which keeps the groups' token counts within one window of one another.
+whole) that holds it. Each tier is packed to its own context size, the longest first: a window is opened by the tier's
+longest piece; the gap that it leaves is filled with the largest pieces of its own and shorter tiers that fit, then
+the last gap by cutting a piece of the shortest tier that is left. So every window of a block is full but the last, whose
+content is cut at powers of two: such lengths need no padding. Windows are dealt to step groups, longest first, each to the
+group with the fewest tokens so far, so a task's groups differ by no more than one window.
 
 Every id of every document lies in exactly one piece. Defined results: null text counts as empty and is its end id alone;
-an empty table gives an empty table; repeated rows are packed each; other columns are left out.
+an empty table gives an empty table; repeated rows and rows without an id are packed each; other columns are left out.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from heapq import heapify, heapreplace
 from itertools import islice
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, small
 
 WINDOW, TIERS, END, STEP = 2048, (256, 512, 1024, 2048), 1, 64
-#: Bytes of text packed together (documents are cut between such blocks), chunks and bytes of a chunk remembered.
+#: Bytes of text packed together (blocks hold whole documents), chunks and bytes of a chunk remembered.
 BLOCK_BYTES, REMEMBERED, LONGEST = 6 << 20, 300_000, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -119,7 +121,8 @@ def tier_of(length: int) -> int:
 
 
 def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length) for documents of these lengths; all are full or a power of two long."""
+    """Sequences of (document, start, length) for documents of these lengths: windows of the tiers' sizes, all full, and at
+    the end some that are a power of two long."""
     done: list[list[tuple[int, int, int]]] = []
     #: The rest pieces of each tier as (length, document, start), ascending.
     tiers: dict[int, list[tuple[int, int, int]]] = {t: [] for t in TIERS}
@@ -133,7 +136,7 @@ def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
     order = sorted(TIERS, reverse=True)
     while lead := next((t for t in order if tiers[t]), None):
         n, d, s = tiers[lead].pop()
-        row, free = [(d, s, n)], window - n
+        row, free = [(d, s, n)], lead - n
         while free:
             for t in order:  # the largest piece that fits, from the longest tier down
                 if t <= lead and (k := bisect_right(tiers[t], (free, float("inf"), 0))):
@@ -149,11 +152,21 @@ def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
             insort(tiers[tier_of(n - free)], (n - free, d, s + free))
             free = 0
         done.append(row)
-    if done and sum(x[2] for x in done[-1]) < window:
+    if done and sum(x[2] for x in done[-1]) not in TIERS:
         done[-1:] = _at_powers(done[-1])
     return done
 
 
+def deal(loads: list[tuple[int, int]], sizes: list[int]) -> list[int]:
+    """A step group for each window: the one with the fewest tokens so far, longest windows first. loads: a heap of
+    (tokens, group), which goes on from block to block."""
+    groups = [0] * len(sizes)
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        tokens, groups[k] = loads[0]
+        heapreplace(loads, (tokens + sizes[k], groups[k]))
+    return groups
+
+
 def _at_powers(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """A part-filled sequence as sequences whose lengths are powers of two."""
     out: list[list[tuple[int, int, int]]] = []
@@ -183,16 +196,22 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, sequence = encoder(tokenizer_file), TaskContext.get().partitionId() << 36
+        ids_of, task = encoder(tokenizer_file), TaskContext.get().partitionId()
+        sequence = task << 36
+        # Tasks begin at different groups, so that their last windows don't all go to the first ones.
+        loads = [(0, (k + task) % STEP) for k in range(STEP)]
+        heapify(loads)
         rows = ((i, t) for b in small(batches) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for block in batches_of(rows, BLOCK_BYTES, lambda r: len(r[1]) + 64):
+        for block in batches_of(rows, BLOCK_BYTES, lambda r: len(r[1].encode()) + 64):
             ids = [x + end for part in batches_of((t for _, t in block), 1 << 20, len) for x in ids_of.encode(part)]
             out: list[tuple] = []
-            for row in pack([len(x) // 4 for x in ids]):
-                at, total = 0, sum(x[2] for x in row)
+            rows_of = pack([len(x) // 4 for x in ids])
+            sizes = [sum(x[2] for x in row) for row in rows_of]
+            for row, total, group in zip(rows_of, sizes, deal(loads, sizes), strict=True):
+                at = 0
                 tier = next((t for t in TIERS if total <= t), WINDOW)
                 for d, s, n in row:
-                    out.append((block[d][0], s, n, zlib.crc32(ids[d][4 * s : 4 * (s + n)]), len(ids[d]) // 4, sequence, at, tier, sequence % STEP))
+                    out.append((block[d][0], s, n, zlib.crc32(ids[d][4 * s : 4 * (s + n)]), len(ids[d]) // 4, sequence, at, tier, group))
                     at += n
                 sequence += 1
             for k in range(0, len(out), 20_000):

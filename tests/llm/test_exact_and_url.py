@@ -37,6 +37,20 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), r["_e_keep_id"], r["_e_group_size"]) for r in got) == brute(docs.collect(), max)
 
 
+def test_distinct_documents(spark):
+    docs = edge_documents(spark)
+    rows = docs.union(docs.where("doc_id is null or doc_id in (3, 6)"))
+    got = exact_dedup.distinct_documents(rows)
+    assert got.columns == docs.columns
+    want = {}
+    for r in docs.collect():
+        want.setdefault(lower(r["text"]), []).append(r["doc_id"])
+    assert sorted((r["doc_id"], lower(r["text"])) for r in got.collect()) == sorted((min(x for x in ids if x is not None), t) for t, ids in want.items())
+    lone = spark.createDataFrame([(None, "a"), (None, "A"), (None, None), (1, "b")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in exact_dedup.distinct_documents(lone).collect()) == ["1", "None", "None"]
+    assert exact_dedup.distinct_documents(empty_documents(spark)).count() == 0
+
+
 def test_op2_matches_sql(spark, duck, sf):
     got = queries.op2_exact_dedup(spark, sf).toPandas()
     assert comparable(got) == comparable(duck.execute(queries.OP2_SQL).df())

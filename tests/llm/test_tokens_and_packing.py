@@ -83,3 +83,38 @@ def test_pack_documents(spark):
             at += r["length"]
         assert at == len(ids)
     assert packing.pack_documents(empty_documents(spark), WORDS).count() == 0
+
+
+def test_tiers_are_packed_to_their_own_size():
+    r = random.Random(5)
+    lengths = [r.choice([r.randrange(1, 200), r.randrange(200, 1100), r.randrange(1100, 9000)]) for _ in range(3000)]
+    rows = packing.pack(lengths)
+    sizes = [sum(n for _, _, n in row) for row in rows]
+    odd = [k for k, x in enumerate(sizes) if x not in packing.TIERS]
+    assert len(odd) <= 11 and all(k > len(rows) - 12 for k in odd)  # only what the last window is cut into
+    assert {256, 512, 1024, 2048} <= set(sizes)
+    for row, size in zip(rows, sizes, strict=True):
+        if size in packing.TIERS[1:] and max(n for _, _, n in row) < size and row != rows[-1]:
+            assert row[0][2] > size // 2  # the tier's own piece leads, gaps are filled from shorter ones
+    short = [x for row, size in zip(rows, sizes, strict=True) if size == 2048 for x in row[1:] if x[2] <= 256]
+    assert short
+
+
+def test_step_groups_are_balanced(spark, sf):
+    rows = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet").repartition(2), WORDS).toPandas()
+    loads = rows.assign(task=rows.sequence_id.map(lambda s: s >> 36)).groupby(["task", "step_group"]).length.sum()
+    for task in loads.index.levels[0]:
+        x = loads[task].reindex(range(packing.STEP), fill_value=0)
+        assert x.max() - x.min() <= 2048
+    assert rows.groupby("sequence_id").step_group.nunique().max() == 1 and rows.groupby("sequence_id").tier.nunique().max() == 1
+
+
+def test_repeated_rows_and_rows_without_id_are_packed_each(spark):
+    docs = edge_documents(spark)
+    rows = packing.pack_documents(docs, WORDS).toPandas()
+    want = {}
+    for r in docs.collect():
+        key = -1 if r["doc_id"] is None else r["doc_id"]
+        want[key] = want.get(key, 0) + len(packing.encoder(WORDS).encode([r["text"] or ""])[0]) // 4 + 1
+    assert rows.assign(doc_id=rows.doc_id.fillna(-1)).groupby("doc_id").length.sum().to_dict() == want
+    assert (rows[rows.doc_id == 3].groupby("start").length.count() == 2).all()
