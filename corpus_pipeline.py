@@ -1,7 +1,12 @@
 """Corpus pipeline: toxicity, exact dedup, MinHash near-dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet to the shared folder
-and rereads it as the next stage's docs. All stages but the last return the columns of ``documents``.
+and rereads it as the next stage's docs. All stages but the last return the columns of ``documents``, whatever they are.
+
+Defined results, in every stage: a null text counts as empty; empty texts are no toxic and no contaminated documents, are one
+group of exact copies, have no near-duplicates and pack as their end id; a row without an id can stay, but is never what a
+group of others is kept by; repeated rows (one id, one text) become one row in the exact stage; where one id has several
+texts, the near-duplicate stage keeps all of its rows if it keeps one; an empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontamination, near_dedup, packing, toxicity
 from helixframe.llm.common import fold, read_table, shared_dir, written
-from helixframe.llm.exact_dedup import exact_groups
+from helixframe.llm.exact_dedup import distinct_documents
 from helixframe.llm.queries import tokenizer_path
 
 
@@ -22,8 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (but for the case of A-Z) the one with the smallest doc_id stays."""
-    return exact_groups(docs, keep="min", prefix="_exact_").where("_exact_kept").select(*docs.columns)
+    """Of documents with equal texts (but for the case of A-Z) one row stays, with the smallest doc_id."""
+    return distinct_documents(docs, keep="min")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
