@@ -75,3 +75,15 @@ def ln_factorial(n: Column) -> Column:
     series = x * F.log(F.greatest(x, F.lit(1.0))) - x + 0.5 * F.log(2 * math.pi * F.greatest(x, F.lit(1.0))) + 1 / (12 * F.greatest(x, F.lit(1.0))) - 1 / (360 * F.pow(F.greatest(x, F.lit(1.0)), 3)) + 1 / (1260 * F.pow(F.greatest(x, F.lit(1.0)), 5))
     small = F.element_at(F.array(*[F.lit(v) for v in _LN[:16]]), F.least(n.cast("int"), F.lit(15)) + 1)
     return F.when(n < 16, small).otherwise(series)
+
+
+def fixed_text(x: Column, decimals: int) -> Column:
+    """A number with a fixed count of decimals, rounded half up away from zero; null and NaN give NaN."""
+    text = F.format_string(f"%.{decimals}f", F.round(x.cast("double"), decimals))
+    return F.when(x.isNull() | F.isnan(x.cast("double")), "NaN").otherwise(text)
+
+
+def short_text(x: Column) -> Column:
+    """The shortest text that reads back as the same double, whole numbers without decimals."""
+    v = x.cast("double")
+    return F.when((v == F.floor(v)) & (F.abs(v) < 1e15), v.cast("long").cast("string")).otherwise(v.cast("string"))

@@ -22,6 +22,21 @@ def pairs(ends: DataFrame, name: tuple[str, ...] = ("library", "qname")) -> Data
     return g.withColumn("two", F.when(F.col("ends") > 1, F.col("two")))
 
 
+def mate_five_prime(mate_contig: Column, mate_pos: Column, mate_reverse: Column, mate_ops: Column) -> Column:
+    """The mate's 5' position from its start and its CIGAR's operations (of the MC tag): the last base if it is reversed, the
+    start if it isn't or the operations are missing; -1 without a mate."""
+    from ..functions.sequence import reference_length
+
+    span = F.coalesce(reference_length(mate_ops), F.lit(0))
+    there = (mate_contig >= 0) & (mate_pos >= 0)
+    return F.when(F.coalesce(there, F.lit(False)), F.when(mate_reverse & (span > 0), mate_pos + span - 1).otherwise(mate_pos)).otherwise(-1)
+
+
+def duplicate_order(library: str, contig: str, pos5: str, reverse: str, mate_contig: str, mate_pos5: str, mate_reverse: str, *ties: str) -> list[Column]:
+    """Sort keys that bring the rows of one duplicate group together: library, own end, mate's end, then ties; nulls last."""
+    return [F.col(c).asc_nulls_last() for c in (library, contig, pos5, reverse, mate_contig, mate_pos5, mate_reverse, *ties)]
+
+
 def mark(groups: DataFrame, key: list[str], score_col: str = "score", ties: tuple[str, ...] = ("ord",)) -> DataFrame:
     """is_duplicate: not the highest score of its key (then the first by ``ties``)."""
     w = Window.partitionBy(*key).orderBy(F.col(score_col).desc(), *ties)

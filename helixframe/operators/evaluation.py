@@ -64,3 +64,28 @@ def pairwise_diversity(df: DataFrame, ac: str = "ac", an: str = "an") -> DataFra
     """Sum over sites of the chance that two chromosomes differ, and the number of sites."""
     hets = F.try_divide(2.0 * F.col(ac) * (F.col(an) - F.col(ac)), F.col(an) * (F.col(an) - 1.0))
     return df.agg(F.sum(hets).alias("theta_pi"), F.count(F.lit(1)).alias("n_sites"))
+
+
+def compare(eval_set: DataFrame, comp: DataFrame, strict: bool = True, flag: str = "in_comp") -> DataFrame:
+    """``eval_set`` with whether ``comp`` has a row at its site, with the same alleles if ``strict``. Rows of comp that repeat a
+    site do no harm: it joins as its distinct keys."""
+    key = ["contig", "pos", *(["ref", "alts"] if strict else [])]
+    known = comp.select(*key).distinct().withColumn(flag, F.lit(True))
+    return eval_set.join(known, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def novelty(eval_set: DataFrame, known: DataFrame) -> DataFrame:
+    """``eval_set`` with novelty: known or novel, by site."""
+    return compare(eval_set, known, strict=False, flag="_known").withColumn("novelty", F.when(F.col("_known"), "known").otherwise("novel")).drop("_known")
+
+
+def frequency_summary(genotypes: DataFrame, keys: list[str], dosage: str = "dosage") -> DataFrame:
+    """Per key: called genotypes, and the mean allele frequency with a heterozygote as a half and a homozygote as one."""
+    share = F.when(F.col(dosage) == 1, 0.5).when(F.col(dosage) >= 2, 1.0).otherwise(0.0)
+    return genotypes.where(F.col(dosage) >= 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_called"), F.avg(share).alias("mean_af"))
+
+
+def watterson(df: DataFrame, chromosomes: int) -> DataFrame:
+    """Segregating sites over the harmonic number of ``chromosomes`` - 1."""
+    harmonic = sum(1.0 / k for k in range(1, chromosomes))
+    return df.agg(F.count(F.lit(1)).alias("n_sites"), (F.count(F.lit(1)) / F.lit(harmonic)).alias("theta_w"))

@@ -2,7 +2,7 @@
 
 ``||`` < ``&&`` < ``!`` < comparison; ``== != < <= > >= =~ !~``; arithmetic ``+ - * / %`` and unary minus; parentheses;
 numbers, quoted strings, ``null``, fields (``QUAL``, ``DP``, ``AF[0]``) and methods (``vc.isSNP()``,
-``NAME.contains("x")``). Logic is two-valued: a comparison with a missing operand is the policy ``missing_fails``,
+``vc.getGenotype("S1").getAD()[1]``, ``NAME.contains("x")``; ``methods.py`` has those of sites, genotypes and alleles). Logic is two-valued: a comparison with a missing operand is the policy ``missing_fails``,
 but ``x == null`` is true and ``x != null`` false when x is missing, ``!~`` is true and ``=~`` false. Each leaf is
 made non-null before it is combined.
 """
@@ -31,8 +31,11 @@ class Value:
     column: Column | None
     kind: str
     text: str | None = None
+    members: Members | None = None
 
 
+#: Methods of an object in an expression: name -> function of the arguments that gives (column, kind).
+Members = dict[str, Callable[..., tuple[Column, str]]]
 Resolver = Callable[[str, int | None], tuple[Column, str]]
 
 
@@ -163,18 +166,23 @@ class _Parser:
             return Value(F.lit(text == "true"), "bool")
         if text in ("vc", "g") and self.peek()[1] == ".":
             self.take(".")
-            text = f"{text}.{self.take()[1]}"
-            return self.call(text, None)
+            return self.chained(self.call(f"{text}.{self.take()[1]}", None))
+        if self.peek()[1] == "(" and text in self.methods:
+            return self.chained(self.call(text, None))
         index = None
         if self.peek()[1] == "[":
             self.take()
             index = int(self.take()[1])
             self.take("]")
         column, what = self.field(text, index)
-        value = Value(column, what)
+        return self.chained(Value(column, what))
+
+    def chained(self, value: Value) -> Value:
         while self.peek()[1] == ".":
             self.take()
             value = self.call(self.take()[1], value)
+        if value.members is not None:
+            raise ExpressionError("an object is no value: a method of it is needed")
         return value
 
     def call(self, name: str, on: Value | None) -> Value:
@@ -186,6 +194,15 @@ class _Parser:
             if self.peek()[1] == ",":
                 self.take()
         self.take(")")
+        if self.peek()[1] == "[" and not args:  # getAD()[1]
+            self.take()
+            args.append(float(self.take()[1]))
+            self.take("]")
+        if on is not None and on.members is not None:
+            if name not in on.members:
+                raise ExpressionError(f"no such method: {name}")
+            column, what = on.members[name](*args)
+            return Value(F.coalesce(column, self.missing) if what == "bool" else column, what)
         if on is not None:
             tests = {"contains": lambda s: on.column.contains(s), "startsWith": lambda s: on.column.startswith(s), "endsWith": lambda s: on.column.endswith(s), "matches": lambda s: on.column.rlike(s)}
             if name not in tests:
@@ -195,6 +212,8 @@ class _Parser:
             raise ExpressionError(f"no such method: {name}")
         made = self.methods[name](*args)
         column, what = made if isinstance(made, tuple) else (made, "bool")
+        if what == "members":
+            return Value(None, what, members=column)
         return Value(F.coalesce(column, self.missing) if what == "bool" else column, what)
 
 

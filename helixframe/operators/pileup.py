@@ -80,3 +80,21 @@ def coverage_filter(sites: DataFrame, least: int = 10, low: float = 0.5, high: f
     """Sites with total > least and median * low < total < mean * high. One row of statistics joins all sites."""
     stats = sites.agg(F.median(total).alias("_median"), F.avg(total).alias("_mean"))
     return sites.crossJoin(F.broadcast(stats)).where((F.col(total) > least) & (F.col(total) > F.col("_median") * low) & (F.col(total) < F.col("_mean") * high)).drop("_median", "_mean")
+
+
+def distinct_fragments(bases: DataFrame, keys: list[str], fragment: str = "name", low: int = 0, high: int = 255, qual: str | None = None) -> DataFrame:
+    """Fragments per locus: mates that overlap count once. Bases outside [low, high] of ``qual`` don't count.
+
+    Pairs of locus and fragment are made distinct first, so that each task combines its own before the shuffle.
+    """
+    some = bases if qual is None else bases.where(F.col(qual).between(low, high))
+    return some.select(*keys, fragment).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("fragments"))
+
+
+def in_intervals_with_tail(reads: DataFrame, intervals: DataFrame, unmapped: bool = True, width: int = 1000) -> DataFrame:
+    """Reads (contig, start, end) that overlap an interval, and those without a place (contig null or negative) if asked."""
+    from .ranges import overlap_join
+
+    placed = F.coalesce(F.col("contig") >= 0, F.lit(False))
+    kept = overlap_join(reads.where(placed), intervals.select("contig", "start", "end"), width, how="left_semi")
+    return kept.unionByName(reads.where(~placed)) if unmapped else kept

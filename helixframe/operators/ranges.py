@@ -154,3 +154,25 @@ def drop_unknown_bins(bins: DataFrame, reference: DataFrame) -> DataFrame:
     piece = F.substr(F.col("seq_r"), (low - F.col("start_r") + 1).cast("int"), (high - low).cast("int"))
     good = hit.where(piece.rlike("[ACGTacgt]")).select("contig", "start", "end").distinct()
     return bins.join(good, ["contig", "start", "end"], "left_semi")
+
+
+def exact_join(left: DataFrame, right: DataFrame, what: str = "interval") -> DataFrame:
+    """``left`` with the columns of ``right`` at the same (contig, start, end); an interval that ``right`` lacks is an error."""
+    key = ["contig", "start", "end"]
+    found = right.withColumn("_found", F.lit(True))
+    joined = left.join(found, key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {what} at "), F.concat_ws(":", *[F.col(c).cast("string") for c in key])))
+    return joined.withColumn("_found", F.when(F.col("_found"), True).otherwise(missing)).where("_found").drop("_found")
+
+
+def separate_contigs(df: DataFrame, shards: int) -> DataFrame:
+    """``df`` with shard, where no shard holds parts of two contigs: each contig has shards by its share of the bases (one at
+    least), cut at intervals by the middle of their cumulative size. Shards are numbered in order."""
+    size = F.col("end") - F.col("start")
+    sums = df.groupBy("contig").agg(F.sum(size).alias("_n"))
+    w = Window.orderBy("contig")  # a row for each contig
+    share = sums.withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * shards / F.sum("_n").over(Window.partitionBy()))))
+    share = share.withColumn("_first", F.sum("_k").over(w) - F.col("_k"))
+    at = F.sum(size).over(Window.partitionBy("contig").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)) - size / 2.0
+    out = df.withColumn("_at", at).join(share, "contig")
+    return out.withColumn("shard", (F.col("_first") + F.least(F.floor(F.col("_at") * F.col("_k") / F.col("_n")), F.col("_k") - 1)).cast("int")).drop("_at", "_n", "_k", "_first")

@@ -96,3 +96,50 @@ def worst(df: DataFrame, score: str, cutoff: float, least: int, tie: str) -> Dat
     """All rows under the cutoff, and at any rate the ``least`` lowest by (score, tie)."""
     low = df.orderBy(score, tie).limit(least).select(tie).withColumn("_low", F.lit(True))
     return df.join(F.broadcast(low), tie, "left").where((F.col(score) < cutoff) | F.coalesce("_low", F.lit(False))).drop("_low")
+
+
+def decode_annotation(name: str, value: Column, jitter: Column, mq_cap: int = 0) -> Column:
+    """An annotation as the mixture model takes it: values that pile up at a bound (0 of FS, HaplotypeScore and InbreedingCoeff,
+    ln 2 of SOR) are spread by 0.01 times ``jitter``, a standard normal; MQ is taken to the logit of its cap, if there is one."""
+    near = lambda x, y: F.abs(x - y) <= 0.01
+    key = name.upper()
+    if key in ("HAPLOTYPESCORE", "FS", "AS_FS", "AS_FILTERSTATUS", "INBREEDINGCOEFF"):
+        return F.when(near(value, F.lit(0.0)), value + 0.01 * jitter).otherwise(value)
+    if key in ("SOR", "AS_SOR", "AS_STRANDODDSRATIO"):
+        return F.when(near(value, F.lit(0.6931472)), value + 0.01 * jitter).otherwise(value)
+    if key == "MQ" and mq_cap > 0:
+        logit = F.log((value + 0.01) / (mq_cap + 0.01 - value))
+        top = F.log(F.lit((mq_cap + 0.01) / 0.01))
+        return F.when(near(logit, top), logit + 0.05 * jitter).otherwise(logit)
+    if key in ("AS_MQ", "AS_RMS_MAPPING_QUALITY"):
+        return value + 0.05 * jitter
+    return value
+
+
+def impute_missing(df: DataFrame, columns: list[str], draw: Column | None = None) -> DataFrame:
+    """Missing annotations (null or not finite) take ``draw``, a standard normal; columns are normalised already."""
+    draw = F.randn(7) if draw is None else draw
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    return df.withColumns({c: F.when(bad(c), draw).otherwise(F.col(c)) for c in columns})
+
+
+def target_walk(rows: list[tuple[float, ...]], targets: list[float], sensitivity: int = 0) -> list[tuple[float, ...]]:
+    """Rows of a merged tranche table (best score bound first, a bounded list) picked for targets in percent, by one walk.
+
+    The walk goes on while the distance of the next row's sensitivity (a share, at that place of a row) to the target doesn't
+    grow; where it grows, the row before is taken, and the next target starts at the row that was too far. At the end of the
+    table the last row is taken once for each target that is left. Picked rows carry their target in percent.
+    """
+    out: list[tuple[float, ...]] = []
+    if len(rows) < 2:
+        return out
+    far = lambda k, target: abs(target - 100.0 * rows[k][sensitivity])
+    at, last = 0, len(rows) - 1
+    for number, target in enumerate(sorted(targets)):
+        best = far(at, target) if number else 100.0
+        while at < last and (ahead := far(at + 1, target)) <= best:
+            at, best = at + 1, ahead
+        row = rows[at]
+        out.append((*row[:sensitivity], target, *row[sensitivity + 1 :]))
+        at = min(at + 1, last)
+    return out
