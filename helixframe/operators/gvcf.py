@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import overlap_join
+from .scan import scanned
 
 #: Upper bounds (exclusive) of the default GQ bands: singles to 60, then 70, 80, 90, 99 (fixed values).
 BANDS = (*range(1, 61), 70, 80, 90, 99)
@@ -17,12 +18,13 @@ def band(gq: Column, bounds: tuple[int, ...] = BANDS) -> Column:
 
 
 def merge_blocks(blocks: DataFrame, keys: tuple[str, ...] = ("sample", "contig"), bounds: tuple[int, ...] = BANDS) -> DataFrame:
-    """Touching blocks of one band become one: least GQ and PL-wise least likelihoods, rounded median depth."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    b = blocks.withColumn("_band", band(F.col("gq"), bounds))
-    new = F.lag("end").over(w).isNull() | (F.lag("end").over(w) != F.col("start")) | (F.lag("_band").over(w) != F.col("_band"))
-    b = b.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w))
-    out = b.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("_band").alias("band"), F.min("gq").alias("min_gq"), F.floor(F.median("dp") + 0.5).cast("int").alias("dp"), F.count(F.lit(1)).alias("n_blocks"))
+    """Touching blocks of one band become one: least GQ, the least of each PL (if there is an array pl of three), rounded median
+    depth. The blocks may come from any tiles: pieces that were cut at a tile's edge are stitched alike."""
+    b = scanned(blocks.withColumn("_band", band(F.col("gq"), bounds)), keys, ["start", "end"], lags=["end", "_band"])
+    new = F.col("lag_end").isNull() | (F.col("lag_end") != F.col("start")) | (F.col("lag__band") != F.col("_band"))
+    b = scanned(b.withColumn("_new", new.cast("int")), keys, ["start", "end"], sums=["_new"]).withColumnRenamed("sum__new", "_run")
+    pls = [F.array(*[F.min(F.get("pl", F.lit(k))) for k in range(3)]).alias("pl")] if "pl" in blocks.columns else []
+    out = b.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("_band").alias("band"), F.min("gq").alias("min_gq"), F.floor(F.median("dp") + 0.5).cast("int").alias("dp"), F.count(F.lit(1)).alias("n_blocks"), *pls)
     return out.drop("_run")
 
 
@@ -48,5 +50,5 @@ def combine(samples: DataFrame) -> DataFrame:
 
 def spanning_deletion(df: DataFrame, tie: str = "id") -> DataFrame:
     """``df`` (contig, pos, ref) with spanned: an earlier row's reference allele reaches over this position."""
-    w = Window.partitionBy("contig").orderBy("pos", tie).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("spanned", F.coalesce(F.max(F.col("pos") + F.length("ref")).over(w) > F.col("pos"), F.lit(False)))
+    out = scanned(df.withColumn("_stop", F.col("pos") + F.length("ref")), ["contig"], ["pos", tie], maxima=["_stop"])
+    return out.select(*df.columns, F.coalesce(F.col("max__stop") > F.col("pos"), F.lit(False)).alias("spanned"))

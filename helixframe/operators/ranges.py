@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scanned
+
 
 def binned(df: DataFrame, width: int, start: str = "start", end: str = "end", bin_col: str = "_bin") -> DataFrame:
     """One row for each bin that an interval touches; empty intervals touch the bin of their start."""
@@ -41,10 +43,11 @@ def point_join(points: DataFrame, intervals: DataFrame, width: int = 1000, suffi
 
 def islands(df: DataFrame, abutting: bool = True, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
     """Intervals with _island: the number of the merged interval they belong to, within the keys."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    reached = scanned(df, keys, ["start", "end"], maxima=["end"])
+    reach = F.col("max_end")
     new = reach.isNull() | ((F.col("start") > reach) if abutting else (F.col("start") >= reach))
-    return df.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    numbered = scanned(reached.withColumn("_new", new.cast("int")), keys, ["start", "end"], sums=["_new"])
+    return numbered.select(*df.columns, F.col("sum__new").alias("_island"))
 
 
 def merge(df: DataFrame, abutting: bool = True, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
@@ -66,20 +69,21 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
             part = df.select("contig", F.col(col).alias("at"), F.lit(step if name == "in_a" else 0).alias("a"), F.lit(step if name == "in_b" else 0).alias("b"))
             ends = part if ends is None else ends.union(part)
     ends = ends.groupBy("contig", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy("contig").orderBy("at")
-    swept = ends.select("contig", F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"))
+    swept = scanned(ends, ["contig"], ["at"], sums=["a", "b"], leads=["at"])
+    swept = swept.select("contig", F.col("at").alias("start"), F.col("lead_at").alias("end"), F.col("sum_a").alias("a"), F.col("sum_b").alias("b"))
     return merge(swept.where("a > 0 and b = 0 and end is not null").select("contig", "start", "end"))
 
 
 def pad(df: DataFrame, padding: int, limit: Column | None = None) -> DataFrame:
     """Widened by ``padding`` to both sides within [0, limit]; neighbours that would overlap meet in the middle of their gap."""
-    w = Window.partitionBy("contig").orderBy("start", "end")
-    before, after = F.lag("end").over(w), F.lead("start").over(w)
+    columns = df.columns
+    df = scanned(df, ["contig"], ["start", "end"], lags=["end"], leads=["start"])
+    before, after = F.col("lag_end"), F.col("lead_start")
     low = F.greatest(F.col("start") - padding, F.lit(0))
     high = F.col("end") + padding if limit is None else F.least(F.col("end") + padding, limit)
     low = F.when(before.isNotNull() & (before <= F.col("start")) & (F.col("start") - before < 2 * padding), before + F.floor((F.col("start") - before) / 2)).otherwise(low)
     high = F.when(after.isNotNull() & (after >= F.col("end")) & (after - F.col("end") < 2 * padding), F.col("end") + F.floor((after - F.col("end")) / 2)).otherwise(high)
-    return df.select(*[c for c in df.columns if c not in ("start", "end")], low.cast("long").alias("start"), high.cast("long").alias("end"))
+    return df.select(*[c for c in columns if c not in ("start", "end")], low.cast("long").alias("start"), high.cast("long").alias("end"))
 
 
 def fixed_bins(df: DataFrame, width: int) -> DataFrame:
@@ -102,18 +106,17 @@ def scatter(df: DataFrame, shards: int) -> DataFrame:
     sums = df.groupBy("contig").agg(F.sum(size).alias("_n"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = before.withColumn("_total", F.sum("_n").over(Window.partitionBy()))
-    w = Window.partitionBy("contig").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_at", F.sum(size).over(w)).join(total, "contig")
-    middle = F.col("_before") + F.col("_at") - size / 2.0
-    return out.withColumn("shard", F.least(F.floor(middle * shards / F.col("_total")), F.lit(shards - 1)).cast("int")).drop("_at", "_n", "_before", "_total")
+    out = scanned(df.withColumn("_size", size), ["contig"], ["start", "end"], sums=["_size"]).join(total, "contig")
+    middle = F.col("_before") + F.col("sum__size") - size / 2.0
+    return out.select(*df.columns, F.least(F.floor(middle * shards / F.col("_total")), F.lit(shards - 1)).cast("int").alias("shard"))
 
 
 def depth_segments(df: DataFrame, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
     """Maximal stretches of constant depth > 0: (keys, start, end, depth). Row counts follow interval ends, not bases."""
     ends = df.select(*keys, F.col("start").alias("at"), F.lit(1).alias("d")).union(df.select(*keys, F.col("end"), F.lit(-1)))
     ends = ends.groupBy(*keys, "at").agg(F.sum("d").alias("d")).where("d != 0")
-    w = Window.partitionBy(*keys).orderBy("at")
-    swept = ends.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("d").over(w).cast("long").alias("depth"))
+    swept = scanned(ends, keys, ["at"], sums=["d"], leads=["at"])
+    swept = swept.select(*keys, F.col("at").alias("start"), F.col("lead_at").alias("end"), F.col("sum_d").cast("long").alias("depth"))
     return swept.where("depth > 0 and end is not null")
 
 
@@ -173,6 +176,6 @@ def separate_contigs(df: DataFrame, shards: int) -> DataFrame:
     w = Window.orderBy("contig")  # a row for each contig
     share = sums.withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * shards / F.sum("_n").over(Window.partitionBy()))))
     share = share.withColumn("_first", F.sum("_k").over(w) - F.col("_k"))
-    at = F.sum(size).over(Window.partitionBy("contig").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)) - size / 2.0
-    out = df.withColumn("_at", at).join(share, "contig")
-    return out.withColumn("shard", (F.col("_first") + F.least(F.floor(F.col("_at") * F.col("_k") / F.col("_n")), F.col("_k") - 1)).cast("int")).drop("_at", "_n", "_k", "_first")
+    out = scanned(df.withColumn("_size", size), ["contig"], ["start", "end"], sums=["_size"]).join(share, "contig")
+    at = F.col("sum__size") - size / 2.0
+    return out.select(*df.columns, (F.col("_first") + F.least(F.floor(at * F.col("_k") / F.col("_n")), F.col("_k") - 1)).cast("int").alias("shard"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scanned, value_block
+
 
 def resource_flags(variants: DataFrame, resources: dict[str, DataFrame], key: list[str]) -> DataFrame:
     """``variants`` with one Boolean per resource: all resources meet in one union and one join."""
@@ -33,8 +35,8 @@ def tranche_table(scores: DataFrame, targets: tuple[float, ...], score: str = "s
     Equal scores are counted once per value first, so the ranked table has a row per score, not per variant.
     """
     by = scores.groupBy(score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(truth).cast("long")).alias("_t"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by.select(score, F.sum("_n").over(w).alias("calls"), F.sum("_t").over(w).alias("truth_calls"))
+    by, block = value_block(by.withColumn("_down", -F.col(score)), score, descending=True)
+    ranked = scanned(by.select(score, "_down", "_n", "_t", "_bounds"), [], ["_down"], block, sums=["_n", "_t"]).select(score, F.col("sum__n").alias("calls"), F.col("sum__t").alias("truth_calls"))
     total = F.broadcast(scores.agg(F.sum(F.col(truth).cast("long")).alias("truth_sites")))
     want = F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target")
     need = F.ceil(F.col("target") * F.col("truth_sites") / 100.0)
@@ -60,17 +62,17 @@ def merge_tranches(tables: DataFrame) -> DataFrame:
 def cumulative_errors(posteriors: DataFrame, p: str = "p") -> DataFrame:
     """Distinct error posteriors in order, with rows, expected errors and expected truths up to each; ends with totals."""
     by = posteriors.groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select(p, F.sum("_n").over(w).alias("n"), F.sum(F.col("_n") * F.col(p)).over(w).alias("errors"), F.sum(F.col("_n") * (1 - F.col(p))).over(w).alias("truths"))
+    by, block = value_block(by.withColumn("_e", F.col("_n") * F.col(p)).withColumn("_t", F.col("_n") * (1 - F.col(p))), p)
+    return scanned(by, [], [p], block, sums=["_n", "_e", "_t"]).select(p, F.col("sum__n").alias("n"), F.col("sum__e").alias("errors"), F.col("sum__t").alias("truths"))
 
 
 def f_score_threshold(posteriors: DataFrame, beta: float = 1.0, p: str = "p") -> DataFrame:
     """The error posterior up to which calls give the best expected F score; of equal scores the last, 1.0 if all are taken."""
     c = cumulative_errors(posteriors, p)
-    all_truths = F.max("truths").over(Window.partitionBy())
+    ends = F.broadcast(c.agg(F.max("truths").alias("_all"), F.max(p).alias("_last")))
     b2 = beta * beta
-    f = F.try_divide((1 + b2) * F.col("truths"), (1 + b2) * F.col("truths") + b2 * (all_truths - F.col("truths")) + F.col("errors"))
-    scored = c.select(p, F.round(f, 12).alias("f"), (F.col(p) == F.max(p).over(Window.partitionBy())).alias("last"))
+    f = F.try_divide((1 + b2) * F.col("truths"), (1 + b2) * F.col("truths") + b2 * (F.col("_all") - F.col("truths")) + F.col("errors"))
+    scored = c.crossJoin(ends).select(p, F.round(f, 12).alias("f"), (F.col(p) == F.col("_last")).alias("last"))
     best = scored.agg(F.max(F.struct("f", p, "last")).alias("b"))
     return best.select(F.when(F.col("b.last"), 1.0).otherwise(F.col(f"b.{p}")).alias("threshold"), F.col("b.f").alias("f_score"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import numeric, sequence as S
-from helixframe.operators import cnv, dedup, expr, genotype, gvcf, kernels, pileup, ranges, readfilters, recal, tranche, variants as V
+from helixframe.operators import cnv, dedup, expr, genotype, gvcf, kernels, methods, pileup, ranges, readfilters, recal, scan, tranche, variants as V
 
 
 def _intervals(spark, rows):
@@ -293,3 +293,44 @@ def test_mixture_is_fitted_on_all_rows(spark):
     _, means, cov = fit_mixture(x, 1, weight=n)
     rows = np.array([[k % 7 / 10, k % 5 / 5] for k in range(5000)])
     assert np.allclose(means[0], rows.mean(0)) and np.allclose(cov[0], np.cov(rows.T, bias=True) + 1e-3 * np.eye(2))
+
+
+def test_scans_in_blocks_equal_scans_in_order(spark):
+    r = random.Random(14)
+    rows = [(r.randrange(3), r.randrange(-50, 400), k, r.randrange(100) if k % 7 else None) for k in range(500)]
+    df = spark.createDataFrame(rows, "key int, at int, id int, v int").repartition(5)
+    out = scan.scanned(df, ["key"], ["at", "id"], scan.position_block("at", 37), sums=["v"], maxima=["v"], lags=["v"], leads=["v", "id"])
+    got = {x["id"]: (x["sum_v"], x["max_v"], x["lag_v"], x["lead_v"], x["lead_id"]) for x in out.collect()}
+    want = {}
+    for key in range(3):
+        mine = sorted(((at, i, v) for k, at, i, v in rows if k == key))
+        for n, (_, i, v) in enumerate(mine):
+            seen = [x for _, _, x in mine[: n + 1] if x is not None]
+            before = [x for _, _, x in mine[:n] if x is not None]
+            want[i] = (sum(seen), max(before, default=None), mine[n - 1][2] if n else None, mine[n + 1][2] if n + 1 < len(mine) else None, mine[n + 1][1] if n + 1 < len(mine) else None)
+    bad = {k: (got[k], want[k]) for k in want if got[k][1:] != want[k][1:] or (got[k][0] or 0) != want[k][0]}
+    assert got.keys() == want.keys() and not bad
+    scored, block = scan.value_block(df.select((F.col("id") / 7.0).alias("x")), "x", blocks=9, descending=True)
+    ranked = scan.scanned(scored.withColumn("down", -F.col("x")).withColumn("one", F.lit(1)), [], ["down"], block, sums=["one"]).collect()
+    assert [x["sum_one"] for x in sorted(ranked, key=lambda x: -x["x"])] == list(range(1, 501))
+
+
+def test_target_walk():
+    rows = [(0.2, "a"), (0.5, "b"), (0.89, "c"), (0.91, "d"), (1.0, "e")]
+    assert tranche.target_walk(rows, [90.0, 100.0]) == [(90.0, "d"), (100.0, "e")]
+    assert tranche.target_walk(rows, [99.9, 100.0, 30.0]) == [(30.0, "b"), (99.9, "e"), (100.0, "e")]
+    assert tranche.target_walk(rows[:1], [90.0]) == [] and tranche.target_walk(rows, []) == []
+
+
+def test_expression_objects(spark):
+    known = methods.site_methods()
+    for text in ("vc.getReference()", "vc.getReference().isHet()", "vc.isNothing()", "vc.getGenotype(\"S\")"):
+        with pytest.raises(expr.ExpressionError):
+            expr.compile_expression(text, expr.column_resolver({}), known)
+    g = "struct<sample:string,gt:array<int>,dp:int,gq:int,ad:array<int>,pl:array<int>>"
+    rows = [("A", ["<DEL>", "*"], None, None, [("S1", [0, -1], None, 9, None, None)]), ("AT", ["A", "A[1:5[", "G."], ["q10"], {"DP": "1"}, [("S1", [2, 2], 3, None, [1, 2], None)])]
+    df = spark.createDataFrame(rows, f"ref string, alts array<string>, filter array<string>, info map<string,string>, genotypes array<{g}>")
+    tests = ["vc.isSymbolic()", "vc.isMultiallelic()", "vc.getAlternateAllele(1).isSymbolic()", "vc.getAlternateAllele(1).isBreakpoint()", "vc.getAlternateAllele(2).isSingleBreakend()", "vc.isFiltered()", "vc.hasAttribute('DP')",
+             "vc.getGenotype('S1').isHomVar()", "vc.getGenotype('S1').isNoCall()", "vc.getGenotype('S1').getAD()[1] == 2", "vc.getGenotype('S1').hasGQ()", "vc.isPolymorphicInSamples()"]
+    got = df.select(*[expr.compile_expression(t, expr.column_resolver({}), known).alias(f"t{k}") for k, t in enumerate(tests)]).collect()
+    assert [tuple(x) for x in got] == [(True, True, True, False, False, False, False, False, True, False, True, False), (False, True, True, True, True, True, True, True, False, True, False, True)]
