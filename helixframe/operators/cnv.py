@@ -203,6 +203,21 @@ def smooth_segments(segments: list[tuple[int, float, float]], overlap: float = 2
     return held
 
 
+def smooth(segments: DataFrame, overlap: float = 2.0) -> DataFrame:
+    """``smooth_segments`` of each contig's segments (contig, start, end, n_points, mean, sd): a row for each that is left."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start")
+        left = smooth_segments(list(pdf[["n_points", "mean", "sd"]].itertuples(index=False, name=None)), overlap)
+        stop = np.searchsorted(np.cumsum(pdf["n_points"].to_numpy()), np.cumsum([x[0] for x in left]))
+        first = np.r_[0, stop[:-1] + 1]
+        rows = [(pdf["contig"].iloc[0], pdf["start"].iloc[a], pdf["end"].iloc[b], *x) for a, b, x in zip(first, stop, left, strict=True)]
+        return pd.DataFrame(rows, columns=["contig", "start", "end", "n_points", "mean", "sd"])
+
+    kind = dict(segments.dtypes)["contig"]
+    return segments.select("contig", "start", "end", "n_points", "mean", "sd").groupBy("contig").applyInPandas(run, f"contig {kind}, start long, end long, n_points long, mean double, sd double")
+
+
 def sample_posterior(x: np.ndarray, samples: int = 200, burn: int = 50, seed: int = 47, low: float = -10.0, high: float = 10.0) -> np.ndarray:
     """Posterior deciles of a segment's mean (bounded, flat prior; variance by its conditional): a Gibbs chain."""
     rng = np.random.default_rng(seed)

@@ -88,6 +88,12 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, f"{kinds}, log10_likelihood double")
 
 
+def score_matrix(reads: DataFrame, haplotypes: DataFrame, region: str = "region") -> DataFrame:
+    """Every read (region, read_id, read, quals) against every haplotype (region, hap_id, hap) of its region: a join on the
+    region, whose haplotypes are few."""
+    return score_pairs(reads.join(haplotypes, region)).drop("read", "quals", "hap")
+
+
 def normalise_likelihoods(df: DataFrame, read: str = "read_id", value: str = "log10_likelihood", cap: float = 4.5) -> DataFrame:
     """No haplotype of a read is more than ``cap`` below its best one."""
     from pyspark.sql import Window

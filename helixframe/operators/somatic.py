@@ -150,7 +150,7 @@ def het_sites(sites: DataFrame, error: float = 0.05, least: float = -10.0, ref:
                 out.append(float("-inf"))
                 continue
             # P(alternate share within error of 0 or 1) under a flat prior: Beta(k + 1, n - k + 1) tails.
-            tail = _beta_cdf(error, k + 1, n - k + 1) + 1 - _beta_cdf(1 - error, k + 1, n - k + 1)
+            tail = _beta_cdf(error, k + 1, n - k + 1) + _beta_cdf(error, n - k + 1, k + 1)
             out.append(-math.log10(max(tail, 1e-300)) if tail < 1 else 0.0)
         return pd.Series(out)
 

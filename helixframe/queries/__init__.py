@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
-    from . import calls, fields, intervals, joint, models, reads, somatic, tables
+    from . import calls, fields, intervals, joint, models, more, reads, somatic, tables
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (reads, intervals, calls, joint, fields, tables, models, somatic):
+    for module in (reads, intervals, calls, joint, fields, tables, models, somatic, more):
         out |= module.QUERIES
     return out
