@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +34,23 @@ def fold(doc_id: Column, folds: int, pick: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == pick, F.lit(False))
 
 
+#: Shared folders handed out by this process, oldest first.
+_FOLDERS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, which is set only where it is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Only a local session may do without that
+    setting (a temporary folder then stands in for it); on a cluster executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="helixframe-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/helixframe-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{base.rstrip('/')}/helixframe-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -57,6 +66,16 @@ def dropped(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shared folders that were handed out inside, at the end: for callers that have written their result by then."""
+    begin = len(_FOLDERS)
+    yield
+    for folder in _FOLDERS[begin:]:
+        dropped(spark, folder)
+    del _FOLDERS[begin:]
+
+
 def small(batches: Iterator, rows: int = 512) -> Iterator:
     """Arrow batches in slices of a few rows, so that a worker never holds more than these as Python objects."""
     for batch in batches:

@@ -164,3 +164,16 @@ def test_aliases_equal_brute_force_over_pages(spark, sf):
     got = {x["page_id"]: x["verdict"] for x in url_filter.filter_urls(df, RULES).collect()}
     assert got == want
     assert sum(1 for i in want if not direct[i] and want[i] == "block") > 20
+
+
+def test_shared_folders_are_swept(spark):
+    import os
+
+    from helixframe.llm.common import shared_dir, swept, written
+
+    kept = written(spark.range(3), shared_dir(spark), "kept")
+    with swept(spark):
+        folder = shared_dir(spark)
+        written(spark.range(5), folder, "gone")
+        assert os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:")) and kept.count() == 3
