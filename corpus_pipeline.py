@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontamination, near_dedup, packing, toxicity
-from helixframe.llm.common import fold, read_table, shared_dir, written
+from helixframe.llm.common import fold, read_table, shared_dir, swept, written
 from helixframe.llm.exact_dedup import distinct_documents
 from helixframe.llm.queries import tokenizer_path
 
@@ -60,8 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, as a table. A stage's own tables go once its result is written, which the next stage reads."""
     folder = shared_dir(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), folder, name)
+        with swept(spark):
+            docs = written(stage(spark, docs, sf_dir), folder, name)
     return docs
