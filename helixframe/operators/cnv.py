@@ -53,13 +53,26 @@ def gc_correct(df: DataFrame, value: str = "value", gc: str = "gc", bins: int =
 def denoise(standardised: DataFrame, panel: DataFrame, rank: int = 20) -> DataFrame:
     """Log ratios less their projection on the panel's leading eigenvectors.
 
-    The panel's Gram matrix is samples x samples, so it is summed up by Spark and solved on the driver; the
-    projection back over intervals is a join.
+    The panel's Gram matrix is samples x samples: tasks add up the products of their own intervals' vectors, Spark adds the
+    tasks' matrices, and the driver solves the sum; the projection back over intervals is a join.
     """
     p = panel.select(F.col("sample").alias("s"), "interval", F.col("log2_ratio").alias("x"))
-    q = p.select(F.col("s").alias("t"), "interval", F.col("x").alias("y"))
-    gram = p.join(q, "interval").groupBy("s", "t").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
-    names = sorted({r["s"] for r in gram})
+    names = sorted(r["s"] for r in p.select("s").distinct().collect())  # the panel's samples
+    number = {s: k for k, s in enumerate(names)}
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(names), len(names)))
+        for b in batches:
+            x = np.zeros((len(b), len(names)))
+            for row, (samples, values) in enumerate(zip(b["s"], b["x"], strict=True)):
+                x[row, [number[s] for s in samples]] = values
+            total += x.T @ x
+        i, j = np.nonzero(total)
+        yield pd.DataFrame({"s": i, "t": j, "g": total[i, j]})
+
+    vectors = p.groupBy("interval").agg(F.collect_list(F.struct("s", "x")).alias("v")).select(F.col("v.s").alias("s"), F.col("v.x").alias("x"))
+    gram = vectors.mapInPandas(products, "s int, t int, g double").groupBy("s", "t").agg(F.sum("g").alias("g")).collect()
+    gram = [{"s": names[r["s"]], "t": names[r["t"]], "g": r["g"]} for r in gram]
     at = {s: k for k, s in enumerate(names)}
     g = np.zeros((len(names), len(names)))
     for r in gram:

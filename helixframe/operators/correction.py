@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,18 +15,25 @@ def correct_by_kmers(reads: list[str], k: int = 10, solid: int = 3, most: int =
     """Reads in which every k-mer seen fewer than ``solid`` times becomes its nearest solid k-mer (at most ``most`` bases away,
     the only one at that distance); positions whose votes disagree stay as they are."""
     counts = Counter(r[i : i + k] for r in reads for i in range(len(r) - k + 1))
-    good = sorted(x for x, n in counts.items() if n >= solid)
+    good = {x for x, n in counts.items() if n >= solid}
     fixes: dict[str, str | None] = {}
 
+    def near(x: str, distance: int) -> set[str]:
+        """Solid k-mers at just this distance: by the letters put at every choice of places, not by looking at all of them."""
+        found = set()
+        for places in combinations(range(k), distance):
+            for letters in product(*("ACGT".replace(x[p], "") for p in places)):
+                y = list(x)
+                for p, b in zip(places, letters, strict=True):
+                    y[p] = b
+                found.add("".join(y))
+        return found & good
+
     def nearest(x: str) -> str | None:
-        best, found = most + 1, None
-        for g in good:
-            d = sum(a != b for a, b in zip(x, g, strict=True))
-            if d < best:
-                best, found = d, g
-            elif d == best:
-                found = None
-        return found
+        for distance in range(1, most + 1):
+            if found := near(x, distance):
+                return found.pop() if len(found) == 1 else None
+        return None
 
     out = []
     for r in reads:

@@ -242,11 +242,12 @@ def align_pairs(pairs: DataFrame, overhang: str = "softclip") -> DataFrame:
 # ---- assembly graph -------------------------------------------------------------------------------------------
 
 
-def assemble(sequences: list[tuple[str, bool]], k: int = 21, min_weight: int = 1, most: int = 64) -> list[tuple[str, float]]:
-    """Haplotypes (sequence, log10 score) through the k-mer graph of (sequence, is the reference) pairs, best first.
+def assemble(sequences: list[tuple[str, bool]], k: int = 21, min_weight: int = 1, most: int = 64, most_steps: int = 100_000) -> list[tuple[str, float]]:
+    """At most ``most`` haplotypes (sequence, log10 score) through the k-mer graph of (sequence, is the reference) pairs, best first.
 
     Edges lighter than ``min_weight`` go unless the reference uses them; paths run from the reference's first to its
-    last k-mer; a path scores the share of each of its edges among the edges that leave the same k-mer.
+    last k-mer; a path scores the share of each of its edges among the edges that leave the same k-mer. A graph whose search
+    isn't done after ``most_steps`` steps is an error.
     """
     weight: Counter = Counter()
     reference = next((s for s, r in sequences if r), "")
@@ -267,9 +268,11 @@ def assemble(sequences: list[tuple[str, bool]], k: int = 21, min_weight: int = 1
     heap: list[tuple[float, str, str, frozenset]] = [(0.0, start, start, frozenset([start]))]
     done: list[tuple[str, float]] = []
     steps = 0
-    while heap and len(done) < most and steps < 100_000:
+    while heap and len(done) < most:
         cost, seq, node, seen = heappop(heap)
         steps += 1
+        if steps > most_steps:
+            raise ValueError(f"the k-mer graph has too many paths for {most_steps} steps: use longer k-mers or prune edges")
         if node == end:
             done.append((seq, -cost))
             continue
@@ -355,47 +358,54 @@ def band_pass(values: np.ndarray, sigma: float = 17.0, most: int = 50, least: fl
     return np.convolve(values, w, mode="same") if len(values) >= len(w) else np.convolve(values, w, mode="full")[len(w) // 2 : len(w) // 2 + len(values)]
 
 
-def active_regions(profile: DataFrame, threshold: float = 0.002, smallest: int = 50, largest: int = 300) -> DataFrame:
-    """Regions of each contig's smoothed activity (contig, pos, activity) above the threshold: (contig, start, end, active).
+def active_regions(profile: DataFrame, threshold: float = 0.002, smallest: int = 50, largest: int = 300, tile: int = 1 << 16, halo: int = 50) -> DataFrame:
+    """Regions of each contig's smoothed activity (contig, pos, activity) above the threshold: (contig, start, end).
 
-    Positions that are missing count 0. Regions are at least ``smallest`` and at most ``largest`` long.
+    Positions that are missing count 0. Regions are at least ``smallest`` long, as far as the contig's positions go, and cut
+    into equal parts of at most ``largest``. Contigs are smoothed in tiles, each with the positions of ``halo`` to its sides (the
+    smoothing's reach); stretches that meet at a tile's edge become one.
     """
+    from .ranges import merge
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = int(pdf["pos"].min())
-        dense = np.zeros(int(pdf["pos"].max()) - low + 1)
-        dense[pdf["pos"].to_numpy() - low] = pdf["activity"]
-        on = band_pass(dense) > threshold
+        first = int(pdf["_tile"].iloc[0]) * tile
+        dense = np.zeros(tile + 2 * halo)
+        dense[pdf["pos"].to_numpy() - (first - halo)] = pdf["activity"]
+        on = band_pass(dense, most=halo)[halo:-halo] > threshold
         edge = np.flatnonzero(np.diff(np.r_[False, on, False].astype(int)))
-        rows = []
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            if b - a < smallest:
-                b = min(len(dense), a + smallest)
-            pieces = -(-(b - a) // largest)
-            cut = np.linspace(a, b, pieces + 1).round().astype(int)
-            rows += [(pdf["contig"].iloc[0], low + int(x), low + int(y)) for x, y in zip(cut, cut[1:], strict=False)]
-        return pd.DataFrame(rows, columns=["contig", "start", "end"])
+        return pd.DataFrame([(pdf["contig"].iloc[0], first + int(x), first + int(y)) for x, y in zip(edge[::2], edge[1::2], strict=True)], columns=["contig", "start", "end"])
 
     kind = dict(profile.dtypes)["contig"]
-    return profile.groupBy("contig").applyInPandas(run, f"contig {kind}, start long, end long")
+    dealt = profile.select("contig", F.col("pos").cast("long").alias("pos"), F.col("activity").cast("double").alias("activity"))
+    dealt = dealt.withColumn("_tile", F.explode(F.sequence(F.floor((F.col("pos") - halo) / tile), F.floor((F.col("pos") + halo) / tile))))
+    found = merge(dealt.groupBy("contig", "_tile").applyInPandas(run, f"contig {kind}, start long, end long"))
+    ends = profile.groupBy("contig").agg(F.min("pos").alias("_low"), (F.max("pos") + 1).alias("_high"))
+    clipped = found.join(ends, "contig").select("contig", F.greatest("start", "_low").alias("a"), F.least("end", "_high").alias("b"), "_high").where("a < b")
+    stop = F.when(F.col("b") - F.col("a") < smallest, F.least(F.col("_high"), F.col("a") + smallest)).otherwise(F.col("b"))
+    sized = clipped.select("contig", "a", stop.alias("b")).withColumn("k", F.ceil((F.col("b") - F.col("a")) / largest))
+    cut = lambda k: (F.col("a") + F.bround((F.col("b") - F.col("a")) * k / F.col("k"), 0)).cast("long")
+    return sized.select("contig", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda k: F.struct(cut(k).alias("start"), cut(k + 1).alias("end")))).alias("r")).select("contig", "r.start", "r.end")
 
 
 # ---- read-orientation EM --------------------------------------------------------------------------------------
 
 
-def orientation_em(counts: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
-    """Prior over 4 states (no artifact, F1R2 artifact, F2R1 artifact, germline het) from rows (depth, alt, alt F1R2).
+def orientation_em(counts: np.ndarray, rounds: int = 100, tolerance: float = 1e-6, weight: np.ndarray | None = None) -> np.ndarray:
+    """Prior over 4 states (no artifact, F1R2 artifact, F2R1 artifact, germline het) from rows (depth, alt, alt F1R2), each as
+    often as its weight says.
 
     An artifact puts nearly all alternate reads on one orientation; states differ in allele fraction and F1R2 share.
     """
     fraction, share = np.array([0.01, 0.1, 0.1, 0.5]), np.array([0.5, 0.99, 0.01, 0.5])
     depth, alt, f1r2 = (counts[:, k, None].astype(float) for k in range(3))
     log_p = alt * np.log(fraction) + (depth - alt) * np.log1p(-fraction) + f1r2 * np.log(share) + (alt - f1r2) * np.log1p(-share)
+    weight = np.ones(len(counts)) if weight is None else weight
     prior = np.full(4, 0.25)
     for _ in range(rounds):
         z = log_p + np.log(prior)
         r = np.exp(z - z.max(1, keepdims=True))
         r /= r.sum(1, keepdims=True)
-        new = (r.sum(0) + 0.25) / (len(counts) + 1)
+        new = (weight @ r + 0.25) / (weight.sum() + 1)
         if np.linalg.norm(new - prior) <= tolerance:
             return new
         prior = new
@@ -405,8 +415,8 @@ def orientation_em(counts: np.ndarray, rounds: int = 100, tolerance: float = 1e-
 def orientation_priors(rows: DataFrame) -> DataFrame:
     """Priors per context of (context, depth, alt, alt_f1r2, n): equal rows come counted, so a context's list is bounded."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.repeat(pdf[["depth", "alt", "alt_f1r2"]].to_numpy(), pdf["n"], axis=0)
-        return pd.DataFrame([(pdf["context"].iloc[0], *orientation_em(counts).tolist(), len(counts))], columns=["context", "none", "f1r2", "f2r1", "het", "n"])
+        prior = orientation_em(pdf[["depth", "alt", "alt_f1r2"]].to_numpy(), weight=pdf["n"].to_numpy(float))
+        return pd.DataFrame([(pdf["context"].iloc[0], *prior.tolist(), int(pdf["n"].sum()))], columns=["context", "none", "f1r2", "f2r1", "het", "n"])
 
     return rows.groupBy("context").applyInPandas(run, "context string, none double, f1r2 double, f2r1 double, het double, n long")
 
@@ -414,19 +424,21 @@ def orientation_priors(rows: DataFrame) -> DataFrame:
 # ---- contamination --------------------------------------------------------------------------------------------
 
 
-def contamination(alt: np.ndarray, depth: np.ndarray, frequency: np.ndarray, error: float = 0.001) -> float:
-    """Share of foreign reads that best explains alternate counts at sites the sample is homozygous for (bisection of the slope)."""
+def contamination(alt: np.ndarray, depth: np.ndarray, frequency: np.ndarray, error: float = 0.001, weight: np.ndarray | None = None) -> float:
+    """Share of foreign reads that best explains alternate counts at sites the sample is homozygous for (bisection of the slope);
+    a site counts as often as its weight says."""
     hom_alt = alt >= 0.8 * depth
     foreign = np.where(hom_alt, depth - alt, alt)
     rate = np.where(hom_alt, 1 - frequency, frequency)
     keep = np.minimum(foreign, depth - foreign) <= 0.3 * depth
-    foreign, depth, rate = foreign[keep], depth[keep], rate[keep]
+    weight = np.ones(len(depth)) if weight is None else weight
+    foreign, depth, rate, weight = foreign[keep], depth[keep], rate[keep], weight[keep]
     if not len(depth):
         return 0.0
 
     def slope(c: float) -> float:
         p = np.clip((1 - c) * error + c * rate, 1e-9, 1 - 1e-9)
-        return float((((foreign / p) - (depth - foreign) / (1 - p)) * (rate - error)).sum())
+        return float((((foreign / p) - (depth - foreign) / (1 - p)) * (rate - error)) @ weight)
 
     low, high = 0.0, 0.5
     if slope(low) <= 0:
@@ -440,8 +452,8 @@ def contamination(alt: np.ndarray, depth: np.ndarray, frequency: np.ndarray, err
 def contamination_by_sample(sites: DataFrame) -> DataFrame:
     """(sample, alt, depth, frequency, n) -> contamination per sample; equal rows come counted."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = np.repeat(pdf[["alt", "depth", "frequency"]].to_numpy(float), pdf["n"], axis=0)
-        return pd.DataFrame([(pdf["sample"].iloc[0], contamination(r[:, 0], r[:, 1], r[:, 2]), len(r))], columns=["sample", "contamination", "sites"])
+        r, n = pdf[["alt", "depth", "frequency"]].to_numpy(float), pdf["n"].to_numpy(float)
+        return pd.DataFrame([(pdf["sample"].iloc[0], contamination(r[:, 0], r[:, 1], r[:, 2], weight=n), int(n.sum()))], columns=["sample", "contamination", "sites"])
 
     kind = dict(sites.dtypes)["sample"]
     return sites.groupBy("sample").applyInPandas(run, f"sample {kind}, contamination double, sites long")

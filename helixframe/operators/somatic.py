@@ -96,8 +96,10 @@ def phased_filter(df: DataFrame, phase: str = "phase", pos: str = "pos", p: str
     return df.withColumn("haplotype_p", F.when(F.col(phase).isNotNull(), F.max(p).over(w)).otherwise(F.col(p)))
 
 
-def strand_artifact(forward_alt: np.ndarray, reverse_alt: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """P(artifact) of each site by EM: real variants share strands evenly, artifacts sit on one strand."""
+def strand_artifact(forward_alt: np.ndarray, reverse_alt: np.ndarray, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """P(artifact) of each site by EM: real variants share strands evenly, artifacts sit on one strand. A site counts as often as
+    its weight says."""
+    weight = np.ones(len(forward_alt)) if weight is None else weight
     n = forward_alt + reverse_alt
     prior = 0.05
     log_real = n * math.log(0.5)
@@ -106,7 +108,7 @@ def strand_artifact(forward_alt: np.ndarray, reverse_alt: np.ndarray, rounds: in
     for _ in range(rounds):
         z = one + math.log(prior) - log_real - math.log1p(-prior)
         post = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        new = (post.sum() + 0.5) / (len(n) + 10)
+        new = (weight @ post + 0.5) / (weight.sum() + 10)
         if abs(new - prior) < 1e-9:
             break
         prior = new
@@ -116,10 +118,8 @@ def strand_artifact(forward_alt: np.ndarray, reverse_alt: np.ndarray, rounds: in
 def strand_artifacts(counts: DataFrame, group: str) -> DataFrame:
     """Posteriors per group of (group, forward_alt, reverse_alt, n): equal rows come counted."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, r = (np.repeat(pdf[c].to_numpy(float), pdf["n"]) for c in ("forward_alt", "reverse_alt"))
-        first = np.r_[0, np.cumsum(pdf["n"])[:-1]].astype(int)
         pdf = pdf.copy()
-        pdf["p_artifact"] = strand_artifact(f, r)[first]
+        pdf["p_artifact"] = strand_artifact(*(pdf[c].to_numpy(float) for c in ("forward_alt", "reverse_alt")), weight=pdf["n"].to_numpy(float))
         return pdf[[group, "forward_alt", "reverse_alt", "n", "p_artifact"]]
 
     kind = dict(counts.dtypes)[group]

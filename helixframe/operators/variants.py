@@ -96,23 +96,25 @@ def minimal_alleles(pos: Column, ref: Column, alt: Column) -> Column:
 def left_align(variants: DataFrame, reference: DataFrame, most: int = 200) -> DataFrame:
     """Indels moved left while their last base equals the base before them, at most ``most`` bases.
 
-    reference: (contig, start, seq), chunks of sequence. A variant meets the bases in front of it in a join on the chunk.
+    reference: (contig, start, seq), chunks of sequence. A variant meets the bases in front of it in a join on the chunk; where
+    there are none it is trimmed only. Every row of ``variants`` comes out once.
     """
     width = reference.agg(F.max(F.length("seq")).alias("n")).first()["n"] or 1
-    near = variants.withColumn("_chunk", F.explode(F.sequence(F.floor(F.greatest(F.col("pos") - most, F.lit(0)) / width), F.floor(F.col("pos") / width))))
+    columns = variants.columns
+    rows = variants.withColumn("_row", F.monotonically_increasing_id())
+    near = rows.select("_row", "contig", F.explode(F.sequence(F.floor(F.greatest(F.col("pos") - most, F.lit(0)) / width), F.floor(F.col("pos") / width))).alias("_chunk"))
     parts = near.join(reference.select("contig", F.floor(F.col("start") / width).alias("_chunk"), F.col("start").alias("_s"), "seq"), ["contig", "_chunk"])
-    keys = [c for c in variants.columns]
-    lead = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_s", "seq"))).alias("_p"))
-    lead = lead.withColumn("_from", F.col("_p")[0]["_s"]).withColumn("_seq", F.array_join(F.transform("_p", lambda x: x["seq"]), ""))
+    lead = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_s", "seq"))).alias("_p"))
+    lead = lead.select("_row", F.col("_p")[0]["_s"].alias("_from"), F.array_join(F.transform("_p", lambda x: x["seq"]), "").alias("_seq"))
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [_shift(p, r, a, s, f, most) for p, r, a, s, f in zip(b["pos"], b["ref"], b["alt"], b["_seq"], b["_from"], strict=True)]
-            b = b[keys].copy()
-            b["pos"], b["ref"], b["alt"] = ([x[k] for x in rows] for k in range(3))
+            done = [_shift(p, r, a, s or "", p if f is None or f != f else int(f), most) for p, r, a, s, f in zip(b["pos"], b["ref"], b["alt"], b["_seq"], b["_from"], strict=True)]
+            b = b[columns].copy()
+            b["pos"], b["ref"], b["alt"] = ([x[k] for x in done] for k in range(3))
             yield b
 
-    return lead.mapInPandas(move, variants.schema)
+    return rows.join(lead, "_row", "left").drop("_row").mapInPandas(move, variants.schema)
 
 
 def _shift(pos: int, ref: str, alt: str, seq: str, start: int, most: int) -> tuple[int, str, str]:

@@ -86,27 +86,73 @@ def read_table(spark: SparkSession, path: str, schema: str, comment: str = "@")
     return spark.read.csv(path, sep="\t", header=True, comment=comment, schema=schema, mode="FAILFAST")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, start, seq) chunks, one a line: each file's lines keep their order by Spark's file position."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.length("value") > 0)
-    lines = F.split("value", "\r?\n")
-    seq = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "")
-    return raw.select(F.substring_index(F.regexp_extract(lines[0], "^(\\S+)", 1), " ", 1).alias("contig"), F.lit(0).cast("long").alias("start"), seq.alias("seq"))
+def read_fasta(spark: SparkSession, path: str, width: int = 100_000) -> DataFrame:
+    """(contig, start, seq) in chunks of at most ``width`` bases; a record is read whole by one task, headers may hold any sign."""
+    raw = spark.read.option("lineSep", "\n>").text(path).where(F.length("value") > 0)
+    record = F.regexp_replace("value", "^>", "")
+    name = F.regexp_extract(record, "^(\\S*)", 1)
+    seq = F.regexp_replace(F.regexp_replace(record, "^[^\n]*", ""), "\\s", "")
+    chunks = raw.select(name.alias("contig"), F.posexplode(F.regexp_extract_all(seq, F.lit(f"(.{{1,{width}}})"))).alias("_k", "seq"))
+    return chunks.select("contig", (F.col("_k").cast("long") * width).alias("start"), "seq")
 
 
-def vcf_lines(df: DataFrame) -> DataFrame:
-    """One text column, value: records without genotypes as VCF lines (1-based)."""
+def fasta_dictionary(reference: DataFrame) -> DataFrame:
+    """(name, length, md5 of the upper-case bases) of each contig of (contig, start, seq) chunks."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda x: x["seq"]), "")
+    return reference.groupBy(F.col("contig").alias("name")).agg(F.sum(F.length("seq")).alias("length"), F.md5(F.upper(whole).cast("binary")).alias("md5"))
+
+
+_FORMAT = ("gt", "gq", "dp", "ad", "pl", "ft")
+
+
+def _genotype_text(g: Column, fields: list[str]) -> Column:
+    """A sample's column, of the FORMAT keys ``fields``."""
+    number = lambda a: F.coalesce(a.cast("string"), F.lit("."))
+    parts = []
+    for f in fields:
+        if f == "gt":
+            parts.append(F.array_join(F.transform(g[f], lambda a: F.when(F.coalesce(a >= 0, F.lit(False)), a.cast("string")).otherwise(".")), "/"))
+        elif f in ("ad", "pl"):
+            parts.append(F.coalesce(F.array_join(F.transform(g[f], number), ","), F.lit(".")))
+        else:
+            parts.append(number(g[f]))
+    return F.concat_ws(":", *parts)
+
+
+def _vcf_value(df: DataFrame) -> Column:
     info = F.array_join(F.transform(F.array_sort(F.map_keys("info")), lambda k: F.when(F.size(F.col("info")[k]) > 0, F.concat(k, F.lit("="), F.array_join(F.col("info")[k], ","))).otherwise(k)), ";")
     dot = lambda c: F.when(c.isNull() | (c == ""), ".").otherwise(c)
-    return df.select(F.concat_ws("\t", F.col("contig").cast("string"), (F.col("pos") + 1).cast("string"), dot(F.col("id")), "ref", dot(F.array_join("alts", ",")), dot(F.col("qual").cast("string")), dot(F.array_join("filter", ";")), dot(info)).alias("value"))
+    columns = [F.col("contig").cast("string"), (F.col("pos") + 1).cast("string"), dot(F.col("id")), F.col("ref"), dot(F.array_join("alts", ",")), dot(F.col("qual").cast("string")), dot(F.array_join("filter", ";")), dot(info)]
+    if "genotypes" in df.columns:
+        there = df.schema["genotypes"].dataType.elementType.fieldNames()
+        fields = [f for f in _FORMAT if f in there]
+        columns += [F.lit(":".join(f.upper() for f in fields)), F.array_join(F.transform("genotypes", lambda g: _genotype_text(g, fields)), "\t")]
+    return F.concat_ws("\t", *columns)
+
+
+def vcf_lines(df: DataFrame) -> DataFrame:
+    """One text column, value: records as VCF lines (1-based), with a column for each genotype in their order, if there are any."""
+    return df.select(_vcf_value(df).alias("value"))
 
 
-def write_vcf(df: DataFrame, path: str, header: list[str] | None = None) -> None:
-    """Sorted by contig and position over range partitions; the header is a part of its own that sorts first."""
+def write_vcf(df: DataFrame, path: str, header: list[str] | None = None, samples: list[str] | None = None) -> None:
+    """One folder of text parts that make up a VCF in the order of their names: the header's lines lead the first part, then come
+    the records by contig (numbers as such) and position, over range partitions. samples: the genotypes' names, by default those
+    of the first row."""
     spark = df.sparkSession
-    head = ["##fileformat=VCFv4.2", *(header or []), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
-    spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.mode("overwrite").text(path + "/_header")
-    vcf_lines(df.repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos")).write.mode("overwrite").text(path + "/records")
+    fixed = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]
+    if "genotypes" in df.columns:
+        if samples is None:
+            first = df.select(F.transform("genotypes", lambda g: g["sample"]).alias("s")).first()
+            samples = list(first["s"]) if first else []
+        fixed += ["FORMAT", *samples]
+    head = ["##fileformat=VCFv4.2", *(header or []), "\t".join(fixed)]
+    top = spark.createDataFrame([(k, "", -1, x) for k, x in enumerate(head)], "_n int, _contig string, _pos long, value string")
+    contig = F.col("contig").cast("string")
+    place = F.when(contig.rlike("^[0-9]{1,9}$"), F.lpad(contig, 10, "0")).otherwise(contig)
+    rows = df.select(F.lit(len(head)).alias("_n"), place.alias("_contig"), F.col("pos").cast("long").alias("_pos"), _vcf_value(df).alias("value"))
+    order = ["_n", "_contig", "_pos"]
+    top.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

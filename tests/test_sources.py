@@ -1,6 +1,11 @@
 """Text formats."""
 
-from helixframe.sources import text
+import hashlib
+
+import pytest
+
+from helixframe.sources import report, text
+from helixframe.streaming import events
 
 
 def test_sam(spark, tmp_path):
@@ -18,9 +23,14 @@ def test_vcf_round_trip(spark, tmp_path):
     assert a["genotypes"][0]["gt"] == [0, 1] and a["genotypes"][0]["pl"] == [10, 0, 20, 30, 40, 50] and a["genotypes"][1]["gt"] == [-1, -1]
     assert b["alts"] == [] and b["qual"] is None and b["end"] == 30
     lines = sorted(r[0] for r in text.vcf_lines(df).collect())
-    assert lines[0] == "chr1\t10\trs1\tA\tC,T\t50.5\tPASS\tAF=0.1,0.2;DB;DP=7"
-    text.write_vcf(df, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out/records")).count() == 2
+    assert lines[0] == "chr1\t10\trs1\tA\tC,T\t50.5\tPASS\tAF=0.1,0.2;DB;DP=7\tGT:GQ:DP:AD:PL:FT\t0/1:.:.:3,4,0:10,0,20,30,40,50:.\t./.:.:.:.:.:."
+    text.write_vcf(df.repartition(3), str(tmp_path / "out"), ["##source=test"])
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    whole = "".join(p.read_text() for p in parts).splitlines()
+    assert whole[:3] == ["##fileformat=VCFv4.2", "##source=test", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2"] and [x.split("\t")[1] for x in whole[3:]] == ["10", "20"]
+    again = sorted(text.read_vcf(spark, str(tmp_path / "out")).collect(), key=lambda r: r["pos"])
+    assert [(r["pos"], r["alts"], r["info"], r["filter"]) for r in again] == [(r["pos"], r["alts"], r["info"], r["filter"]) for r in (a, b)]
+    assert [g["gt"] for r in again for g in r["genotypes"]] == [g["gt"] for r in (a, b) for g in r["genotypes"]] and again[0]["genotypes"][0]["pl"] == [10, 0, 20, 30, 40, 50]
 
 
 def test_intervals_and_gtf(spark, tmp_path):
@@ -34,5 +44,38 @@ def test_intervals_and_gtf(spark, tmp_path):
 
 
 def test_fasta(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">chr1 text\nACGT\nAC\n>chr2\nGG\n")
+    (tmp_path / "a.fa").write_text(">chr1 text a>b\nACGT\nAC\n>chr2\nGG\n")
     assert sorted(tuple(r) for r in text.read_fasta(spark, str(tmp_path / "a.fa")).collect()) == [("chr1", 0, "ACGTAC"), ("chr2", 0, "GG")]
+    chunks = text.read_fasta(spark, str(tmp_path / "a.fa"), width=4)
+    assert sorted(tuple(r) for r in chunks.collect()) == [("chr1", 0, "ACGT"), ("chr1", 4, "AC"), ("chr2", 0, "GG")]
+    assert {r["name"]: (r["length"], r["md5"]) for r in text.fasta_dictionary(chunks).collect()} == {"chr1": (6, hashlib.md5(b"ACGTAC").hexdigest()), "chr2": (2, hashlib.md5(b"GG").hexdigest())}
+    text.write_fasta(text.read_fasta(spark, str(tmp_path / "a.fa")), str(tmp_path / "out"), 3)
+    assert sorted(tuple(r) for r in text.read_fasta(spark, str(tmp_path / "out")).collect()) == [("chr1", 0, "ACGTAC"), ("chr2", 0, "GG")]
+
+
+def test_tables_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, name string")
+    text.write_table(df, str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in text.read_table(spark, str(tmp_path / "t"), "n int, name string").collect()) == [(1, "a"), (2, None)]
+
+
+def test_reports_round_trip(spark, tmp_path):
+    one = spark.createDataFrame([("x", 1.5, None), ("long name here", 2.0, "b")], "key string, value double, note string")
+    two = spark.createDataFrame([], "a int, b int")
+    report.write_report(spark, {"First": one, "Empty:1": two}, str(tmp_path / "r"))
+    rows = report.read_report(spark, str(tmp_path / "r")).collect()
+    assert [(r["table"], r["row"], r["cells"]) for r in sorted(rows, key=lambda r: r["row"])] == [("First", 0, {"key": "long name here", "value": "2.0", "note": "b"}), ("First", 1, {"key": "x", "value": "1.5", "note": "NA"})]
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        report.render({"First": one}, most_rows=1)
+
+
+def test_first_seen_as_a_stream(spark, tmp_path):
+    rows = [(k % 4, f"2024-01-01 00:{k:02d}:00") for k in range(12)]
+    spark.createDataFrame(rows, "event_id long, t string").selectExpr("event_id", "cast(t as timestamp) as ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    for name, df in (("seen", events.first_seen(stream)), ("sessions", events.session_islands(stream, "5 minutes", keys=("event_id",)))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(r["event_id"] for r in spark.table("seen").collect()) == [0, 1, 2, 3]
+    batch = events.session_islands(spark.read.parquet(str(tmp_path / "in")), "5 minutes", keys=("event_id",)).collect()
+    assert {tuple(r) for r in spark.table("sessions").collect()} <= {tuple(r) for r in batch} and {r["n"] for r in batch} == {3}
