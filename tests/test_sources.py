@@ -4,7 +4,9 @@ import hashlib
 
 import pytest
 
-from helixframe.sources import report, text
+from pyspark.sql import functions as F
+
+from helixframe.sources import regions, report, text
 from helixframe.streaming import events
 
 
@@ -79,3 +81,21 @@ def test_first_seen_as_a_stream(spark, tmp_path):
     assert sorted(r["event_id"] for r in spark.table("seen").collect()) == [0, 1, 2, 3]
     batch = events.session_islands(spark.read.parquet(str(tmp_path / "in")), "5 minutes", keys=("event_id",)).collect()
     assert {tuple(r) for r in spark.table("sessions").collect()} <= {tuple(r) for r in batch} and {r["n"] for r in batch} == {3}
+
+
+def test_region_scans_open_their_folders_only(spark, tmp_path):
+    rows = [(c, p, p + 30 + p % 50, f"{c}:{p}") for c in (1, 2, 3) for p in range(0, 5000, 7)]
+    df = spark.createDataFrame(rows, "contig int, pos long, end long, name string")
+    regions.write_by_place(df, str(tmp_path / "t"), width=500, end="end")
+    wanted = [(1, 600, 720), (1, 700, 750), (3, 0, 5), (2, 4990, 9000), (9, 0, 10)]
+    got = regions.read_regions(spark, str(tmp_path / "t"), wanted)
+    want = sorted(n for c, a, b, n in rows if any(c == k and a < y and b > x for k, x, y in wanted))
+    assert sorted(r["name"] for r in got.collect()) == want and got.columns == df.columns
+    files = {f.split("rows/")[1].rsplit("/", 1)[0] for f in got.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert files <= {"_contig=1/_bin=1", "_contig=3/_bin=0", "_contig=2/_bin=9"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_bin" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert regions.read_regions(spark, str(tmp_path / "t")).count() == len(rows)
+    assert regions.spanning_regions(df.where("contig = 2 and pos < 100"), 500) == [(2, 0, 99)]
+    with pytest.raises(ValueError, match="more than 2 bins"):
+        regions.spanning_regions(df, 500, most=2)
