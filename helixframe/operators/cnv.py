@@ -12,6 +12,24 @@ from pyspark.sql import functions as F
 from ..functions.numeric import quantile_n_plus_one
 
 
+def annotation_filter(intervals: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """Intervals whose annotations (gc_content, mappability, segmental_duplication, ...) lie within their bounds, ends included; a
+    missing annotation passes."""
+    kept = intervals
+    for name, (low, high) in bounds.items():
+        kept = kept.where(F.coalesce(F.col(name).between(low, high), F.lit(True)))
+    return kept
+
+
+def extreme_count_filter(counts: DataFrame, low: float = 1.0, high: float = 99.0, share: float = 90.0) -> DataFrame:
+    """Intervals (sample, interval, count) whose count is below the ``low`` or above the ``high`` percentile of its sample in at
+    most ``share`` percent of the samples: interval and bad_share."""
+    w = counts.groupBy("sample").agg(F.percentile("count", low / 100).alias("_low"), F.percentile("count", high / 100).alias("_high"))
+    bad = (F.col("count") < F.col("_low")) | (F.col("count") > F.col("_high"))
+    per = counts.join(w, "sample").groupBy("interval").agg((100.0 * F.count_if(bad) / F.count(F.lit(1))).alias("bad_share"))
+    return per.where(F.col("bad_share") <= share)
+
+
 def low_count_filter(counts: DataFrame, least: int = 5, percent: float = 90.0) -> DataFrame:
     """Intervals of (sample, interval, count) that at most ``percent`` of the samples see with fewer than ``least`` reads."""
     samples = counts.agg(F.countDistinct("sample").alias("_s"))

@@ -54,6 +54,16 @@ def hierarchical_delta(global_q: Column, group_q: Column, quality_q: Column, cov
     return reported + F.round(delta).cast("int")
 
 
+def delta_rows(before: DataFrame, after: DataFrame, keys: list[str], prior: str = "reported") -> DataFrame:
+    """Rows of two covariate tables side by side, with their empirical qualities and accuracy (empirical less ``prior``); a row that
+    one table lacks has nulls there."""
+    def named(df: DataFrame, suffix: str) -> DataFrame:
+        q = empirical_quality(F.col("observations"), F.col("mismatches").cast("double"), F.col(prior))
+        return df.select(*keys, F.col("observations").alias(f"observations_{suffix}"), q.alias(f"empirical_{suffix}"), (q - F.col(prior)).alias(f"accuracy_{suffix}"))
+
+    return named(before, "before").join(named(after, "after"), keys, "full_outer")
+
+
 def apply_deltas(quals: Column, deltas: Column) -> Column:
     """Arrays of qualities plus deltas, each within 1..93."""
     return F.zip_with(quals, deltas, lambda q, d: F.greatest(F.lit(1), F.least(F.lit(93), q + d)))

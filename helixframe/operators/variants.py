@@ -71,12 +71,16 @@ def clustered(df: DataFrame, size: int, window: int, pos: str = "pos", tie: str
     return flagged.withColumn("in_cluster", F.max("_c").over(w.rowsBetween(-(size - 1), 0)) == 1).drop("_c")
 
 
-def split_multiallelic(df: DataFrame, per_alt: tuple[str, ...] = ()) -> DataFrame:
-    """One row per alternate; arrays of one value per alternate are taken apart with it."""
+def split_multiallelic(df: DataFrame, per_alt: tuple[str, ...] = (), per_allele: tuple[str, ...] = (), per_genotype: tuple[str, ...] = ()) -> DataFrame:
+    """One row per alternate, with the values of array columns that belong to it: its own of those with one per alternate, the
+    reference's and its own of those with one per allele, and those of 0/0, 0/k and k/k of those with one per diploid genotype."""
     out = df.drop("alt_index", "alt").select("*", F.posexplode("alts").alias("alt_index", "alt"))
-    for c in per_alt:
-        out = out.withColumn(c, F.get(F.col(c), F.col("alt_index")))
-    return out
+    k = F.col("alt_index") + 1
+    made = {c: F.get(F.col(c), F.col("alt_index")) for c in per_alt}
+    made |= {c: F.array(F.get(F.col(c), F.lit(0)), F.get(F.col(c), k)) for c in per_allele}
+    het = (k * (k + 1) / 2).cast("int")
+    made |= {c: F.array(F.get(F.col(c), F.lit(0)), F.get(F.col(c), het), F.get(F.col(c), het + k)) for c in per_genotype}
+    return out.withColumns(made) if made else out
 
 
 def minimal_alleles(pos: Column, ref: Column, alt: Column) -> Column:
@@ -203,12 +207,26 @@ def genotype_labels(genotypes: Column, rules: dict[str, object], no_call: bool =
     return F.transform(genotypes, mark)
 
 
-def drop_unused_alternates(df: DataFrame) -> DataFrame:
-    """Rows (alts, gts: arrays of alleles) without the alternates nobody calls; allele numbers are renumbered."""
+def _picked(places: Column, at, column: str) -> Column:
+    """The values of an array column at places; at maps a place to an index."""
+    return F.transform(places, lambda k: F.get(F.col(column), at(k)))
+
+
+def drop_unused_alternates(df: DataFrame, per_alt: tuple[str, ...] = (), per_allele: tuple[str, ...] = (), per_genotype: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (alts, gts: arrays of alleles) without the alternates nobody calls; allele numbers are renumbered, and array columns
+    with a value per alternate, per allele or per diploid genotype keep those of the alleles that stay."""
     used = F.filter(F.sequence(F.lit(1), F.greatest(F.size("alts"), F.lit(1))), lambda k: F.exists(F.flatten("gts"), lambda a: a == k))
     kept = df.withColumn("_u", used)
+    alleles = F.concat(F.array(F.lit(0)), F.col("_u"))
     gts = F.transform("gts", lambda g: F.transform(g, lambda a: F.when(a > 0, F.array_position(F.col("_u"), a).cast("int")).otherwise(a)))
-    return kept.withColumn("gts", gts).withColumn("alts", F.transform("_u", lambda k: F.get(F.col("alts"), k - 1))).drop("_u")
+    made = {"gts": gts, "alts": F.transform("_u", lambda k: F.get(F.col("alts"), k - 1))}
+    made |= {c: _picked(F.col("_u"), lambda k: k - 1, c) for c in per_alt}
+    made |= {c: _picked(alleles, lambda k: k, c) for c in per_allele}
+    # Kept alleles are in order, so i <= j holds for the old numbers too.
+    place = lambda i, j: (j * (j + 1) / 2).cast("int") + i
+    pairs = F.flatten(F.transform(alleles, lambda j: F.transform(F.filter(alleles, lambda i: i <= j), lambda i: place(i, j))))
+    made |= {c: _picked(pairs, lambda k: k, c) for c in per_genotype}
+    return kept.withColumns(made).drop("_u")
 
 
 def top_alternates(alleles: DataFrame, most: int, site: list[str], score: str = "score", index: str = "alt_index") -> DataFrame:

@@ -217,7 +217,59 @@ def smoothed_segments(spark, d):
     return cnv.smooth(s.drop("part"))
 
 
+def _text(c):
+    return F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("."))), ",")
+
+
+def split_fields(spark, d):
+    size = F.col("size")
+    v = E.variants(spark, d).withColumn("alts", F.array("alt", F.lit("<DEL>"))).withColumn("af_", F.array(size, size + 1)).withColumn("ad", F.array(size, size * 2, size * 3)).withColumn("pl", F.array(*[size * k for k in range(6)]))
+    out = V.split_multiallelic(v, ("af_",), ("ad",), ("pl",))
+    return out.select("id", "alt_index", F.col("af_").alias("a"), _text("ad").alias("r"), _text("pl").alias("g"))
+
+
+def compacted_alternates(spark, d):
+    size = F.col("size")
+    v = E.variants(spark, d).select("id", F.array("alt", F.lit("<A>"), F.lit("<B>")).alias("alts"), F.array(F.array(F.lit(0), F.when(size % 2 == 0, 3).otherwise(0)), F.array(F.lit(-1), F.when(size % 3 == 0, 1).otherwise(3))).alias("gts"),
+                                     F.array(size, size + 1, size + 2).alias("a"), F.array(size, size + 1, size + 2, size + 3).alias("r"), F.array(*[size * 100 + k for k in range(10)]).alias("g"))
+    out = V.drop_unused_alternates(v, ("a",), ("r",), ("g",))
+    return out.select("id", _text("alts").alias("alts"), _text(F.flatten("gts")).alias("gts"), _text("a").alias("a"), _text("r").alias("r"), _text("g").alias("g"))
+
+
+COMPACT_SQL = f"""{W}, k as (select *, size % 3 = 0 as one, size % 2 = 0 or size % 3 <> 0 as three from variants)
+ select id, array_to_string(list_concat(case when one then [alt] else [] end, case when three then ['<B>'] else [] end), ',') as alts, concat_ws(',', 0, case when size % 2 = 0 then case when one then 2 else 1 end else 0 end, -1, case when one then 1 else 1 end) as gts,
+ array_to_string(list_concat(case when one then [size] else [] end, case when three then [size + 2] else [] end), ',') as a, array_to_string(list_concat([size], case when one then [size + 1] else [] end, case when three then [size + 3] else [] end), ',') as r,
+ array_to_string(list_transform(case when one and three then [0, 1, 2, 6, 7, 9] when one then [0, 1, 2] else [0, 6, 9] end, lambda x: size * 100 + x), ',') as g from k"""
+
+
+def recal_deltas(spark, d):
+    c = reads._covariates(spark, d)
+    a, b = (recal.covariate_table(c.where(x), ["library", "reported"]) for x in ("cycle % 2 = 0 and reported > 8", "cycle % 2 = 1"))
+    return recal.delta_rows(a, b, ["library", "reported"])
+
+
+def _deltas_sql() -> str:
+    def side(name: str, cond: str) -> str:
+        return f"""{name} as (select library, reported, n, cast(arg_max(q, struct_pack(z := z, m := -q)) as int) as q from (select library, reported, n, q, -0.5 * pow(least(abs(q - reported), 40) / 0.5, 2) + (mm + 1) * ln(pow(10, -q / 10.0)) + (n + 1 - mm) * case when q > 0 then ln(1 - pow(10, -q / 10.0)) else -1e300 end as z
+ from (select library, reported, count(*) as n, sum(mismatch::int) as mm from cov where {cond} group by all), (select unnest(range(61)) as q)) group by all)"""
+    return f"""{R}, {COV}, {side("a", "cycle % 2 = 0 and reported > 8")}, {side("b", "cycle % 2 = 1")} select library, reported, a.n as observations_before, a.q as empirical_before, a.q - reported as accuracy_before, b.n as observations_after, b.q as empirical_after, b.q - reported as accuracy_after from a full join b using (library, reported)"""
+
+
+def interval_filters(spark, d):
+    t = E.targets(spark, d).withColumn("gc_content", F.col("start") % 97 / 97.0).withColumn("mappability", F.when(F.col("end") % 5 > 0, F.col("end") % 13 / 13.0))
+    return cnv.annotation_filter(t, {"gc_content": (0.1, 0.9), "mappability": (0.3, 1.0)}).select("contig", "start", "end")
+
+
+def extreme_counts(spark, d):
+    return cnv.extreme_count_filter(E.counts(spark, d), 10.0, 90.0, 20.0).select("interval", F.round("bad_share", 6).alias("bad_share"))
+
+
 QUERIES = {
+    "split_fields": (split_fields, f"{W} select id, 0 as alt_index, size as a, size || ',' || (size * 2) as r, concat_ws(',', 0, size, size * 2) as g from variants union all select id, 1, size + 1, size || ',' || (size * 3), concat_ws(',', 0, size * 3, size * 5) from variants"),
+    "compacted_alternates": (compacted_alternates, COMPACT_SQL),
+    "recal_deltas": (recal_deltas, _deltas_sql()),
+    "interval_filters": (interval_filters, f"""with {E.SQL_TARGETS} select contig, start, "end" from targets where start % 97 / 97.0 between 0.1 and 0.9 and ("end" % 5 = 0 or "end" % 13 / 13.0 between 0.3 and 1.0)"""),
+    "extreme_counts": (extreme_counts, f"""with {E.SQL_COUNTS}, p as (select sample, quantile_cont(count, 0.1) as lo, quantile_cont(count, 0.9) as hi from counts group by 1), b as (select interval, round(100.0 * count(*) filter (count < lo or count > hi) / count(*), 6) as bad_share from counts join p using (sample) group by 1) select * from b where bad_share <= 20"""),
     "read_filters_all": (read_filters_all, _filters_sql()),
     "hard_filters": (hard_filters, HARD_SQL),
     "dictionary_relations": (dictionary_relations, "select unnest(['equal', 'subset', 'superset', 'overlapping', 'disjoint', 'conflicting']) as relation, unnest(['equal', 'subset', 'superset', 'overlapping', 'disjoint', 'conflicting']) as pair"),

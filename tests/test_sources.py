@@ -1,6 +1,7 @@
 """Text formats."""
 
 import hashlib
+import time
 
 import pytest
 
@@ -99,3 +100,25 @@ def test_region_scans_open_their_folders_only(spark, tmp_path):
     assert regions.spanning_regions(df.where("contig = 2 and pos < 100"), 500) == [(2, 0, 99)]
     with pytest.raises(ValueError, match="more than 2 bins"):
         regions.spanning_regions(df, 500, most=2)
+
+
+def test_stitched_blocks_as_a_stream(spark, tmp_path):
+    """Files of blocks over two runs of a query, the second going on where the first ends: open blocks are its state, and come out
+    once their keys are idle."""
+    schema = "key string, start long, end long, band int, gq int"
+    add = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = events.stitched_blocks(stream, "1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start()
+        done = q.awaitTermination(60)
+        q.stop()
+        assert done
+
+    add(("a", 0, 10, 1, 9), ("a", 10, 20, 1, 7), ("b", 5, 6, 2, 3), ("a", 20, 30, 1, 8), ("a", 30, 40, 2, 5), ("b", 9, 12, 2, 4))
+    run()
+    time.sleep(2)
+    add(("c", 0, 1, 0, 0))
+    run()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("key <> 'c'").collect())
+    assert got == [("a", 0, 30, 1, 7, 3), ("a", 30, 40, 2, 5, 1), ("b", 5, 6, 2, 3, 1), ("b", 9, 12, 2, 4, 1)]
