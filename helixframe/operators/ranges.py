@@ -62,9 +62,10 @@ def intersect(a: DataFrame, b: DataFrame, width: int = 1000) -> DataFrame:
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Parts of the union of ``a`` that no interval of ``b`` covers: one sweep over the ends of both."""
+    """Parts of the union of ``a`` that no interval of ``b`` covers: one sweep over the ends of both, which counts how many of
+    each are open; what is left is joined where it touches."""
     ends = None
-    for df, name in ((merge(a), "in_a"), (merge(b), "in_b")):
+    for df, name in ((a.where("start < end"), "in_a"), (b.where("start < end"), "in_b")):
         for col, step in (("start", 1), ("end", -1)):
             part = df.select("contig", F.col(col).alias("at"), F.lit(step if name == "in_a" else 0).alias("a"), F.lit(step if name == "in_b" else 0).alias("b"))
             ends = part if ends is None else ends.union(part)

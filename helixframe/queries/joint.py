@@ -99,7 +99,7 @@ def genotype_priors(spark, d):
     return v.select("id", *[F.round(F.get(p, F.lit(k)), 9).alias(f"g{k}") for k in range(6)])
 
 
-PRIORS_SQL = f"{W} select id, 0.0 as g0, round(-size / 10.0, 9) as g1, round(-size / 5.0, 9) as g2, round(-size / 7.0, 9) as g3, round(-size / 10.0 - size / 7.0, 9) as g4, round(-size / 4.0, 9) as g5 from variants"
+PRIORS_SQL = f"{W} select id, 0.0::double as g0, round(-size / 10.0, 9) as g1, round(-size / 5.0, 9) as g2, round(-size / 7.0, 9) as g3, round(-size / 10.0 - size / 7.0, 9) as g4, round(-size / 4.0, 9) as g5 from variants"
 
 
 def joint_pl(spark, d):
@@ -320,7 +320,7 @@ QUERIES = {
     "stratified_novelty": (stratified_novelty, NOVEL_SQL),
     "distinct_fragments": (distinct_fragments, f"{R} select contig, cast(floor(pos / 500) as bigint) as pos, count(distinct name) as fragments from reads where mapq between 10 and 50 group by all"),
     "mate_five_prime": (mate_five_prime, MATE_SQL),
-    "sort_duplicates": (sort_duplicates, f"{R} select rid, row_number() over (partition by library, contig order by pos, flag & 16 > 0, mate_contig, mate_pos, rid) as place from reads"),
+    "sort_duplicates": (sort_duplicates, f"{R} select rid, cast(row_number() over (partition by library, contig order by pos, flag & 16 > 0, mate_contig, mate_pos, rid) as int) as place from reads"),
     "interval_exact_join": (interval_exact_join, f"""with {E.SQL_TARGETS} select contig, start, "end", "end" % 11 as gc, start % 97 as count from targets where contig < 20"""),
     "separate_contigs": (separate_contigs, SEPARATE_SQL),
     "reads_with_tail": (reads_with_tail, TAIL_SQL),
