@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,10 +58,15 @@ def quantile_n_plus_one(sorted_values: Column, percent: float) -> Column:
     return F.when(n > 0, value)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where ``value`` is computed once a row however often f names it: what a lambda's body repeats is computed as often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def log10_sum(logs: Column) -> Column:
     """log10 of the sum of powers of ten, for an array of logs."""
-    top = F.array_max(logs)
-    return top + F.log10(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x - top)))
+    total = lambda x, top: top + F.log10(F.aggregate(x, F.lit(0.0), lambda s, y: s + F.pow(F.lit(10.0), y - top)))
+    return let(logs, lambda x: let(F.array_max(x), lambda top: total(x, top)))
 
 
 #: Log factorials for small counts; larger ones by Stirling's series.

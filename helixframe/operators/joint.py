@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import log10_sum
+from ..functions.numeric import let, log10_sum
 from .ranges import point_join
 
 
@@ -57,23 +57,33 @@ def call_confidence(pl: Column, ref_pseudocount: Column, alt_pseudocount: Column
     allele counts, until these change by at most 0.1. 0 and null for negative PLs."""
     half = F.log10(F.lit(0.5))
 
-    def posteriors(ref: Column, alt: Column) -> Column:
+    def posteriors(pl: Column, ref: Column, alt: Column) -> Column:
         z = F.array(F.get(pl, F.lit(0)) * -0.1 + 2.0 * ref, F.log10(F.lit(2.0)) + F.get(pl, F.lit(1)) * -0.1 + ref + alt, F.get(pl, F.lit(2)) * -0.1 + 2.0 * alt)
-        return F.transform(z, lambda x: x - log10_sum(z))
+        return let(z, lambda z: let(log10_sum(z), lambda total: F.transform(z, lambda x: x - total)))
 
-    def step(s: Column, _: Column) -> Column:
-        p = F.transform(posteriors(s["ref"], s["alt"]), lambda x: F.pow(F.lit(10.0), x))
-        refs, alts = 2.0 * F.get(p, F.lit(0)) + F.get(p, F.lit(1)), F.get(p, F.lit(1)) + 2.0 * F.get(p, F.lit(2))
-        total = ref_pseudocount + alt_pseudocount + refs + alts
-        new = F.struct(
-            F.log10((ref_pseudocount + refs) / total).alias("ref"), F.log10((alt_pseudocount + alts) / total).alias("alt"), refs.alias("refs"), alts.alias("alts"),
-            (F.greatest(F.abs(refs - s["refs"]), F.abs(alts - s["alts"])) > 0.1).alias("on"))
-        return F.when(s["on"], new).otherwise(s)
+    def counts(p: Column) -> Column:
+        return F.struct((2.0 * F.get(p, F.lit(0)) + F.get(p, F.lit(1))).alias("refs"), (F.get(p, F.lit(1)) + 2.0 * F.get(p, F.lit(2))).alias("alts"))
+
+    def moved(s: Column, n: Column) -> Column:
+        total = ref_pseudocount + alt_pseudocount + n["refs"] + n["alts"]
+        return F.struct(
+            F.log10((ref_pseudocount + n["refs"]) / total).alias("ref"), F.log10((alt_pseudocount + n["alts"]) / total).alias("alt"), n["refs"].alias("refs"), n["alts"].alias("alts"),
+            (F.greatest(F.abs(n["refs"] - s["refs"]), F.abs(n["alts"] - s["alts"])) > 0.1).alias("on"))
+
+    def step(pl: Column, s: Column) -> Column:
+        p = F.transform(posteriors(pl, s["ref"], s["alt"]), lambda x: F.pow(F.lit(10.0), x))
+        return F.when(s["on"], let(let(p, counts), lambda n: moved(s, n))).otherwise(s)
 
     start = F.struct(half.alias("ref"), half.alias("alt"), F.lit(0.0).alias("refs"), F.lit(0.0).alias("alts"), F.lit(True).alias("on"))
-    absent = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: F.get(posteriors(s["ref"], s["alt"]), F.lit(0)))
-    ok = F.forall(pl, lambda x: x >= 0)
-    return F.struct(F.when(ok, F.greatest(F.lit(0.0), -10.0 * absent)).otherwise(0.0).alias("qual"), F.when(ok, F.least(absent, F.lit(0.0))).alias("log10_p_absent"))
+
+    def absent(pl: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda s, _: step(pl, s), lambda s: F.get(posteriors(pl, s["ref"], s["alt"]), F.lit(0)))
+
+    def call(pl: Column) -> Column:
+        ok = F.forall(pl, lambda x: x >= 0)
+        return let(F.when(ok, absent(pl)), lambda x: F.struct(F.when(ok, F.greatest(F.lit(0.0), -10.0 * x)).otherwise(0.0).alias("qual"), F.when(ok, F.least(x, F.lit(0.0))).alias("log10_p_absent")))
+
+    return let(pl, call)
 
 
 def carry_blocks(variants: DataFrame, blocks: DataFrame, fields: list[str]) -> DataFrame:
