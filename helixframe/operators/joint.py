@@ -27,16 +27,18 @@ def joint_pl(likelihoods: Column, most: int = 0) -> Column:
     Reads without a finite value for every allele are left out; most > 0 bounds the PLs.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    reads = F.filter(likelihoods, lambda r: F.forall(r, finite))
-    n = F.size(F.get(likelihoods, F.lit(0)))
+    pair = lambda x, y: F.greatest(x, y) + F.log10(1.0 + F.pow(F.lit(10.0), -F.abs(x - y))) - F.log10(F.lit(2.0))
 
-    def score(i: Column, j: Column) -> Column:
-        pair = lambda r: F.greatest(F.get(r, i), F.get(r, j)) + F.log10(1.0 + F.pow(F.lit(10.0), -F.abs(F.get(r, i) - F.get(r, j)))) - F.log10(F.lit(2.0))
-        return F.aggregate(reads, F.lit(0.0), lambda s, r: s + F.when(i == j, F.get(r, i)).otherwise(pair(r)))
+    def scores(given: Column, reads: Column) -> Column:
+        score = lambda i, j: F.aggregate(reads, F.lit(0.0), lambda s, r: s + F.when(i == j, F.get(r, i)).otherwise(pair(F.get(r, i), F.get(r, j))))
+        return _diploid(F.size(F.get(given, F.lit(0))), score)
 
-    scores = _diploid(n, score)
-    phred = F.transform(scores, lambda x: F.floor(-10.0 * (x - F.array_max(scores)) + 0.5).cast("int"))
-    return F.transform(phred, lambda x: F.least(x, F.lit(most))) if most > 0 else phred
+    def phred(scores: Column, top: Column) -> Column:
+        x = F.transform(scores, lambda x: F.floor(-10.0 * (x - top) + 0.5).cast("int"))
+        return F.transform(x, lambda x: F.least(x, F.lit(most))) if most > 0 else x
+
+    scored = let(likelihoods, lambda given: let(F.filter(given, lambda r: F.forall(r, finite)), lambda reads: scores(given, reads)))
+    return let(scored, lambda s: let(F.array_max(s), lambda top: phred(s, top)))
 
 
 def log10_reference(pl: Column, log10_priors: Column) -> Column:

@@ -17,3 +17,10 @@ def test_call_confidence_computes_a_step_once(spark):
     c = v.select(joint.call_confidence(F.col("pl"), F.lit(10.0), F.lit(0.01)).alias("c")).select("c.qual", "c.log10_p_absent")
     assert _computed(c, "POWER(") <= 6
     assert all(r.qual >= 0 for r in c.collect())
+
+
+def test_joint_pl_computes_scores_once(spark):
+    reads = F.array(*[F.array(*[-(F.col("id") * (r + 1) % 7 + a) / 10.0 for a in range(3)]) for r in range(2)])
+    df = spark.range(50).select(joint.joint_pl(reads, 99).alias("pl"))
+    assert _computed(df, "LOG10(") == 1
+    assert all(min(r.pl) == 0 for r in df.collect())
