@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import joint
+from helixframe.operators import joint, kernels
 
 
 def _computed(df, name):
@@ -24,3 +24,16 @@ def test_joint_pl_computes_scores_once(spark):
     df = spark.range(50).select(joint.joint_pl(reads, 99).alias("pl"))
     assert _computed(df, "LOG10(") == 1
     assert all(min(r.pl) == 0 for r in df.collect())
+
+
+def test_score_matrix_scores_different_texts_once(spark):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choices("ACGT", k=n))
+    forms = [(text(12), [30 - k] * 12, text(20)) for k in range(3)]
+    reads = [(k % 2, k, *forms[k % 3][:2]) for k in range(60)] + [(1, 1, *forms[1][:2])]
+    haps = [(k % 2, k, forms[k % 3][2]) for k in range(24)]
+    df = kernels.score_matrix(spark.createDataFrame(reads, "region int, read_id int, read string, quals array<int>"), spark.createDataFrame(haps, "region int, hap_id int, hap string"))
+    got = sorted((x.region, x.read_id, x.hap_id, round(x.log10_likelihood, 9)) for x in df.collect())
+    assert got == sorted((g, i, j, round(kernels.pair_hmm(s, q, h), 9)) for g, i, s, q in reads for e, j, h in haps if g == e)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")
+    assert len(plan) == 2 and "Aggregate [read" in plan[1].split("\n")[1]  # scored: distinct texts
