@@ -30,17 +30,17 @@ def merge_blocks(blocks: DataFrame, keys: tuple[str, ...] = ("sample", "contig")
 
 def split_at_variants(blocks: DataFrame, variants: DataFrame, keys: tuple[str, ...] = ("contig",)) -> DataFrame:
     """What variants' spans leave of each block: dropped, shortened or cut in two. Spans come as (contig, start, end)."""
-    rows = blocks.withColumn("_b", F.monotonically_increasing_id())
-    hits = overlap_join(rows.select("contig", "start", "end", "_b"), variants.select("contig", "start", "end"))
-    cuts = hits.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct(F.col("start_r").alias("s"), F.col("end_r").alias("e")))).alias("_c"))
-    joined = rows.join(cuts, "_b", "left")
-    walk = F.aggregate(
-        F.coalesce("_c", F.array().cast("array<struct<s:bigint,e:bigint>>")),
-        F.struct(F.col("start").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out")),
-        lambda s, c: F.struct(F.greatest(s["at"], c["e"]).alias("at"), F.when(c["s"] > s["at"], F.concat(s["out"], F.array(F.struct(s["at"].alias("s"), c["s"].alias("e"))))).otherwise(s["out"]).alias("out")),
-        lambda s: F.when(s["at"] < F.col("end"), F.concat(s["out"], F.array(F.struct(s["at"].alias("s"), F.col("end").alias("e"))))).otherwise(s["out"]))
-    cut = joined.withColumn("_p", F.explode(walk))
-    return cut.select(*[c for c in blocks.columns if c not in ("start", "end")], F.col("_p.s").alias("start"), F.col("_p.e").alias("end"))
+    span = ["contig", "start", "end"]
+    full = blocks.where("start < end")
+    # What is left depends on a block's span only, so that a block needs no number (which a second reading could deal otherwise).
+    of = full.where("contig is not null").select(*span).distinct()
+    hits = overlap_join(of, variants.select(*span).distinct())
+    cuts = of.select(*span, F.col("start").alias("_s"), F.col("start").alias("_e")).union(hits.select(*span, F.greatest("start_r", "start"), "end_r"))
+    swept = scanned(cuts, span, ["_s", "_e"], maxima=["_e"], leads=["_s"])
+    left = swept.select(*span, F.greatest("_e", "max__e").alias("_from"), F.coalesce("lead__s", "end").alias("_to")).where("_from < _to")
+    rest = [c for c in blocks.columns if c not in ("start", "end")]
+    pieces = full.join(left, span).select(*rest, F.col("_from").alias("start"), F.col("_to").alias("end"))
+    return pieces.unionByName(full.where("contig is null").select(*rest, "start", "end"))
 
 
 def combine(samples: DataFrame) -> DataFrame:

@@ -114,10 +114,10 @@ def apply_scores(variants: DataFrame, scores: DataFrame, by_allele: bool = False
     if not by_allele:
         site = scores.groupBy("contig", "pos").agg(F.max_by(F.struct(*given), F.struct("score", "ref", "alt")).alias("_s"))
         return variants.join(site, ["contig", "pos"], "left").select(*variants.columns, *[F.col("_s")[x].alias(x) for x in given])
-    rows = variants.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", "contig", "pos", "ref", F.explode("alts").alias("alt")).join(scores, ["contig", "pos", "ref", "alt"])
-    best = each.groupBy("_row").agg(F.max_by(F.struct(*given), F.struct("score", "alt")).alias("_s"))
-    return rows.join(best, "_row", "left").select(*variants.columns, *[F.col("_s")[x].alias(x) for x in given])
+    site = ["contig", "pos", "ref", "alts"]
+    each = variants.select(*site).distinct().select(*site, F.explode("alts").alias("alt")).join(scores, ["contig", "pos", "ref", "alt"])
+    best = each.groupBy(*site).agg(F.max_by(F.struct(*given), F.struct("score", "alt")).alias("_s"))
+    return variants.join(best, site, "left").select(*variants.columns, *[F.col("_s")[x].alias(x) for x in given])
 
 
 def best_and_second(likelihoods: DataFrame, read: str = "read_id", value: str = "log10_likelihood") -> DataFrame:

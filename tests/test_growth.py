@@ -1,10 +1,14 @@
 """Work and results that must not change with a table's size or with the order of its rows."""
 
 import random
+import time
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from helixframe.operators import joint, kernels
+from helixframe.operators import gvcf, joint, kernels, ranges
 
 
 def _computed(df, name):
@@ -37,3 +41,43 @@ def test_score_matrix_scores_different_texts_once(spark):
     assert got == sorted((g, i, j, round(kernels.pair_hmm(s, q, h), 9)) for g, i, s, q in reads for e, j, h in haps if g == e)
     plan = df._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")
     assert len(plan) == 2 and "Aggregate [read" in plan[1].split("\n")[1]  # scored: distinct texts
+
+
+def _restless(df):
+    """``df``, its rows in another order at each reading, as after a shuffle over a network."""
+    def mixed(batches):
+        rows = pd.concat(list(batches))
+        yield rows.iloc[np.random.default_rng(time.time_ns()).permutation(len(rows))]
+
+    return df.coalesce(1).mapInPandas(mixed, df.schema)
+
+
+def test_block_split_of_rows_in_any_order(spark):
+    r = random.Random(3)
+    blocks = [(k % 3, 100 * k, 100 * k + r.randrange(40, 99), f"b{k}" if k % 4 else None) for k in range(120)]
+    blocks += [(0, 500, 900, "long"), (0, 500, 900, "long"), (None, 1, 5, "x"), (1, 50, 50, "empty")]
+    cuts = [(r.randrange(3), s := r.randrange(12000), s + r.randrange(0, 60)) for _ in range(200)]
+    a, b = spark.createDataFrame(blocks, "contig int, start long, end long, name string"), spark.createDataFrame(cuts, "contig int, start long, end long")
+    want = []
+    for c, s, e, name in blocks:
+        at = s
+        for _, x, y in sorted(k for k in cuts if k[0] == c and k[1] < e and k[2] > s):
+            want += [(c, name, at, x)] if x > at else []
+            at = max(at, y)
+        want += [(c, name, at, e)] if at < e else []
+    got = gvcf.split_at_variants(_restless(a), b)
+    assert got.columns == ["contig", "name", "start", "end"]
+    assert sorted(map(str, got.collect())) == sorted(str(Row(contig=c, name=n, start=s, end=e)) for c, n, s, e in want)
+
+
+def test_overlap_and_scores_of_rows_in_any_order(spark):
+    a = spark.range(400).selectExpr("cast(id % 2 as int) as contig", "id * 10 as start", "id * 10 + 5 as end", "id")
+    b = spark.range(50).selectExpr("cast(id % 2 as int) as contig", "id * 77 as start", "id * 77 + 9 as end")
+    hit = {i for i in range(400) if any(i % 2 == j % 2 and i * 10 < j * 77 + 9 and j * 77 < i * 10 + 5 for j in range(50))}
+    for how, want in (("left_semi", hit), ("left_anti", set(range(400)) - hit)):
+        got = ranges.overlap_join(_restless(a), b, how=how)
+        assert got.columns == a.columns and sorted(x.id for x in got.collect()) == sorted(want)
+    v = spark.range(300).selectExpr("1 as contig", "id as pos", "'A' as ref", "array('C', 'G') as alts")
+    s = spark.range(0, 300, 3).selectExpr("1 as contig", "id as pos", "'A' as ref", "'G' as alt", "id / 7 as score", "'q' as culprit", "true as positive", "false as negative")
+    got = joint.apply_scores(_restless(v), s, True).collect()
+    assert sorted((x.pos, x.score) for x in got if x.score is not None) == [(k, k / 7) for k in range(0, 300, 3)] and len(got) == 300
