@@ -27,7 +27,7 @@ def issues(variants: DataFrame, reference: DataFrame | None = None, known_ids: D
     if "gts" in variants.columns:
         add("unused_alternate", variants.where(F.size(unused_alternates(F.col("alts"), F.col("gts"))) > 0))
     if "ord" in variants.columns:
-        w = Window.partitionBy("contig").orderBy("ord")
+        w = Window.partitionBy("contig").orderBy("ord", "pos")  # rows of one ord are in no order, so none of them breaks it
         add("unsorted", variants.withColumn("_p", F.lag("pos").over(w)).where("_p > pos").drop("_p"))
     return reduce(DataFrame.unionByName, out)
 

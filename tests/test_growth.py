@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from helixframe.operators import gvcf, joint, kernels, ranges
+from helixframe.operators import gvcf, joint, kernels, ranges, validate
 
 
 def _computed(df, name):
@@ -81,3 +81,11 @@ def test_overlap_and_scores_of_rows_in_any_order(spark):
     s = spark.range(0, 300, 3).selectExpr("1 as contig", "id as pos", "'A' as ref", "'G' as alt", "id / 7 as score", "'q' as culprit", "true as positive", "false as negative")
     got = joint.apply_scores(_restless(v), s, True).collect()
     assert sorted((x.pos, x.score) for x in got if x.score is not None) == [(k, k / 7) for k in range(0, 300, 3)] and len(got) == 300
+
+
+def test_unsorted_is_no_matter_of_ties(spark):
+    rows = [(0, p, o, ["A"]) for o in range(40) for p in (9, 3, 7)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "contig int, pos int, ord int, alts array<string>").withColumn("id", F.col("pos"))
+        got = validate.issues(df).where("rule = 'unsorted'").collect()
+        assert [x.pos for x in got] == [3] * 39
