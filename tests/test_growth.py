@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from helixframe.operators import gvcf, joint, kernels, ranges, validate
+from helixframe.operators import gvcf, joint, kernels, ranges, readfilters, validate
+from helixframe.queries import reads
 
 
 def _computed(df, name):
@@ -89,3 +90,24 @@ def test_unsorted_is_no_matter_of_ties(spark):
         df = spark.createDataFrame(order, "contig int, pos int, ord int, alts array<string>").withColumn("id", F.col("pos"))
         got = validate.issues(df).where("rule = 'unsorted'").collect()
         assert [x.pos for x in got] == [3] * 39
+
+
+def test_depth_reads_its_input_once(spark, sf):
+    df = reads.depth_of_coverage(spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan parquet") == 1 and plan.count("ReusedExchange") == 1
+
+
+def test_clear_bits_are_tested_at_once(spark):
+    names = [*readfilters.COUNTING, "NotSecondary", "ForwardStrand"]
+    rows = [(f, c, p, 60) for f in (None, 0, 1, 4, 16, 256, 512, 1024, 2048, 99) for c in (None, -1, 0) for p in (None, -1, 5)]
+    df = spark.createDataFrame(rows, "flag int, contig int, pos int, mapq int")
+    each = [F.coalesce(readfilters.FILTERS[n](), F.lit(False)) for n in names]
+    for inverted in ([], ["Paired"], ["Mapped"]):
+        keep = F.lit(True)
+        for x in [*each, *[~F.coalesce(readfilters.FILTERS[n](), F.lit(False)) for n in inverted]]:
+            keep = keep & x
+        assert sorted(map(str, df.where(readfilters.chain(names, inverted)).collect())) == sorted(map(str, df.where(keep).collect()))
+    given = df.select(F.hash("flag").alias("flag"), "contig", "pos", "mapq").where(readfilters.chain(readfilters.COUNTING))
+    assert _computed(given, "HASH(") <= 3
