@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from helixframe.operators import gvcf, joint, kernels, ranges, readfilters, validate
+from helixframe.operators import gvcf, joint, kernels, pileup, ranges, readfilters, validate
 from helixframe.queries import reads
 
 
@@ -111,3 +111,20 @@ def test_clear_bits_are_tested_at_once(spark):
         assert sorted(map(str, df.where(readfilters.chain(names, inverted)).collect())) == sorted(map(str, df.where(keep).collect()))
     given = df.select(F.hash("flag").alias("flag"), "contig", "pos", "mapq").where(readfilters.chain(readfilters.COUNTING))
     assert _computed(given, "HASH(") <= 3
+
+
+def _counted_once(df):
+    """Whether the plan reads one table, joins nothing and groups once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation [") == 1 and "Join" not in plan and plan.count("Aggregate [") == 1
+
+
+def test_allele_counts_need_no_table_of_sites(spark, sf):
+    assert _counted_once(reads.allelic_counts(spark, sf))
+    r = random.Random(7)
+    rows = [(r.choice([0, 1, None, -2]), r.choice([3, 4, 5, None, -9]), r.choice(["A", "C", "G", "T", "N", None])) for _ in range(400)]
+    bases = spark.createDataFrame(rows, "contig int, pos long, base string")
+    ref, alt = reads._alleles()
+    sites = bases.select("contig", "pos").distinct().select("contig", "pos", ref.alias("ref"), alt.alias("alt"))
+    got, want = pileup.allele_counts_at(bases, ref, alt), pileup.allele_counts(bases, sites)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
