@@ -128,3 +128,12 @@ def test_allele_counts_need_no_table_of_sites(spark, sf):
     sites = bases.select("contig", "pos").distinct().select("contig", "pos", ref.alias("ref"), alt.alias("alt"))
     got, want = pileup.allele_counts_at(bases, ref, alt), pileup.allele_counts(bases, sites)
     assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_nucleotide_counts_need_no_table_of_sites(spark, sf):
+    assert _counted_once(reads.nucleotide_counts(spark, sf))
+    r = random.Random(8)
+    bases = spark.createDataFrame([(k % 2, r.randrange(9), r.choice("ACGTN")) for k in range(300)], "contig int, pos long, base string")
+    ref = reads._alleles()[0]
+    got, want = pileup.nucleotide_counts(bases, ["contig", "pos"], ref), pileup.nucleotide_counts(bases.withColumn("ref", ref), ["contig", "pos"])
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
