@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small, written
+from .common import dropped, shared_dir, small, written
 from .components import min_label_components
 from .filters import bit_of, bit_table, may_hold
 
@@ -155,6 +155,20 @@ def forest(classes: DataFrame, folder: str) -> DataFrame:
     return written(ordered.mapInArrow(run, "c long, tree int, key long, before array<long>"), folder, "forest")
 
 
+def _picked(classes: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """c and columns of the classes that a bit table over the c of ``wanted`` lets through: all wanted ones and few others.
+
+    A join with ``wanted`` would shuffle every class's values for the few that are asked for. An exact join has to follow."""
+    table = classes.sparkSession.sparkContext.broadcast(bit_table(wanted, "c", BITS))
+    src = classes.select("c", *columns, bit_of(F.col("c"), BITS).alias("bit"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(table.value, batch.column(batch.num_columns - 1).to_numpy()))).select(["c", *columns])
+
+    return src.mapInArrow(pick, classes.select("c", *columns).schema)
+
+
 def _equal_values(pairs: DataFrame, classes: DataFrame, folder: str, round_: int) -> DataFrame:
     """(a, b, equal) of those pairs (a, b) of classes that have LEAST_EQUAL equal values, as a table."""
 
@@ -167,7 +181,8 @@ def _equal_values(pairs: DataFrame, classes: DataFrame, folder: str, round_: int
 
     # Written first: a distinct right below the join would keep all pairs of one class in one task.
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"candidates{round_}")
-    both = pairs.join(classes.select(F.col("c").alias("a"), F.col("mini").alias("ma")), "a").join(classes.select(F.col("c").alias("b"), F.col("mini").alias("mb")), "b")
+    some = written(_picked(classes, _ends(pairs), "mini"), folder, f"mini{round_}")
+    both = pairs.join(some.select(F.col("c").alias("a"), F.col("mini").alias("ma")), "a").join(some.select(F.col("c").alias("b"), F.col("mini").alias("mb")), "b")
     return written(both.select("a", "b", "ma", "mb").mapInArrow(count, "a long, b long, equal int"), folder, f"near{round_}")
 
 
@@ -187,8 +202,9 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, folder: str, name: str, width
                 some = [s for s in some if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in some], pa.binary()), pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64()))], ["h", "s"])
 
-    found = src.mapInArrow(sets, "h binary, s array<long>").join(wanted.select("c", "h"), "h").select("c", "s")
-    return written(found.dropDuplicates(["c"]), folder, name)
+    found = src.mapInArrow(sets, "h binary, s array<long>").join(wanted.select("c", "h"), "h")
+    # One row a key and so a class: by the key, as the join has dealt the sets by it already.
+    return written(found.dropDuplicates(["h"]).select("c", "s"), folder, name)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -197,10 +213,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _confirmed(near: DataFrame, sets: DataFrame, folder: str, name: str, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes: those whose full sets are similar enough, as a table."""
-    both = near.select("a", "b").join(sets.select(F.col("c").alias("b"), F.col("s").alias("t")), "b").join(sets.select(F.col("c").alias("a"), "s"), "a")
+    # Both sides named anew: only alike projections share one exchange of the sets.
+    both = near.select("a", "b").join(sets.select(F.col("c").alias("b"), F.col("s").alias("t")), "b").join(sets.select(F.col("c").alias("a"), F.col("s").alias("r")), "a")
     # Row by row in the JVM: batches of pairs of long texts' sets would be large.
-    common = F.size(F.array_intersect("s", "t"))
-    both = both.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("a", "b")
+    common = F.size(F.array_intersect("r", "t"))
+    both = both.where(100 * common >= percent * (F.size("r") + F.size("t") - common)).select("a", "b")
     return written(both, folder, name)
 
 
@@ -255,7 +272,7 @@ def _dealt(large: DataFrame) -> DataFrame:
 def _close_classes(large: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """(key, i, j, c, label) of the classes that have, in another component and in this pair of blocks, one with enough equal
     values, as a table. A pair counts in the first tree whose region it shares."""
-    dealt = _dealt(large).join(classes.select("c", "keys", "mini"), "c").select("key", "i", "j", "tree", "own", "c", "label", "keys", "mini")
+    dealt = _dealt(large).join(_picked(classes, large, "keys", "mini"), "c").select("key", "i", "j", "tree", "own", "c", "label", "keys", "mini")
 
     def screen(table: pa.Table) -> pa.Table:
         i, j, tree = (table.column(x)[0].as_py() for x in ("i", "j", "tree"))
@@ -318,6 +335,7 @@ def _labels(classes: DataFrame, docs: DataFrame, folder: str, percent: int, widt
     near = near.unionByName(_equal_values(_hub_pairs(places, near), classes, folder, 2))
     sets = _full_sets(ids.join(_ends(near), "c"), docs, folder, "sets1", width)
     links = _confirmed(near.select("a", "b").distinct(), sets, folder, "links1", percent)
+    dropped(docs.sparkSession, f"{folder}/sets1")
     labels = _components(links, folder, 1)
     # All that is left.
     marked = places.join(labels, "c", "left").select("key", "tree", "c", F.coalesce("label", "c").alias("label"))
@@ -332,6 +350,7 @@ def _labels(classes: DataFrame, docs: DataFrame, folder: str, percent: int, widt
     more = _confirmed(near, sets, folder, "links2", percent)
     if close is not None:
         more = more.union(_block_links(close, sets, folder, percent))
+    dropped(docs.sparkSession, f"{folder}/sets2")
     return labels if more.isEmpty() else _components(more, folder, 2, labels)
 
 

@@ -130,6 +130,43 @@ def test_planted_pairs_are_linked(spark):
     assert [got[k] for k in range(4000)] == least
 
 
+@pytest.fixture
+def shuffled(spark):
+    """Plans as for large tables, in their first form."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_full_sets_are_dealt_once(shuffled, monkeypatch, tmp_path):
+    texts = near_copies(40)
+    docs = shuffled.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:5])], "doc_id long, text string").repartition(3)
+    near_dedup.sketches(docs).where("doc_id < 40").selectExpr("doc_id as c", "h", "doc_id as rep", "mini").write.parquet(f"{tmp_path}/classes")
+    classes = shuffled.read.parquet(f"{tmp_path}/classes")
+    wanted = classes.where("c % 2 = 0").select("c", "h", "rep")
+    plans = {}
+
+    def written(df, folder, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+    monkeypatch.setattr(near_dedup, "written", written)
+    sets = near_dedup._full_sets(wanted, docs, str(tmp_path), "sets", 5)
+    assert sorted((r.c, list(r.s)) for r in sets.collect()) == [(k, near_dedup.shingle_hashes(texts[k]).view(np.int64).tolist()) for k in range(0, 40, 2)]
+    assert plans["sets"].count("Exchange hashpartitioning(h") == plans["sets"].count("Exchange hashpartitioning") == 2
+    pairs = shuffled.createDataFrame([(a, b) for b in range(0, 40, 2) for a in range(0, b, 2)], "a long, b long")
+    near_dedup._confirmed(pairs, sets, str(tmp_path), "links", 75)
+    assert plans["links"].count("ReusedExchange") == 1
+    # Values of all wanted classes, and of few others, leave the table.
+    got = {r.c: bytes(r.mini) for r in near_dedup._picked(classes, wanted, "mini").collect()}
+    assert got == {r.c: bytes(r.mini) for r in classes.join(wanted, "c", "left_semi").collect()}
+
+
 def brute_removed(rows, n=100):
     seen, out = set(), []
     for d, t in rows:
